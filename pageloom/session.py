@@ -15,10 +15,19 @@ SETTINGS = {
     # Page tables are hash partitioned by page_id; joins on (page_id, node_id)
     # may then keep that partitioning instead of shuffling again.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Recording a Python stack per column call makes long expressions slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Safe to change on a running session.
+RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
+
 
 def local_session(cores: int | str = "*", app: str = "pageloom", memory: str = "8g") -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
@@ -28,7 +37,7 @@ def local_session(cores: int | str = "*", app: str = "pageloom", memory: str = "
     builder = builder.config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -39,3 +48,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fallback = tempfile.mkdtemp(prefix="pageloom-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings for a session somebody else made."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
