@@ -83,11 +83,15 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False)) if conditions else F.lit(False)
 
 
+@lru_cache(maxsize=64)
+def _fields_of(ddl: str) -> tuple[tuple[str, str], ...]:
+    return tuple((f.name, f.dataType.simpleString()) for f in T._parse_datatype_string(ddl).fields)
+
+
 def make_struct(ddl: str, **values: Column) -> Column:
     """Struct of the given DDL; fields without a value are null."""
-    fields = T._parse_datatype_string(ddl).fields
     return F.struct(*[
-        (values[f.name] if f.name in values else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
+        (values[name] if name in values else F.lit(None)).cast(kind).alias(name) for name, kind in _fields_of(ddl)
     ])
 
 

@@ -118,7 +118,7 @@ def s3_upsert_articles(spark, d):
 @query
 def s4_get_articles(spark, d):
     v = _versions(spark, d)
-    latest = store.upsert_articles(None, v.filter("value > 150"), order=("ts", "event_id"))
+    latest = store.upsert_articles(None, v.filter("value > 250"), order=("ts", "event_id"))
     ids = v.select("article_id").distinct()
     return store.get_articles(latest, ids).select("article_id", "event_id", "value")
 
@@ -127,7 +127,7 @@ def s4_get_articles(spark, d):
 def s5_delete_articles(spark, d):
     v = _versions(spark, d)
     latest = store.upsert_articles(None, v, order=("ts", "event_id"))
-    return store.delete_articles(latest, v.filter("value > 150")).select("article_id", "event_id")
+    return store.delete_articles(latest, v.filter("value > 250")).select("article_id", "event_id")
 
 
 # ---- routing and URLs ----------------------------------------------------

@@ -18,8 +18,8 @@ def stable_window(snapshots: DataFrame, quiet_ms: int, key: str = "page_id", sli
     per (key, time slice), so a hot page is spread over its slices; the edges of
     a slice are one row each and are linked in a second, small window.
     """
-    ms = F.unix_millis("ts")
-    cut = snapshots.withColumns({"ms": ms, "slice": F.floor(F.unix_timestamp("ts") / slice_seconds)})
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    cut = snapshots.withColumns({"ms": ms, "slice": F.floor(ms / (1000 * slice_seconds))})
     edges = cut.groupBy(key, "slice").agg(F.max_by("content_hash", F.struct("ts", seq)).alias("last_hash"))
     edges = edges.withColumn("carried", F.lag("last_hash").over(Window.partitionBy(key).orderBy("slice")))
     inner = Window.partitionBy(key, "slice").orderBy("ts", seq)
