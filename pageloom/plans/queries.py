@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+@lru_cache(maxsize=8)
 def rows_of(spark: SparkSession, sf_dir: str, nested: str = "keep") -> DataFrame:
     return extract(pages(spark, sf_dir), SITES, nested=nested)
 
