@@ -23,7 +23,7 @@ from .marks import is_, within
 from .richtext import annotations, cut_front
 from .tree import attr, first_of, let, make_struct
 
-Handler = Callable[[Column, Column, Column, Column], Column]
+Handler = Callable[[Column, Column, Column], Column]
 
 
 def make_block(type_: str, **fields: Column) -> Column:
@@ -161,7 +161,7 @@ def _embed(n: Column, e: Column) -> Column:
     return let(let(source, lambda p: p.withField("provider", embed_provider(p["href"]))), build)
 
 
-def _code(root: Column, sub: Column, n: Column) -> Column:
+def _code(root: Column, sub: Column) -> Column:
     """(text, code struct)."""
     inner = under(sub, root)
     code = F.when(root["tag"] == "code", root).otherwise(first_tag(inner, "code"))
@@ -170,8 +170,8 @@ def _code(root: Column, sub: Column, n: Column) -> Column:
     header = let(first_div, lambda d: first_tag(under(inner, d), "span")["text"])
     text = normalize_code(F.coalesce(code["text"], pre["text"], root["text"]))
     language = clean_language(code["lang"], header)
-    pieces = F.when(F.size(F.col("pieces")) > 0, F.col("pieces"))
-    return F.struct(text.alias("text"), F.struct(language.alias("language"), pieces.alias("tokens")).cast(CODE).alias("code"))
+    tokens = F.when(F.size(code["pieces"]) > 0, code["pieces"])
+    return F.struct(text.alias("text"), F.struct(language.alias("language"), tokens.alias("tokens")).cast(CODE).alias("code"))
 
 
 def _table(root: Column, sub: Column) -> Column:
@@ -231,7 +231,7 @@ def with_parts(typed: DataFrame, handlers: dict[str, Handler], adapters: list[Ad
     staged = typed.withColumns({
         "body": F.when(fam == "list", F.col("wrap")).otherwise(text),
         "marker": marker,
-        "code_part": only("code", _code(F.col("code_root"), sub, n)),
+        "code_part": only("code", _code(F.col("code_root"), sub)),
         "table_part": only("table", _table(F.col("table_root"), sub)),
         "gallery_part": only("image-gallery", _gallery(n, sub)),
         "image_part": only("image", _image(n, sub)),
@@ -251,7 +251,7 @@ def special_blocks(n: Column, sub: Column, handlers: dict[str, Handler], adapter
             handler = handlers.get((comp.get("handler") or "").strip())
             if handler is not None:
                 hit = (F.col("adapter_id") == a.id) & (root["special"] == k)
-                block = F.when(hit, handler(root, inner, F.col("url"), F.col("pieces"))).otherwise(block)
+                block = F.when(hit, handler(root, inner, F.col("url"))).otherwise(block)
     return block
 
 

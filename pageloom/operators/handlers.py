@@ -1,7 +1,7 @@
 """Blocks of embedded components.
 
 A handler gets columns, not elements: the component root, the marked elements
-below it, the page URL and the root's text pieces. It returns a block struct,
+below it and the page URL. It returns a block struct,
 null when the component says nothing. `HANDLERS` is the registry; a later
 registration under the same id replaces the earlier one, blank ids are ignored.
 """
@@ -20,7 +20,6 @@ from ..functions.numbers import (
     format_published,
     is_date_text,
     is_duration_text,
-    is_metric_text,
     parse_timestamp,
     positive_number,
     round_half_up,
@@ -87,7 +86,7 @@ def _picture(src: Column, **fields: Column) -> Column:
 
 # ---- newsletter components ----------------------------------------------
 @handler("substack.twitter-embed")
-def post_embed(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
+def post_embed(root: Column, sub: Column, url: Column) -> Column:
     """The post is spelled in a JSON attribute."""
     raw = F.coalesce(attr(root, "data-attrs"), attr(_pick(sub, lambda m: attr(m, "data-attrs").isNotNull()), "data-attrs"))
 
@@ -121,7 +120,7 @@ def post_embed(root: Column, sub: Column, url: Column, pieces: Column) -> Column
 
 
 @handler("substack.youtube-embed")
-def youtube(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
+def youtube(root: Column, sub: Column, url: Column) -> Column:
     """B16."""
     video_id = _clean(F.get_json_object(attr(root, "data-attrs"), "$.videoId"))
     frame = F.when(is_(root, "frame"), root).otherwise(_pick(sub, lambda m: is_(m, "frame")))
@@ -139,7 +138,7 @@ def youtube(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
 
 
 @handler("substack.video-embed")
-def video_embed(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
+def video_embed(root: Column, sub: Column, url: Column) -> Column:
     """A direct video; without a usable source only its poster is kept."""
     def facts(v: Column) -> Column:
         inner = under(sub, v)
@@ -177,7 +176,7 @@ def video_embed(root: Column, sub: Column, url: Column, pieces: Column) -> Colum
 
 
 @handler("substack.audio-embed")
-def audio(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
+def audio(root: Column, sub: Column, url: Column) -> Column:
     """B16."""
     title = F.coalesce(_clean(attr(root, "title")), _clean(attr(root, "aria-label")), F.lit("Substack audio"))
     backdrop = background_url(attr(_pick(sub, lambda m: background_url(attr(m, "style")).isNotNull()), "style"))
@@ -203,7 +202,7 @@ def _first_link(sub: Column, url: Column) -> Column:
 
 
 @handler("substack.footnote")
-def footnote(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
+def footnote(root: Column, sub: Column, url: Column) -> Column:
     """`Footnote n: text`."""
     number = _pick(sub, lambda m: F.array_contains(m["classes"], "footnote-number") | F.coalesce(
         (m["tag"] == "a") & attr(m, "href").startswith("#footnote-anchor"), F.lit(False)))
@@ -216,7 +215,7 @@ def footnote(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
 
 
 @handler("substack.paywall")
-def paywall(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
+def paywall(root: Column, sub: Column, url: Column) -> Column:
     """B17."""
     head = _pick(sub, lambda m: F.array_contains(m["classes"], "paywall-title") | m["tag"].isin("h1", "h2", "h3"))
     title = F.coalesce(_clean(F.coalesce(head["text"], root["text"])), _clean(attr(root, "aria-label")), F.lit(PAYWALL_TITLE))
@@ -227,7 +226,7 @@ def paywall(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
 
 
 @handler("substack.subscribe-widget")
-def subscribe(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
+def subscribe(root: Column, sub: Column, url: Column) -> Column:
     """B17."""
     state = F.when(F.array_contains(root["classes"], "is-fully-subscribed"), F.lit("Subscribed")).otherwise(F.lit("Subscribe"))
     return let(_rich(root, sub, url), lambda r: let(F.coalesce(F.nullif(r["text"], F.lit("")), state), lambda t: _embed(
@@ -350,7 +349,7 @@ def _card(ddl: str, facts: Column, items: Column, href: Column, **extra: Column)
 
 
 @handler("x.simple-tweet")
-def post_card(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
+def post_card(root: Column, sub: Column, url: Column) -> Column:
     """A post with its media and at most one level of quoted posts."""
     inner_tweet = _pick(sub, lambda m: _named(m, "tweet"))
     named = lambda m, *ids: F.exists(sub, lambda x: _named(x, *ids) & _inside(x, m))
@@ -375,5 +374,3 @@ def post_card(root: Column, sub: Column, url: Column, pieces: Column) -> Column:
 
     return let(quotes, build)
 
-
-__all__ = ["HANDLERS", "register", "is_metric_text"]

@@ -191,7 +191,12 @@ def mark_nodes(clean: DataFrame, adapters: list[Adapter]) -> DataFrame:
 
     def with_text(n: Column) -> Column:
         matters = (n["f"] != 0) | n["in_special"] | within(n, "table", "code")
-        return n.withField("matters", n["live"] & matters).withField("text", F.when(n["live"] & matters, tree.text(n)))
+        pieces = F.filter(F.slice(tree.texts, n["text_from"] + 1, n["text_to"] - n["text_from"]), lambda t: t != "")
+        return (
+            n.withField("matters", n["live"] & matters)
+            .withField("text", F.when(n["live"] & matters, tree.text(n)))
+            .withField("pieces", F.when(n["live"] & (n["tag"] == "code"), pieces))
+        )
 
     def with_images(n: Column) -> Column:
         is_img, is_photo = n["live"] & (n["tag"] == "img"), (F.col("platform") == "x") & is_(n, "photo")
@@ -224,16 +229,12 @@ def explode_candidates(marked: DataFrame) -> DataFrame:
         n = r["n"]
         inner = F.slice(nodes, n["node_id"] + 2, n["end_id"] - n["node_id"])
         kids = F.filter(inner, lambda m: m["live"] & (m["parent_id"] == n["node_id"]))
-        pieces = F.filter(
-            F.slice(F.col("texts"), n["text_from"] + 1, n["text_to"] - n["text_from"]), lambda t: t != ""
-        )
         return F.struct(
             n.alias("n"), r["rank"].alias("rank"),
             F.filter(inner, lambda m: m["matters"]).alias("sub"),
             F.get(nodes, n["photo_id"])["photo"].alias("outer_photo"),
             let(kids, lambda k: (F.size(k) == 1) & is_(F.get(k, F.lit(0)), "divider")).alias("lone_divider"),
             F.when(is_(n, "ordered", "unordered", "data_block"), F.size(F.filter(inner, lambda m: m["live"]))).alias("live_below"),
-            F.when(within(n, "code", "data_block") | n["in_special"], pieces).alias("pieces"),
         )
 
     staged = marked.withColumn("rows", F.when(F.col("not_ready").isNull(), F.transform(found, row)))
