@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +44,16 @@ UNIT = "array<struct<text:string,start:int,end:int>>"
 
 # ---- kernel --------------------------------------------------------------
 _SPACES = re.compile(f"[{WS}]+")
-_PROTECT = [re.compile(p, re.A) for p in (URL, IPV4, HIDDEN_PATH, FILE_NAME)]
-_PROTECT += [re.compile(re.escape(b[0]) + "[^" + re.escape(b[1]) + "]*" + re.escape(b[1])) for b in BRACKETS]
+# (cheap hint that must be present, pattern): most texts hold none of these
+_PROTECT = [
+    (re.compile("://"), re.compile(URL, re.A)),
+    (re.compile(r"[0-9]\.[0-9]"), re.compile(IPV4, re.A)),
+    (re.compile("/"), re.compile(HIDDEN_PATH, re.A)),
+    (re.compile(rf"(?i)\.(?:{'|'.join(FILE_EXTENSIONS)})"), re.compile(FILE_NAME, re.A)),
+]
+_PROTECT += [
+    (re.compile(re.escape(b[0])), re.compile(re.escape(b[0]) + "[^" + re.escape(b[1]) + "]*" + re.escape(b[1]))) for b in BRACKETS
+]
 _INNER_DOT = re.compile(r"(?<=[A-Za-z0-9_])\.(?=[A-Za-z0-9_])")
 _ONE_EMOJI = f"[{EMOJI}][︎️\U0001f3fb-\U0001f3ff]*"
 # what may follow a break mark and still belongs to the unit in front of it
@@ -68,9 +78,30 @@ def default_width(text: str) -> float:
     return space * 0.5 + word + mark * 0.5 + cjk + wide * 2 + (len(text) - space - word - mark - cjk - wide) * 1.5
 
 
+@lru_cache(maxsize=1)
+def _weights() -> np.ndarray:
+    """Default width of every code point, the last entry for all above the table."""
+    table = np.full(0x32400, 1.5)
+    for chars, weight in ((_WIDE, 2.0), (_WORD, 1.0)):
+        text = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, len(table))))
+        table[[m.start() for m in chars.finditer(text)]] = weight
+    for chars, weight in ((CJK_MARKS, 1.0), (",.;:!?", 0.5), (WS, 0.5)):
+        table[[ord(c) for c in chars]] = weight
+    return table
+
+
+def _width_sums(text: str) -> np.ndarray:
+    """Running default width: the width of a slice is a difference of two entries."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    table = _weights()
+    sums = np.zeros(len(codes) + 1)
+    np.cumsum(table[np.minimum(codes, len(table) - 1)], out=sums[1:])
+    return sums
+
+
 def _protected(text: str) -> tuple[list[int], list[int]]:
     """Merged protected spans as sorted starts and ends."""
-    spans = sorted(m.span() for p in _PROTECT for m in p.finditer(text))
+    spans = sorted(m.span() for hint, p in _PROTECT if hint.search(text) for m in p.finditer(text))
     starts: list[int] = []
     ends: list[int] = []
     for start, end in spans:
@@ -138,7 +169,7 @@ def _coalesce(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def split_text(text: str, width: Callable[[str], float] = default_width, limit: float = LINE_WIDTH) -> list[tuple[int, int]]:
+def split_text(text: str, width: Callable[[str], float] | None = None, limit: float = LINE_WIDTH) -> list[tuple[int, int]]:
     """Unit spans over an already normalized text.
 
     In normalized text a gap between neighbours is one space, so a joined unit
@@ -148,10 +179,13 @@ def split_text(text: str, width: Callable[[str], float] = default_width, limit:
     for a, b in _cut(text, "strong", 0):
         for c, d in _cut(text[a:b], "medium", a):
             spans += [(c, d)] if d - c <= TARGET_UNIT else _coalesce(_cut(text[c:d], "weak", c))
-    return _join(spans, lambda p, n: width(text[p[0]:n[1]]) <= limit)
+    if width is not None:
+        return _join(spans, lambda p, n: width(text[p[0]:n[1]]) <= limit)
+    sums = _width_sums(text)
+    return _join(spans, lambda p, n: sums[n[1]] - sums[p[0]] <= limit)
 
 
-def split_udf(width: Callable[[str], float] = default_width, limit: float = LINE_WIDTH):
+def split_udf(width: Callable[[str], float] | None = None, limit: float = LINE_WIDTH):
     """Arrow UDF text -> units; `width` may be any measuring function."""
     @F.pandas_udf(UNIT)
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -166,7 +200,7 @@ def split_udf(width: Callable[[str], float] = default_width, limit: float = LINE
 
 
 # ---- operators -----------------------------------------------------------
-def split_units(df: DataFrame, text_col: str, width: Callable[[str], float] = default_width, limit: float = LINE_WIDTH) -> DataFrame:
+def split_units(df: DataFrame, text_col: str, width: Callable[[str], float] | None = None, limit: float = LINE_WIDTH) -> DataFrame:
     """One row per unit with offsets into the normalized text. Narrow."""
     units = df.withColumn("units", split_udf(width, limit)(F.col(text_col)))
     rest = [c for c in df.columns if c != text_col]
@@ -175,15 +209,26 @@ def split_units(df: DataFrame, text_col: str, width: Callable[[str], float] = de
 
 def protected_spans(df: DataFrame, text_col: str) -> DataFrame:
     """R2: what must not be cut, as a (kind, value) table. JVM side only."""
-    text = normalize_text(F.col(text_col))
-    patterns = {"url": URL, "ip": IPV4, "hidden_path": HIDDEN_PATH, "file": FILE_NAME}
-    patterns |= {f"bracket_{b}": f"\\{b[0]}[^\\{b[1]}]*\\{b[1]}" for b in BRACKETS}
+    rest = [c for c in df.columns if c != text_col]
+    flat = df.select(*rest, normalize_text(F.col(text_col)).alias("flat"))
+    text = F.col("flat")
+    none = F.expr("cast(array() as array<string>)")
+    # (kind, cheap hint that must be present, pattern)
+    rules = [
+        ("url", F.contains(text, F.lit("://")), URL),
+        ("ip", F.regexp_like(text, F.lit("[0-9]\\.[0-9]")), IPV4),
+        ("hidden_path", F.contains(text, F.lit("/")), HIDDEN_PATH),
+        ("file", F.regexp_like(text, F.lit(f"(?i)\\.(?:{'|'.join(FILE_EXTENSIONS)})")), FILE_NAME),
+    ]
+    rules += [(f"bracket_{b}", F.contains(text, F.lit(b[0])), f"\\{b[0]}[^\\{b[1]}]*\\{b[1]}") for b in BRACKETS]
     found = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("values"))
-        for kind, p in patterns.items()
+        F.struct(
+            F.lit(kind).alias("kind"),
+            F.when(hint, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias("values"),
+        )
+        for kind, hint, p in rules
     ])
-    rest = [c for c in df.columns if c != text_col]
-    kinds = df.select(*rest, F.explode(found).alias("k"))
+    kinds = flat.select(*rest, F.explode(found).alias("k"))
     return kinds.select(*rest, F.col("k.kind").alias("kind"), F.explode("k.values").alias("value"))
 
 
@@ -211,7 +256,7 @@ def paragraphs_of(documents: DataFrame, doc_col: str = "doc_id", text_col: str =
     )
 
 
-def build_units(blocks: DataFrame, width: Callable[[str], float] = default_width, limit: float = LINE_WIDTH) -> DataFrame:
+def build_units(blocks: DataFrame, width: Callable[[str], float] | None = None, limit: float = LINE_WIDTH) -> DataFrame:
     """Units of every block in one pass; dividers have none.
 
     Paragraph: split units (a text with line breaks stays whole). List: one per

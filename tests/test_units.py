@@ -97,3 +97,13 @@ def test_navigation_matches_replay(spark):
     for width in (3600, 86_400, 10_000_000):
         got = {r.reader_id: r.position for r in un.replay_navigation(moves, units, width).collect()}
         assert got == want
+
+
+def test_table_functions(spark):
+    from pageloom.functions.udtf import register_table_functions
+    register_table_functions(spark)
+    assert [r.tag for r in spark.sql("select * from parse_nodes('<ul><li>a<li>b</ul>')").collect()] == ["ul", "li", "li"]
+    docs = spark.createDataFrame([(1, "One. Two.")], "id int, body string")
+    docs.createOrReplaceTempView("docs_for_units")
+    rows = spark.sql("select d.id, u.text from docs_for_units d, lateral split_units(d.body) u").collect()
+    assert [(r.id, r.text) for r in rows] == [(1, "One. Two.")]
