@@ -39,6 +39,8 @@ COMMON = {
     "row": 'tr, [role="row"]',
     "cell": 'th, td, [role="columnheader"], [role="rowheader"], [role="cell"], [role="gridcell"]',
     "photo": PHOTO_SELECTOR,
+    "ol": "ol",
+    "ul": "ul",
 }
 FAMILIES = ["divider", "heading", "quote", "ordered", "unordered", "image", "gallery", "code", "table"]
 BITS = {name: 1 << i for i, name in enumerate(["candidate", "special", *FAMILIES, *COMMON])}
@@ -190,7 +192,7 @@ def mark_nodes(clean: DataFrame, adapters: list[Adapter]) -> DataFrame:
         )
 
     def with_text(n: Column) -> Column:
-        matters = (n["f"] != 0) | n["in_special"] | within(n, "table", "code")
+        matters = (n["f"] != 0) | n["in_special"] | within(n, "table", "code", "photo")
         pieces = F.filter(F.slice(tree.texts, n["text_from"] + 1, n["text_to"] - n["text_from"]), lambda t: t != "")
         return (
             n.withField("matters", n["live"] & matters)

@@ -7,6 +7,8 @@ route -> parse -> locate -> ready? -> fix -> clean -> convert   (narrow, per pag
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,12 @@ from ..operators.handlers import HANDLERS
 from ..operators.marks import explode_candidates, mark_nodes
 from ..operators.locate import header_meta, locate_roots, readiness, resolve_title
 from ..operators.routing import route
+from ..operators.second import second_blocks, second_extraction
 from ..sources.adapters import CORPUS, Adapter
 from ..sources.html import parse_nodes
 
+UNCLEANED_ATTRS = ["class", "poster", "preload", "width", "height"]
+
 
 def parsed_pages(pages: DataFrame, adapters: list[Adapter]) -> DataFrame:
     return parse_nodes(route(pages, adapters))
@@ -57,6 +62,18 @@ def extract(pages: DataFrame, adapters: list[Adapter] | None = None, handlers: d
     return number_blocks(outermost(rows) if nested == "outermost" else rows)
 
 
+def extract_twice(pages: DataFrame, adapters: list[Adapter], handlers: dict | None = None) -> DataFrame:
+    """Blocks of the second extraction, the primary side of a merge.
+
+    It reads the page as it is, so the attributes it needs survive cleaning.
+    """
+    adapters = [replace(a, preserve=[*a.preserve, *UNCLEANED_ATTRS]) for a in adapters]
+    clean = clean_pages(pages, adapters)
+    typed = with_family(with_facts(explode_candidates(mark_nodes(clean, adapters))))
+    parts = with_parts(typed, HANDLERS if handlers is None else handlers, adapters)
+    return second_extraction(second_blocks(parts))
+
+
 def blocks_of(rows: DataFrame) -> DataFrame:
     """The `blocks` table."""
     return rows.filter("block_pos >= 0").select("page_id", "adapter_id", "block_pos", "block_id", "node_id", "block.*")
