@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,16 +77,21 @@ def default_width(text: str) -> float:
     return space * 0.5 + word + mark * 0.5 + cjk + wide * 2 + (len(text) - space - word - mark - cjk - wide) * 1.5
 
 
-@lru_cache(maxsize=1)
+# filled on first use in a worker; a decorator object would tie the kernel to an installed module
+_TABLE: list[np.ndarray] = []
+
+
 def _weights() -> np.ndarray:
-    """Default width of every code point, the last entry for all above the table."""
-    table = np.full(0x32400, 1.5)
-    for chars, weight in ((_WIDE, 2.0), (_WORD, 1.0)):
+    """Twice the default width of every code point, the last entry for all above the table."""
+    if not _TABLE:
+        table = np.full(0x32400, 3, dtype=np.uint8)
         text = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, len(table))))
-        table[[m.start() for m in chars.finditer(text)]] = weight
-    for chars, weight in ((CJK_MARKS, 1.0), (",.;:!?", 0.5), (WS, 0.5)):
-        table[[ord(c) for c in chars]] = weight
-    return table
+        for chars, weight in ((_WIDE, 4), (_WORD, 2)):
+            table[[m.start() for m in chars.finditer(text)]] = weight
+        for marks, weight in ((CJK_MARKS, 2), (",.;:!?", 1), (WS, 1)):
+            table[[ord(c) for c in marks]] = weight
+        _TABLE.append(table)
+    return _TABLE[0]
 
 
 def _width_sums(text: str) -> np.ndarray:
@@ -96,7 +100,7 @@ def _width_sums(text: str) -> np.ndarray:
     table = _weights()
     sums = np.zeros(len(codes) + 1)
     np.cumsum(table[np.minimum(codes, len(table) - 1)], out=sums[1:])
-    return sums
+    return sums / 2
 
 
 def _protected(text: str) -> tuple[list[int], list[int]]:
