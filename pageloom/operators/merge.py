@@ -92,7 +92,7 @@ def merge_extractions(primary: DataFrame, clean: DataFrame, key: str = "article_
     )
     # every position counts, also those without a key
     keys = ordered(p, "left_keys").join(ordered(c, "right_keys"), key, "left")
-    matched = keys.select(key, F.posexplode(_greedy("left_keys", "right_keys")).alias("block_pos", "clean_pos"))
+    matched = keys.select(key, F.posexplode_outer(_greedy("left_keys", "right_keys")).alias("block_pos", "clean_pos"))
     p = p.join(matched, [key, "block_pos"])
     content = c.select(key, F.col("block_pos").alias("clean_pos"), F.col("block").alias("clean_block"))
     joined = p.join(content, [key, "clean_pos"], "left")

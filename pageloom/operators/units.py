@@ -7,7 +7,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,24 +191,35 @@ def split_text(text: str, width: Callable[[str], float] | None = None, limit: fl
 
 def split_udf(width: Callable[[str], float] | None = None, limit: float = LINE_WIDTH):
     """Arrow UDF text -> units; `width` may be any measuring function."""
-    @F.pandas_udf(UNIT)
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(UNIT)
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for raw in batch:
+            offsets, texts, starts, ends = [0], [], [], []
+            for raw in batch.to_pylist():
                 text = _SPACES.sub(" ", raw or "").strip(" ")
-                out.append([{"text": text[a:b], "start": a, "end": b} for a, b in split_text(text, width, limit)] if text else [])
-            yield pd.Series(out)
+                for a, b in split_text(text, width, limit) if text else []:
+                    texts.append(text[a:b])
+                    starts.append(a)
+                    ends.append(b)
+                offsets.append(len(texts))
+            columns = [pa.array(texts, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+            units = pa.StructArray.from_arrays(columns, names=["text", "start", "end"])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), units)
 
     return split
 
 
 # ---- operators -----------------------------------------------------------
 def split_units(df: DataFrame, text_col: str, width: Callable[[str], float] | None = None, limit: float = LINE_WIDTH) -> DataFrame:
-    """One row per unit with offsets into the normalized text. Narrow."""
+    """One row per unit with offsets into the normalized text. Narrow.
+
+    The outer explode keeps the planner from testing the array's size in a
+    second run of the kernel below.
+    """
     units = df.withColumn("units", split_udf(width, limit)(F.col(text_col)))
     rest = [c for c in df.columns if c != text_col]
-    return units.select(*rest, F.posexplode("units").alias("unit_pos", "u")).select(*rest, "unit_pos", "u.*")
+    rows = units.select(*rest, F.posexplode_outer("units").alias("unit_pos", "u")).filter("u is not null")
+    return rows.select(*rest, "unit_pos", "u.*")
 
 
 def protected_spans(df: DataFrame, text_col: str) -> DataFrame:
@@ -246,7 +257,7 @@ def sentence_candidates(df: DataFrame, text_col: str) -> DataFrame:
     marked = F.regexp_replace(text, f"((?:[。！？!?]|(?<![A-Za-z0-9_])\\.|\\.(?![A-Za-z0-9_])){tail})", f"$1{SEPARATOR}")
     pieces = F.filter(F.transform(F.split(marked, SEPARATOR), lambda p: F.trim(p)), lambda p: p != "")
     rest = [c for c in df.columns if c != text_col]
-    return df.select(*rest, F.posexplode(pieces).alias("sentence_pos", "sentence"))
+    return df.select(*rest, F.posexplode_outer(pieces).alias("sentence_pos", "sentence")).filter("sentence is not null")
 
 
 def paragraphs_of(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,8 +295,8 @@ def build_units(blocks: DataFrame, width: Callable[[str], float] | None = None,
     role = F.when(is_text, "body").when(F.col("type") == "list", "list-item")
     rows = blocks.withColumn("split", split).select(
         "page_id", "block_pos", "block_id", F.col("type").alias("block_type"), role.alias("role"),
-        F.posexplode(units).alias("n", "u"),
-    )
+        F.posexplode_outer(units).alias("n", "u"),
+    ).filter("u is not null")
     suffix = (
         F.when(F.col("role") == "body", F.concat(F.lit("-u"), F.col("n") + 1))
         .when(F.col("role") == "list-item", F.concat(F.lit("-item-"), F.col("n") + 1))
