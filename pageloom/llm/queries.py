@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import language_id, license_scan, merkle, packing, quality_trees, resampling, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_quality_trees": quality_trees.op2_quality_trees,
+    "op3_merkle_fingerprints": merkle.op3_merkle_fingerprints,
+    "op4_importance_resampling": resampling.op4_importance_resampling,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_license_scan": license_scan.op9_license_scan,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op3_merkle_fingerprints": merkle.SQL,
 }
