@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import sys
 import zlib
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import ahocorasick
 import numpy as np
@@ -135,8 +135,8 @@ def encoder_of(vocabulary: Vocabulary) -> Encoder:
     return held[key]
 
 
-def encode_batches(batches, vocabulary: Vocabulary, check: bool):
-    encoder = encoder_of(vocabulary)
+def encode_batches(batches, vocabulary: tuple, check: bool):
+    encoder = encoder_of(Vocabulary(*vocabulary))
     for batch in batches:
         texts = [t.as_py() or "" for t in batch.column(1)]
         for a in range(0, len(texts), 1_000):
@@ -155,8 +155,8 @@ def encode_batches(batches, vocabulary: Vocabulary, check: bool):
             yield pa.record_batch(columns)
 
 
-def decode_batches(batches, vocabulary: Vocabulary):
-    encoder = encoder_of(vocabulary)
+def decode_batches(batches, vocabulary: tuple):
+    encoder = encoder_of(Vocabulary(*vocabulary))
     for batch in batches:
         texts = [None if ids.as_py() is None else encoder.decode(np.array(ids.as_py(), np.int64)) for ids in batch.column(1)]
         yield pa.record_batch({"doc_id": batch.column(0), "text": pa.array(texts, pa.string())})
@@ -167,14 +167,14 @@ def encode(docs: DataFrame, model_file: str, *, check: bool = False) -> DataFram
 
     A space sign in a text is read as a space. Null and empty texts have no ids and score 0. Repeated rows and rows
     without doc_id are encoded like others. Other columns are ignored; an empty table gives an empty result."""
-    shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model_file))
+    shipped = docs.sparkSession.sparkContext.broadcast(astuple(Vocabulary.read(model_file)))  # plain lists, which any node can read
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
         lambda batches: encode_batches(batches, shipped.value, check), SCHEMA + (", round_trip boolean" if check else ""))
 
 
 def decode(tokens: DataFrame, model_file: str) -> DataFrame:
     """doc_id and text of every row of (doc_id, ids); null ids give a null text."""
-    shipped = tokens.sparkSession.sparkContext.broadcast(Vocabulary.read(model_file))
+    shipped = tokens.sparkSession.sparkContext.broadcast(astuple(Vocabulary.read(model_file)))  # plain lists, which any node can read
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(
         lambda batches: decode_batches(batches, shipped.value), "doc_id long, text string")
 

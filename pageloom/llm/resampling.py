@@ -128,8 +128,8 @@ def importance_resampling(
 ) -> DataFrame:
     """Draws documents that look like the target: those labelled `quality` 1 (at most `target_docs`, by hash of the id).
 
-    keep_share is the share of rows to keep, rounded up; unset, it is half-way between the target's share of the
-    labelled documents and one. Returns doc_id, n_words, log_weight, gumbel_key and kept.
+    keep_share is the share of rows to keep, rounded up; unset, it is the target's share of the labelled documents and a
+    quarter of the rest. Returns doc_id, n_words, log_weight, gumbel_key and kept.
 
     Null and empty texts have log weight 0, and so has every text if no document is labelled 1. Equal keys (repeated
     rows of one id and text) are kept in the order of id. Rows without doc_id share one draw of noise. Other columns are
@@ -145,7 +145,7 @@ def importance_resampling(
             "doc_id long, n_words long, log_weight double, gumbel_key double, place long"),
         "importance",
     )
-    share = keep_share if keep_share is not None else (1 + (1 if shares is None else shares)) / 2
+    share = keep_share if keep_share is not None else 0.25 + 0.75 * (1 if shares is None else shares)
     kept = top_k(scored, "place", math.ceil(share * scored.count()), ["doc_id", "n_words"])
     return kept.select("doc_id", "n_words", "log_weight", "gumbel_key", "kept")
 

@@ -27,7 +27,8 @@ SAMPLE_DOCS = 10_000  # labelled documents that dictionaries and calibration are
 WINDOW_WORDS = 8
 GRAM = 5  # characters of the pieces that toxic passages are put together from
 MIN_DOCS = 3  # toxic documents that a piece must come from
-CONTRAST = 20.0  # times as common in toxic documents as in ordinary ones
+CONTRAST = 5.0  # times as common in toxic documents as in ordinary ones, at least
+SIGNIFICANCE = 25.0  # of that difference, as a log-likelihood ratio
 TOXIC_BYTES = 4_096
 ORDINARY_BYTES = 8_192
 TOXIC_AT = 0.7
@@ -94,9 +95,12 @@ def learn_dictionaries(docs: DataFrame, toxic_ids: list[int], other_ids: list[in
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - GRAM + 1, F.lit(1))), lambda i: framed.substr(i, F.lit(GRAM)))
     by_piece = words.select("word", "toxic_docs", "other_docs", F.explode(F.array_distinct(pieces)).alias("piece"))
     ratio = (F.col("t") / max(1, len(toxic_ids))) / ((F.col("o") + 0.5) / max(1, len(other_ids)))
+    share = len(toxic_ids) / max(1, len(toxic_ids) + len(other_ids))
+    both, other_part = F.col("t") + F.col("o"), F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / ((F.col("t") + F.col("o")) * (1 - share)))).otherwise(0.0)
+    surprise = 2 * (F.col("t") * F.log(F.col("t") / (both * share)) + other_part)
     marks = (
         by_piece.filter(F.length("piece") == GRAM).groupBy("piece").agg(F.sum("toxic_docs").alias("t"), F.sum("other_docs").alias("o"))
-        .filter((F.col("t") >= MIN_DOCS) & (ratio >= CONTRAST)).orderBy(F.desc("t"), "piece").limit(20_000)
+        .filter((F.col("t") >= MIN_DOCS) & (ratio >= CONTRAST) & (surprise >= SIGNIFICANCE)).orderBy(F.desc("t"), "piece").limit(20_000)
     )
     grams = {r["piece"] for r in marks.collect()}
     found = by_piece.join(marks.select("piece"), "piece", "left_semi").filter("toxic_docs > 0").select("word", "toxic_docs").distinct()
