@@ -10,6 +10,7 @@ Learning uses a bounded sample of labelled documents; scoring is one narrow pass
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,7 +29,7 @@ WINDOW_WORDS = 8
 GRAM = 5  # characters of the pieces that toxic passages are put together from
 MIN_DOCS = 3  # toxic documents that a piece must come from
 CONTRAST = 5.0  # times as common in toxic documents as in ordinary ones, at least
-SIGNIFICANCE = 25.0  # of that difference, as a log-likelihood ratio
+SIGNIFICANCE = 40.0  # of that difference, as a log-likelihood ratio
 TOXIC_BYTES = 4_096
 ORDINARY_BYTES = 8_192
 TOXIC_AT = 0.7
@@ -42,23 +43,39 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LETTERS).split()
 
 
-def word_batches(batches, toxic: np.ndarray, ordinary: np.ndarray):
-    """Distinct words of the sampled documents: how often, and in how many documents of each label."""
+def pieces_of(words: set[bytes]) -> set[str]:
+    framed = [f" {w.decode()} " for w in words]
+    return {f[k:k + GRAM] for f in framed for k in range(len(f) - GRAM + 1)}
+
+
+def copy_key(words: list[bytes]) -> int:
+    """The least hash of five words in a row: alike in most near copies."""
+    return min((zlib.crc32(b" ".join(words[i:i + 5])) for i in range(max(1, len(words) - 4))), default=0)
+
+
+def key_batches(batches):
+    for batch in batches:
+        keys = [copy_key(words_of(t.as_py())) for t in batch.column(1)]
+        yield pa.record_batch([batch.column(0), pa.array(keys, pa.int64())], names=["doc_id", "key"])
+
+
+def word_batches(batches, toxic: set[int]):
+    """Distinct words and pieces of sampled documents: in how many of each label, and how often in ordinary ones."""
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        counts: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
-        for label, wanted in ((1, toxic), (0, ordinary)):
-            for i in np.flatnonzero(np.isin(ids, wanted)).tolist():
-                own = words_of(batch.column(1)[i].as_py())
-                counts[label].update(set(own))
-                if not label:
-                    counts[2].update(own)
-        words = list(counts[0].keys() | counts[1].keys())
-        yield pa.record_batch({
-            "word": pa.array(words, pa.binary()).cast(pa.string()),
-            "toxic_docs": pa.array([counts[1][w] for w in words], pa.int64()), "other_docs": pa.array([counts[0][w] for w in words], pa.int64()),
-            "other_count": pa.array([counts[2][w] for w in words], pa.int64()),
-        })
+        docs, counts = {(kind, label): Counter() for kind in "wp" for label in (0, 1)}, Counter()
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            label, own = int(doc_id in toxic), words_of(text.as_py())
+            docs["w", label].update(w.decode() for w in set(own))
+            docs["p", label].update(pieces_of(set(own)))
+            if not label:
+                counts.update(own)
+        for kind in "wp":
+            items = list(docs[kind, 0].keys() | docs[kind, 1].keys())
+            yield pa.record_batch({
+                "kind": pa.array([kind] * len(items), pa.string()), "item": pa.array(items, pa.string()),
+                "toxic_docs": pa.array([docs[kind, 1][x] for x in items], pa.int64()), "other_docs": pa.array([docs[kind, 0][x] for x in items], pa.int64()),
+                "other_count": pa.array([counts[x.encode()] if kind == "w" else 0 for x in items], pa.int64()),
+            })
 
 
 def passages(words: list[tuple[str, int]], grams: set[str]) -> list[str]:
@@ -86,25 +103,28 @@ def passages(words: list[tuple[str, int]], grams: set[str]) -> list[str]:
 
 def learn_dictionaries(docs: DataFrame, toxic_ids: list[int], other_ids: list[int]) -> tuple[bytes, bytes]:
     """Content of the toxic and the ordinary dictionary, each of a few kilobytes."""
-    toxic, other = np.array(sorted(toxic_ids), np.int64), np.array(sorted(other_ids), np.int64)
-    counted = docs.filter("doc_id is not null").selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
-        lambda batches: word_batches(batches, toxic, other), "word string, toxic_docs long, other_docs long, other_count long")
-    words = written(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic_docs", "other_docs", "other_count")]), "label-words")
-
-    framed = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - GRAM + 1, F.lit(1))), lambda i: framed.substr(i, F.lit(GRAM)))
-    by_piece = words.select("word", "toxic_docs", "other_docs", F.explode(F.array_distinct(pieces)).alias("piece"))
-    ratio = (F.col("t") / max(1, len(toxic_ids))) / ((F.col("o") + 0.5) / max(1, len(other_ids)))
-    share = len(toxic_ids) / max(1, len(toxic_ids) + len(other_ids))
-    both, other_part = F.col("t") + F.col("o"), F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / ((F.col("t") + F.col("o")) * (1 - share)))).otherwise(0.0)
-    surprise = 2 * (F.col("t") * F.log(F.col("t") / (both * share)) + other_part)
+    toxic = set(toxic_ids)
+    sample = docs.filter(F.col("doc_id").isin(toxic_ids + other_ids)).selectExpr("cast(doc_id as bigint) as doc_id", "text")
+    counted = sample.mapInArrow(
+        lambda batches: word_batches(batches, toxic), "kind string, item string, toxic_docs long, other_docs long, other_count long")
+    items = written(counted.groupBy("kind", "item").agg(*[F.sum(c).alias(c) for c in ("toxic_docs", "other_docs", "other_count")]), "label-words")
+    words = items.filter("kind = 'w'").withColumnRenamed("item", "word")
+
+    n_toxic, n_other = max(1, len(toxic_ids)), max(1, len(other_ids))
+    share = n_toxic / (n_toxic + n_other)
+    t, o = F.col("toxic_docs"), F.col("other_docs")
+    ratio = (t / n_toxic) / ((o + 0.5) / n_other)
+    surprise = 2 * (t * F.log(t / ((t + o) * share)) + F.when(o > 0, o * F.log(o / ((t + o) * (1 - share)))).otherwise(0.0))
     marks = (
-        by_piece.filter(F.length("piece") == GRAM).groupBy("piece").agg(F.sum("toxic_docs").alias("t"), F.sum("other_docs").alias("o"))
-        .filter((F.col("t") >= MIN_DOCS) & (ratio >= CONTRAST) & (surprise >= SIGNIFICANCE)).orderBy(F.desc("t"), "piece").limit(20_000)
+        items.filter("kind = 'p'").filter((t >= MIN_DOCS) & (ratio >= CONTRAST) & (surprise >= SIGNIFICANCE))
+        .orderBy(F.desc("toxic_docs"), "item").limit(20_000).select(F.col("item").alias("piece"))
     )
     grams = {r["piece"] for r in marks.collect()}
-    found = by_piece.join(marks.select("piece"), "piece", "left_semi").filter("toxic_docs > 0").select("word", "toxic_docs").distinct()
-    toxic_words = [(r["word"], r["toxic_docs"]) for r in found.orderBy(F.desc("toxic_docs"), "word").limit(20_000).collect()]
+    framed = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - GRAM + 1, F.lit(1))), lambda i: framed.substr(i, F.lit(GRAM)))
+    found = words.filter("toxic_docs > 0").select("word", "toxic_docs", F.explode(pieces).alias("piece")).join(marks, "piece", "left_semi")
+    found = found.select("word", "toxic_docs").distinct().orderBy(F.desc("toxic_docs"), "word").limit(20_000)
+    toxic_words = [(r["word"], r["toxic_docs"]) for r in found.collect()]
     common = [r["word"] for r in words.orderBy(F.desc("other_count"), "word").limit(ORDINARY_BYTES // 2).collect()]
 
     ordinary = b""
@@ -180,7 +200,11 @@ def scored(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     )
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(marks, "doc_id").distinct()
-    sample = {r["doc_id"]: int(r["toxic"] > 0) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()}
+    marked = {r["doc_id"]: int(r["toxic"] > 0) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()}
+    keys = docs.filter(F.col("doc_id").isin(list(marked))).selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(key_batches, "doc_id long, key long")
+    # one of each group of near copies, or a copied document's words would pass for common ones
+    kept = {r["doc_id"] for r in keys.groupBy("key").agg(F.min("doc_id").alias("doc_id")).collect()}
+    sample = {i: t for i, t in marked.items() if i in kept}
     toxic, other = ([i for i, t in sample.items() if t == label] for label in (1, 0))
     plain = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
     if not toxic or not other:
