@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import ship_by_value
 from . import words as wd
-from .common import table, written
+from .common import bounded_sample, table, written
 
 ship_by_value(__name__)
 
@@ -211,7 +211,7 @@ def features(counts: pd.DataFrame | dict) -> np.ndarray:
 def learn(counts: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, **growth) -> Trees | None:
     """Trees from labelled documents (label `quality`, 1 is good); None where there is no label."""
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = counts.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(sample_docs).toPandas()
+    sample = bounded_sample(counts.join(marks, "doc_id"), "doc_id", sample_docs).toPandas().sort_values(["doc_id", *COUNTS])
     if not len(sample):
         return None
     directions = np.array([DIRECTIONS.get(f, 0) for f in FEATURES])

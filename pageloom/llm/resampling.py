@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import ship_by_value
 from . import words as wd
-from .common import table, written
+from .common import bounded_sample, table, written
 
 ship_by_value(__name__)
 
@@ -137,7 +137,7 @@ def importance_resampling(
     """
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     shares = marks.agg(F.avg((F.col("quality") > 0).cast("double")).alias("good")).first()["good"]
-    ids = [r["doc_id"] for r in marks.filter("quality > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).select("doc_id").collect()]
+    ids = [r["doc_id"] for r in bounded_sample(marks.filter("quality > 0").select("doc_id"), "doc_id", target_docs).collect()]
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, ids, buckets))  # one number per bucket
     scored = written(
         docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels import ship_by_value
-from .common import table, written
+from .common import bounded_sample, table, written
 
 ship_by_value(__name__)
 
@@ -200,7 +200,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     )
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(marks, "doc_id").distinct()
-    marked = {r["doc_id"]: int(r["toxic"] > 0) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()}
+    marked = {r["doc_id"]: int(r["toxic"] > 0) for r in bounded_sample(known, "doc_id", sample_docs).collect()}
     keys = docs.filter(F.col("doc_id").isin(list(marked))).selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(key_batches, "doc_id long, key long")
     # one of each group of near copies, or a copied document's words would pass for common ones
     kept = {r["doc_id"] for r in keys.groupBy("key").agg(F.min("doc_id").alias("doc_id")).collect()}
