@@ -187,6 +187,20 @@ def identify(docs: DataFrame, text: str, model: tuple[list[str], str, np.ndarray
     )
 
 
+def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> tuple[list[str], str, np.ndarray]:
+    """A model from the documents that are labelled and not held out."""
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    return learn_profiles(labelled, sample_docs=sample_docs, top=top)
+
+
+def without_wrong_language(docs: DataFrame, least_score: float) -> DataFrame:
+    """The rows of docs, with all their columns, but texts of no language and those that are of another language than
+    `lang` says by a score of `least_score` or more."""
+    found = identify(docs, "text", learn(docs), F.struct(*docs.columns))
+    wrong = (F.col("lang_pred") == UNKNOWN) | (F.coalesce(F.col("row.lang") != F.col("lang_pred"), F.lit(False)) & (F.col("score") >= least_score))
+    return found.filter(~wrong).select("row.*")
+
+
 def language_id(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> DataFrame:
     """The language of every document, learned from (text, lang) of documents that are not held out.
 
@@ -195,8 +209,7 @@ def language_id(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = T
     no document has a language. Equally near languages go to the first by name. Rows that share a doc_id are judged one
     by one; rows without one are not learned from. Other columns are ignored; an empty table gives an empty result.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    model = learn_profiles(labelled, sample_docs=sample_docs, top=top)
+    model = learn(docs, sample_docs=sample_docs, top=top)
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"))
     return identify(docs, "text", model, row, top).select("row.doc_id", "row.held_out", "lang_pred", "score")
 

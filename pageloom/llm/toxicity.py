@@ -153,22 +153,40 @@ def window_gains(text: str | None, toxic: zstandard.ZstdCompressor, ordinary: zs
     return [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows]
 
 
+def gain_counts(texts: pa.Array, toxic: zstandard.ZstdCompressor, ordinary: zstandard.ZstdCompressor) -> list[np.ndarray]:
+    """Of each text: windows, and those that gain so many bytes or more."""
+    rows = []
+    for text in texts:
+        gains = window_gains(text.as_py(), toxic, ordinary)
+        rows.append([len(gains), *(sum(g >= k for g in gains) for k in GAINS)])
+    return list(np.array(rows, np.int64).reshape(len(rows), 1 + len(GAINS)).T)
+
+
 def gain_batches(batches, contents: tuple[bytes, bytes]):
     toxic, ordinary = map(compressor, contents)
     for batch in batches:
-        rows = []
-        for text in batch.column(1):
-            gains = window_gains(text.as_py(), toxic, ordinary)
-            rows.append([len(gains), *(sum(g >= k for g in gains) for k in GAINS)])
-        columns = np.array(rows, np.int64).reshape(len(rows), 1 + len(GAINS)).T
+        columns = gain_counts(batch.column(1), toxic, ordinary)
         yield pa.record_batch([batch.column(0), *map(pa.array, columns)], names=["doc_id", "n_windows", *(f"gain_{k}" for k in GAINS)])
 
 
-def features(counts: dict | DataFrame) -> list:
-    """What the calibration sees of a document, as numpy arrays or columns."""
-    if isinstance(counts, DataFrame):
-        n = F.col("n_windows")
-        return [f for k in GAINS for f in (F.log1p(F.col(f"gain_{k}").cast("double")), F.col(f"gain_{k}") / F.greatest(n, F.lit(1)))]
+def probability(weights: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+    x = np.column_stack(features(dict(zip(["n_windows", *(f"gain_{k}" for k in GAINS)], counts, strict=True))))
+    return 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
+
+
+def score_batches(batches, model: tuple[bytes, bytes, np.ndarray] | None):
+    """Batches whose first column is the text: the others, and the score."""
+    compressors = None if model is None else (compressor(model[0]), compressor(model[1]))
+    for batch in batches:
+        if model is None:
+            score = np.zeros(batch.num_rows)
+        else:
+            score = probability(model[2], gain_counts(batch.column(0), *compressors))
+        yield pa.record_batch([*batch.columns[1:], pa.array(score, pa.float64())], names=[*batch.schema.names[1:], "score"])
+
+
+def features(counts: dict) -> list[np.ndarray]:
+    """What the calibration sees of each document."""
     n = np.maximum(np.asarray(counts["n_windows"], float), 1)
     return [f for k in GAINS for f in (np.log1p(np.asarray(counts[f"gain_{k}"], float)), np.asarray(counts[f"gain_{k}"], float) / n)]
 
@@ -193,31 +211,40 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id and score of every document, by a model learned from those that are labelled and not held out."""
+def learn(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> tuple[bytes, bytes, np.ndarray] | None:
+    """Both dictionaries and the calibration, from documents that are labelled and not held out; None without both labels."""
     marks = (
         labels.filter("toxic is not null and doc_id is not null").filter(~held_out())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     )
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(marks, "doc_id").distinct()
     marked = {r["doc_id"]: int(r["toxic"] > 0) for r in bounded_sample(known, "doc_id", sample_docs).collect()}
-    keys = docs.filter(F.col("doc_id").isin(list(marked))).selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(key_batches, "doc_id long, key long")
+    own = docs.filter(F.col("doc_id").isin(list(marked))).selectExpr("cast(doc_id as bigint) as doc_id", "text")
+    keys = own.mapInArrow(key_batches, "doc_id long, key long")
     # one of each group of near copies, or a copied document's words would pass for common ones
     kept = {r["doc_id"] for r in keys.groupBy("key").agg(F.min("doc_id").alias("doc_id")).collect()}
     sample = {i: t for i, t in marked.items() if i in kept}
     toxic, other = ([i for i, t in sample.items() if t == label] for label in (1, 0))
-    plain = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
     if not toxic or not other:
-        return plain.select("doc_id", F.lit(0.0).alias("score"))
+        return None
     contents = learn_dictionaries(docs, toxic, other)
     counts = ", ".join(f"gain_{k} long" for k in GAINS)
-    gains = written(plain.mapInArrow(lambda batches: gain_batches(batches, contents), f"doc_id long, n_windows long, {counts}"), "window-gains")
-    learned = gains.filter(F.col("doc_id").isin(list(sample))).toPandas()
-    weights = calibrate(np.column_stack(features(learned)), learned["doc_id"].map(sample).to_numpy(float))
-    value = F.lit(float(weights[0]))
-    for w, f in zip(weights[1:], features(gains), strict=True):
-        value = value + F.lit(float(w)) * f
-    return gains.select("doc_id", (1 / (1 + F.exp(-value))).alias("score"))
+    learned = own.mapInArrow(lambda batches: gain_batches(batches, contents), f"doc_id long, n_windows long, {counts}").toPandas()
+    learned = learned.sort_values(list(learned.columns))
+    return *contents, calibrate(np.column_stack(features(learned)), learned["doc_id"].map(marked).to_numpy(float))
+
+
+def scored(docs: DataFrame, labels: DataFrame, row: Column, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """`row` and score of every document."""
+    model = learn(docs, labels, sample_docs=sample_docs)
+    plain = docs.select("text", row.alias("row"))
+    kind = plain.schema["row"].dataType.simpleString()
+    return plain.mapInArrow(lambda batches: score_batches(batches, model), f"row {kind}, score double")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, toxic_at: float = TOXIC_AT) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below `toxic_at`."""
+    return scored(docs, labels, F.struct(*docs.columns)).filter(F.col("score") < toxic_at).select("row.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, toxic_at: float = TOXIC_AT) -> DataFrame:
@@ -228,8 +255,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DO
     a doc_id are scored one by one and learned from together; a document with several labels is toxic if one says so; rows
     without doc_id are scored, never learned from. Other columns are ignored; an empty table gives an empty result.
     """
-    return scored(docs, labels, sample_docs=sample_docs).select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxic_at).cast("int").alias("predicted"))
+    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"))
+    return scored(docs, labels, row, sample_docs=sample_docs).select(
+        "row.doc_id", "row.held_out", "score", (F.col("score") >= toxic_at).cast("int").alias("predicted"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
