@@ -60,9 +60,10 @@ def gram_counts(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.n
     two, three = 1 << SHIFT, (1 << SHIFT) + (1 << 2 * SHIFT)
     letter = b > 0
     left = letter | (a > 0)
+    pair_at = np.where(a > 0, doc[:-2], doc[1:-1]) << CODE_BITS  # a 0 after a text is the next one's, the pair is not
     keys = np.concatenate([
         (at + b)[letter],
-        (at + two + (a << SHIFT) + b)[left],
+        (pair_at + two + (a << SHIFT) + b)[left],
         (at + three + (a << 2 * SHIFT) + (b << SHIFT) + c)[letter],
     ])
     keys.sort()
