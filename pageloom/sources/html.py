@@ -49,6 +49,15 @@ IMPLIED_END = {
     "body": (frozenset({"head"}), frozenset()),
 }
 P_ONLY = frozenset({"p"})
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+# Elements that formatting does not reach into from outside.
+WALLS = frozenset("td th caption applet marquee object template".split())
+HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
+# Start tags before which open formatting is not taken up again.
+PLAIN_START = CLOSES_P | HEAD_ONLY | frozenset(
+    "html head body frame frameset li dt dd caption col colgroup tbody td tfoot th thead tr param source track textarea iframe noembed noframes".split()
+)
+MAX_ALIKE = 3  # equal formatting elements that are taken up again
 MAX_DEPTH = 512  # deeper elements become siblings at the limit, as in browsers
 
 TOKEN = re.compile(
@@ -82,19 +91,31 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def parse_page(source: str) -> tuple[list[dict], list[str], list[int]]:
-    """Nodes, texts and text owners of one page."""
+    """Nodes, texts and text owners of one page.
+
+    As in a browser: html, head and body are there even if the page does not write them, text outside all elements
+    belongs to body, and formatting that its block cut off goes on in the next one (`<p><b>x<p>y` has two b elements).
+    An end tag of formatting that was opened outside the current block ends it for what follows, not for that block.
+    """
     nodes: list[dict] = []
     texts: list[str] = []
     owners: list[int] = []
     stack: list[dict] = []
     children: dict[int, int] = {}
     last_child: dict[int, int] = {}
+    active: list[tuple[str, dict[str, str], int] | None] = []  # formatting (tag, attributes, node); None is a wall
+    open_ids: set[int] = set()
+    had = {"head": False, "body": False}
 
     def close_to(level: int) -> None:
         while len(stack) > level:
             node = stack.pop()
+            open_ids.discard(node["node_id"])
             node["end_id"] = len(nodes) - 1
             node["text_to"] = len(texts)
+            if node["tag"] in WALLS and None in active:
+                while active.pop() is not None:
+                    pass
 
     def find_open(wanted, stops) -> int:
         for level in range(len(stack) - 1, -1, -1):
@@ -105,7 +126,7 @@ def parse_page(source: str) -> tuple[list[dict], list[str], list[int]]:
                 return -1
         return -1
 
-    def open_node(tag: str, attrs: dict[str, str]) -> None:
+    def open_node(tag: str, attrs: dict[str, str]) -> int:
         if len(stack) >= MAX_DEPTH:
             close_to(MAX_DEPTH - 1)
         parent = stack[-1]["node_id"] if stack else -1
@@ -120,11 +141,73 @@ def parse_page(source: str) -> tuple[list[dict], list[str], list[int]]:
         last_child[parent] = node_id
         nodes.append(node)
         stack.append(node)
+        open_ids.add(node_id)
+        if tag in had:
+            had[tag] = True
+        return node_id
+
+    def imply(tag: str | None) -> None:
+        """Opens html, head and body where a start tag (None: text) needs them."""
+        if tag == "html":
+            return
+        if not stack:
+            open_node("html", {})
+        if had["body"] or tag in ("head", "body", "frameset"):
+            return
+        if tag in HEAD_ONLY:
+            if not had["head"]:
+                open_node("head", {})
+            return
+        if not had["head"]:
+            open_node("head", {})
+        if stack[-1]["tag"] in ("head", "html"):
+            close_to(1)
+            open_node("body", {})
+
+    def take_up() -> None:
+        """Opens formatting again that is active but no longer open."""
+        at = len(active)
+        while at and active[at - 1] is not None and active[at - 1][2] not in open_ids:
+            at -= 1
+        for i in range(at, len(active)):
+            tag, attrs, _ = active[i]
+            active[i] = (tag, attrs, open_node(tag, attrs))
+
+    def start_formatting(tag: str, attrs: dict[str, str]) -> None:
+        alike = []
+        for i in range(len(active) - 1, -1, -1):
+            if active[i] is None:
+                break
+            if active[i][:2] == (tag, attrs):
+                alike.append(i)
+        node_id = open_node(tag, attrs)
+        if len(alike) >= MAX_ALIKE:
+            del active[alike[-1]]
+        active.append((tag, attrs, node_id))
+
+    def end_formatting(tag: str) -> None:
+        for i in range(len(active) - 1, -1, -1):
+            if active[i] is None:
+                return
+            if active[i][0] == tag:
+                node_id = active.pop(i)[2]
+                level = next((k for k, n in enumerate(stack) if n["node_id"] == node_id), -1)
+                if level >= 0 and all(n["tag"] in INLINE for n in stack[level:]):
+                    close_to(level)
+                return
 
     def add_text(raw: str, decode: bool = True) -> None:
-        if raw and stack:
-            texts.append(_html.unescape(raw) if decode and "&" in raw else raw)
-            owners.append(stack[-1]["node_id"])
+        if not raw:
+            return
+        if decode and not (stack and stack[-1]["tag"] in ESCAPABLE_RAW_TEXT):
+            if not had["body"] and not raw.strip(" \t\n\r\f"):
+                if len(stack) < 2:
+                    return  # white space before head and body is nobody's
+            else:
+                imply(None)
+                take_up()
+        texts.append(_html.unescape(raw) if decode and "&" in raw else raw)
+        owners.append(stack[-1]["node_id"])
 
     pos, size = 0, len(source)
     while pos < size:
@@ -138,17 +221,30 @@ def parse_page(source: str) -> tuple[list[dict], list[str], list[int]]:
         end_tag, start_tag, attr_source = m.group(1), m.group(2), m.group(3)
         if start_tag:
             tag = start_tag.lower()
+            if (tag == "html" and stack) or (tag in had and had[tag]):
+                continue
+            imply(tag)
             if tag in CLOSES_P and stack:
                 level = find_open(P_ONLY, SCOPE)
                 if level >= 0:
                     close_to(level)
-            if tag in IMPLIED_END:
+            if tag in IMPLIED_END and tag != "a":
                 level = find_open(*IMPLIED_END[tag])
                 if level >= 0:
                     close_to(level)
-            open_node(tag, _attributes(attr_source) if attr_source and attr_source.strip(" /\n\t\r") else {})
-            foreign = attr_source.endswith("/") and any(n["tag"] in ("svg", "math") for n in stack)
-            if tag in VOID or foreign:
+            if tag in ("a", "nobr"):
+                end_formatting(tag)
+            attrs = _attributes(attr_source) if attr_source and attr_source.strip(" /\n\t\r") else {}
+            foreign = any(n["tag"] in ("svg", "math") for n in stack)
+            if tag not in PLAIN_START and not foreign:
+                take_up()
+            if tag in FORMATTING and not foreign:
+                start_formatting(tag, attrs)
+            else:
+                open_node(tag, attrs)
+                if tag in WALLS:
+                    active.append(None)
+            if tag in VOID or (foreign and attr_source.endswith("/")) or (tag in ("svg", "math") and attr_source.endswith("/")):
                 close_to(len(stack) - 1)
             elif tag in RAW_TEXT or tag in ESCAPABLE_RAW_TEXT:
                 stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, pos)
@@ -157,6 +253,11 @@ def parse_page(source: str) -> tuple[list[dict], list[str], list[int]]:
                 pos = until
         elif end_tag:
             tag = end_tag.lower()
+            if tag in ("html", "body"):
+                continue  # what follows still belongs to body
+            if tag in FORMATTING:
+                end_formatting(tag)
+                continue
             level = len(stack) - 1
             if level >= 0 and stack[level]["tag"] != tag:
                 # an inline end tag does not reach out of the block it stands in
@@ -166,6 +267,7 @@ def parse_page(source: str) -> tuple[list[dict], list[str], list[int]]:
             if level >= 0:
                 close_to(level)
             elif tag == "p":
+                imply("p")
                 open_node("p", {})
                 close_to(len(stack) - 1)
     close_to(0)

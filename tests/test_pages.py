@@ -32,14 +32,38 @@ def test_intervals_nest(parts):
 
 def test_parser_rules():
     tags = lambda h: [n["tag"] for n in parse_page(h)[0]]
-    assert tags('<script>var t="</p>";</script><p>x') == ["script", "p"]
+    assert tags('<script>var t="</p>";</script><p>x') == ["html", "head", "script", "body", "p"]
     nodes, texts, _ = parse_page('<p>a<p>b &amp; c</p><a title="1>2" HREF=x>l</a>')
-    assert [n["parent_id"] for n in nodes] == [-1, -1, -1] and texts == ["a", "b & c", "l"]
-    assert dict(nodes[2]["attrs"]) == {"title": "1>2", "href": "x"}
+    assert [n["parent_id"] for n in nodes] == [-1, 0, 0, 2, 2, 2] and texts == ["a", "b & c", "l"]
+    assert dict(nodes[5]["attrs"]) == {"title": "1>2", "href": "x"}
     deep, _, _ = parse_page("<div>" * 2000)
     assert max(n["depth"] for n in deep) == 511
 
 
+def shape(source):
+    """Elements with their own texts, nested as brackets."""
+    nodes, texts, owners = parse_page(source)
+    own = [[t for t, o in zip(texts, owners, strict=True) if o == n["node_id"]] for n in nodes]
+
+    def draw(i):
+        return nodes[i]["tag"] + "".join(own[i]) + "".join(f"[{draw(n['node_id'])}]" for n in nodes if n["parent_id"] == i)
+    return draw(0).removeprefix("html[head][body").removesuffix("]") if nodes else ""
+
+
+@pytest.mark.parametrize("source, want", [
+    ("hello <p>x</p> tail", "hello  tail[p[x]".replace("[p[x]", "[px]")),
+    ("<p><b>a<br><p>b", "[p[ba[br]]][p[bb]]"),
+    ("<p><b>1<p><b>2<p><b>3<p><b>4<p>5", "[p[b1]][p[b[b2]]][p[b[b[b3]]]][p[b[b[b[b4]]]]][p[b[b[b5]]]]"),
+    ("<b>x<i>y</b>z</i>w", "w[bx[iy]][iz]"),
+    ("<table><tr><td><b>x<td>y</table>z", "z[table[tr[td[bx]][tdy]]]"),
+    ("<p>a</body> b</html>", "[pa b]"),
+    ("<a href=1>x<a href=2>y", "[ax][ay]"),
+    ("<p>a<b>b</p>c</b>d", "d[pa[bb]][bc]"),
+])
+def test_formatting_goes_on_and_no_text_is_lost(source, want):
+    assert shape(source) == want
+
+
 PAGE = '<main id="m"><div class="a b"><p>1</p><p data-k="xyz">2</p></div><ul><li><a href="/p/1">x</a></li><li>y</li></ul></main>'
 
 
