@@ -249,7 +249,8 @@ def substring_dedup(
     sketch, merge = partial(sketch_block, **sizes), partial(merge_sketches, width=width)
     likely, clean = partial(candidates, **sizes), partial(remove_repeats, window=window)
 
-    sketches = own.select("block", "text").groupBy("block").applyInArrow(lambda k, t: sketch(k, t), "shard int, block int, payload binary")
+    # all three readings need the very same columns, or Spark would deal the text out again
+    sketches = own.groupBy("block").applyInArrow(lambda k, t: sketch(k, t), "shard int, block int, payload binary")
     estimates = sketches.groupBy("shard").applyInArrow(lambda k, t: merge(k, t), "block int, shard int, reply binary")
     found = own.groupBy("block").cogroup(estimates.groupBy("block")).applyInArrow(
         lambda k, a, b: likely(k, a, b), "shard int, block int, payload binary")
