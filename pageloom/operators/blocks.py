@@ -307,6 +307,11 @@ def finish_blocks(parts: DataFrame) -> DataFrame:
     )
 
 
+def by_node(a: Column, b: Column) -> Column:
+    """Document order; items hold maps, which have no order of their own."""
+    return (a["node_id"] - b["node_id"]).cast("int")
+
+
 # ---- page-wide steps -----------------------------------------------------
 def suppress_consumed(rows: DataFrame) -> DataFrame:
     """Drop candidates inside what an earlier candidate used up.
@@ -339,19 +344,23 @@ def group_lists(rows: DataFrame) -> DataFrame:
     marked = marked.withColumn("opens", F.col("top") & ~follows)
     number = F.sum(F.col("opens").cast("int")).over(w)
     marked = marked.withColumn("island", F.when(F.col("top"), number).otherwise(-2 - F.col("node_id")))
-    group = Window.partitionBy("page_id", "island").orderBy("node_id").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
+    group = Window.partitionBy("page_id", "island")
     item = F.get("block.items", F.lit(0))
-    marked = marked.withColumn("all_items", F.collect_list(F.when(F.col("top") & (item["text"] != ""), item)).over(group))
-    alive = F.col("top") & (F.size("all_items") > 0)
+    filled = F.col("top") & (item["text"] != "")
+    # counted over the window, gathered only once per list: copies of a list on each of its rows would be its square
+    marked = marked.withColumn("n_items", F.sum(F.when(filled, 1).otherwise(0)).over(group))
+    alive = F.col("top") & (F.col("n_items") > 0)
     covered = F.coalesce(F.max(F.when(alive, F.col("end_id"))).over(before) >= F.col("node_id"), F.lit(False))
     marked = marked.withColumn("covered", covered)
-    kept = marked.filter(
-        F.when(F.col("top"), F.col("opens") & (F.size("all_items") > 0)).otherwise(~F.col("covered"))
+    kept = marked.filter(F.when(F.col("top"), F.col("n_items") > 0).otherwise(~F.col("covered")))
+    rest = [c for c in rows.columns if c not in ("page_id", "rank", "end_rank")]
+    lists = kept.groupBy("page_id", "island").agg(
+        F.min_by(F.struct("top", *rest), "node_id").alias("row"),
+        F.array_sort(F.collect_list(F.when(filled, F.struct("node_id", item.alias("item")))), by_node).alias("found"),
     )
-    merged = F.when(F.col("top"), F.col("block").withField("items", F.col("all_items"))).otherwise(F.col("block"))
-    return kept.withColumn("block", merged).drop("top", "last", "opens", "island", "all_items", "covered", "rank", "end_rank")
+    block = F.col("row.block")
+    merged = F.when(F.col("row.top"), block.withField("items", F.transform("found", lambda x: x["item"]))).otherwise(block)
+    return lists.select("page_id", *[merged.alias(c) if c == "block" else F.col(f"row.{c}").alias(c) for c in rest])
 
 
 def outermost(rows: DataFrame) -> DataFrame:

@@ -100,7 +100,3 @@ def adapter_coverage(pages: DataFrame, adapters: list[Adapter]) -> DataFrame:
         .groupBy("host", "adapter_id", "reason")
         .agg(F.count("*").alias("n_pages"))
     )
-
-
-def latest_first(key: str, order: str):
-    return Window.partitionBy(key).orderBy(F.col(order).desc())

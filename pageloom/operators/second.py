@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.css import text_style
 from ..functions.text import handwritten_marker, normalize_text
 from ..schema import BLOCK_FIELDS, VIDEO
-from .blocks import _code, _gallery, _image, _table, make_block, under
+from .blocks import _code, _gallery, _image, _table, by_node, make_block, under
 from .marks import is_, within
 from .richtext import annotations
 from .tree import attr, first_of, let, make_struct
@@ -118,11 +118,14 @@ def second_extraction(blocks: DataFrame) -> DataFrame:
     prev = F.lag(F.struct("is_item", F.col("block.kind").alias("kind"))).over(w)
     same = F.col("is_item") & F.coalesce(prev["is_item"] & (prev["kind"] == F.col("block.kind")), F.lit(False))
     grouped = seen.withColumn("starts", ~same).withColumn("group", F.sum(F.col("starts").cast("int")).over(w))
-    members = Window.partitionBy("page_id", "group").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    items = F.flatten(F.collect_list("block.items").over(members))
-    merged = grouped.withColumn("all_items", items).filter("starts and block is not null")
-    block = F.when(F.col("block.type") == "list", F.col("block").withField("items", F.col("all_items"))).otherwise(F.col("block"))
-    numbered = merged.withColumn("block", block).withColumn("block_pos", F.row_number().over(w) - 1)
+    merged = grouped.groupBy("page_id", "group").agg(
+        F.min("node_id").alias("node_id"), F.min_by(F.struct("block"), "node_id").alias("first"),
+        F.array_sort(F.collect_list(F.when(F.col("block.items").isNotNull(), F.struct("node_id", F.col("block.items").alias("items")))), by_node).alias("found"),
+    ).filter("first.block is not null")
+    block = F.col("first.block")
+    items = F.flatten(F.transform("found", lambda x: x["items"]))
+    whole = F.when(block["type"] == "list", block.withField("items", items)).otherwise(block)
+    numbered = merged.withColumn("block", whole).withColumn("block_pos", F.row_number().over(w) - 1)
     return numbered.select(
         "page_id", "block_pos", F.concat(F.col("page_id").cast("string"), F.lit("-b"), F.col("block_pos") + 1).alias("block_id"), "block"
     )

@@ -378,29 +378,33 @@ def text_runs(text: Column, ranges: Column) -> Column:
         ).otherwise(F.expr(f"cast(array() as array<{RUN}>)"))
         return F.concat(acc["runs"], rest)
 
-    return F.aggregate(ordered, zero, step, close)
+    whole = F.filter(F.array(run(F.lit(0), F.length(text), F.lit(False), none, no)), lambda r: r["end"] > 0)
+    return F.coalesce(F.aggregate(ordered, zero, step, close), whole)  # without ranges the text is one plain run
 
 
 MOVES = {"next": 1, "previous": -1}
 
 
-def replay_navigation(moves: DataFrame, units: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+def replay_navigation(moves: DataFrame, units: DataFrame, slice_seconds: int = 3_600, salts: int = 32) -> DataFrame:
     """Where a reader ends up after their moves.
 
     moves: reader_id, article_id, ts, seq, move (next, previous, first, last,
     set), target. units: article_id, n_units. Every move is x -> min(hi, max(lo,
     x + add)), and chains of such steps are again one such step. So a log is
     folded per time slice first, then over the slices; no reader's whole log is
-    ever in one group.
+    ever in one group. A much-read article is joined in `salts` parts, dealt out
+    by reader and slice.
     """
-    known = moves.join(units.filter("n_units > 0"), "article_id")
+    at = F.floor(F.unix_timestamp("ts") / slice_seconds)
+    parts = units.filter("n_units > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    known = moves.withColumn("salt", F.pmod(F.xxhash64("reader_id", at), F.lit(salts)).cast("int")).join(parts, ["article_id", "salt"])
     top = F.col("n_units") - 1
     jump = F.when(F.col("move") == "first", 0).when(F.col("move") == "last", top).when(
         F.col("move") == "set", F.greatest(F.lit(0), F.least(top, F.col("target")))
     )
     add = F.coalesce(F.create_map(*[F.lit(v) for kv in MOVES.items() for v in kv])[F.col("move")], F.lit(0))
     step = known.select(
-        "reader_id", "article_id", "ts", "seq", F.floor(F.unix_timestamp("ts") / slice_seconds).alias("slice"),
+        "reader_id", "article_id", "ts", "seq", at.alias("slice"),
         F.when(jump.isNull(), add).otherwise(0).cast("bigint").alias("add"),
         F.coalesce(jump, F.lit(0)).cast("bigint").alias("lo"), F.coalesce(jump, top).cast("bigint").alias("hi"),
     )

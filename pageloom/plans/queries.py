@@ -32,7 +32,7 @@ from ..operators.tree import Tree, attr, select
 from ..sources import articles as store
 from ..sources.adapters import CORPUS, EXAMPLE_ARTICLE
 from ..sources.html import node_rows, parse_nodes, raw_tokens, text_rows
-from ..sources.pages import read_pages, spread
+from ..sources.pages import read_pages
 from ..streaming import progress as prog
 from ..streaming import stability as stab
 from .extract import blocks_of, extract, pages_of, parsed_pages, ready_pages
@@ -59,7 +59,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_pages(spark, f"{sf_dir}/pages.parquet"), "page_id")
+    return read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 @lru_cache(maxsize=8)
@@ -607,7 +607,3 @@ def st10_media_clicks(spark, d):
         upgrade_image_url(F.lit("https://pbs.twimg.com/media/a?name=small")).alias("src"),
     ))
     return stab.click_counts(clicks, "1 day")
-
-
-def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages_of(rows_of(spark, sf_dir))

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A page is one HTML string, so an Arrow batch of pages has to stay short.
+    # A page is one HTML string, so an Arrow batch of pages has to stay short, in rows and in bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
-    # Page tables are hash partitioned by page_id; joins on (page_id, node_id)
-    # may then keep that partitioning instead of shuffling again.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # Recording a Python stack per column call makes long expressions slow to build.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
@@ -25,7 +21,7 @@ SETTINGS = {
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
@@ -40,18 +36,10 @@ def local_session(cores: int | str = "*", app: str = "pageloom", memory: str = "
     return tune(spark)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temp folder only where none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    fallback = tempfile.mkdtemp(prefix="pageloom-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
-
-
 def tune(spark: SparkSession) -> SparkSession:
-    """Runtime settings for a session somebody else made."""
+    """Runtime settings for a session somebody else made; what its owner set stays."""
+    owned = spark.sparkContext.getConf()
     for key, value in RUNTIME.items():
-        spark.conf.set(key, value)
+        if not owned.contains(key):
+            spark.conf.set(key, value)
     return spark

@@ -24,7 +24,7 @@ def read_articles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def upsert_articles(store: DataFrame | None, updates: DataFrame, key: str = "article_id", order: tuple[str, ...] = ("extracted_at",)) -> DataFrame:
     """S3: whole records by id, the last write wins.
 
-    max_by folds the copies of a hot id before the shuffle; a sort would not.
+    max_by folds the copies of a hot id into one row per task before the shuffle (by a sort within the task).
     """
     both = updates if store is None else store.unionByName(updates)
     rest = [c for c in both.columns if c != key]

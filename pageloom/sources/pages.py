@@ -6,17 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core when the scan has fewer splits than the cluster has cores.
-
-    Large inputs have far more splits than cores and pass through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
-
-
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """(page_id, url, html). `fmt='html'` scans a folder of saved pages."""
     if fmt == "html":

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..kernels import ship_by_value
 from ..schema import HLS
 
+ship_by_value(__name__)
+
 # Fixed values.
 VIDEO_ID = "amplify_video/([0-9]+)/"
 POSTER_ID = "amplify_video(?:_thumb)?/([0-9]+)"
-SLICE = "1 hour"
 
 
 def classify_requests(requests: DataFrame) -> DataFrame:
-    """Playlist requests as (tab, video, slot, label, url); everything else is dropped."""
+    """Playlist requests as (tab, video, slot, label, url); everything else is dropped. `seq` orders requests of one
+    moment; without that column the greater URL is the later one."""
+    if "seq" not in requests.columns:
+        requests = requests.withColumn("seq", F.lit(0))
     url = F.col("url")
     resolution = F.regexp_extract(url, "/([0-9]+x[0-9]+)/", 1)
     bitrate = F.regexp_extract(url, "/pl/mp4a/([^/]+)/", 1)
@@ -26,14 +31,14 @@ def classify_requests(requests: DataFrame) -> DataFrame:
     label = F.when(slot == "variant", resolution).when(slot == "audio", bitrate).otherwise(F.lit(""))
     kept = requests.filter((F.col("tab_id") >= 0) & url.contains(".m3u8") & F.regexp_like(url, F.lit(VIDEO_ID)))
     return kept.select(
-        "tab_id", "ts", F.regexp_extract(url, VIDEO_ID, 1).alias("video_id"), slot.alias("slot"), label.alias("label"), "url"
+        "tab_id", "ts", "seq", F.regexp_extract(url, VIDEO_ID, 1).alias("video_id"), slot.alias("slot"), label.alias("label"), "url"
     ).filter("slot is not null")
 
 
 def latest_slots(requests: DataFrame) -> DataFrame:
     """ST1: last URL per (tab, video, slot, label). Partial aggregates absorb a hot tab."""
     return classify_requests(requests).groupBy("tab_id", "video_id", "slot", "label").agg(
-        F.max_by("url", "ts").alias("url"), F.max("ts").alias("ts")
+        F.max_by("url", F.struct("ts", "seq", "url")).alias("url"), F.max("ts").alias("ts")
     )
 
 
@@ -54,7 +59,7 @@ def captured_videos(slots: DataFrame, posters: DataFrame | None = None) -> DataF
     if posters is None:
         return videos.withColumn("poster", F.lit(None).cast("string"))
     latest = posters.filter("coalesce(poster, '') <> '' and coalesce(video_id, '') <> ''").groupBy("tab_id", "video_id").agg(
-        F.max_by("poster", "ts").alias("poster")
+        F.max_by("poster", F.struct("ts", "poster")).alias("poster")
     )
     return videos.join(latest, ["tab_id", "video_id"], "full_outer")
 
@@ -100,9 +105,43 @@ def match_videos(players: DataFrame, videos: DataFrame) -> DataFrame:
     return rest.select("player_id", players["tab_id"], F.coalesce("m.vid", "poster_vid").alias("video_id"))
 
 
-def stream_slots(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """ST1 on a stream: state is bounded by the watermark; rows later than that are dropped."""
-    kept = classify_requests(requests.withWatermark("ts", late))
-    return kept.groupBy(F.window("ts", SLICE), "tab_id", "video_id", "slot", "label").agg(
-        F.max_by("url", "ts").alias("url"), F.max("ts").alias("last_ts")
-    )
+def _tab_slots(key, batches, state):
+    """Slots of one tab that a micro-batch changes. State: the last navigation and the last request of each slot."""
+    import json
+
+    import pandas as pd
+
+    cleared, slots = (None, {}) if not state.exists else (lambda s: (s["cleared"], s["slots"]))(json.loads(state.get[0]))
+    changed = set()
+    rows = pd.concat(list(batches))
+    rows = rows.sort_values(["ts", "seq", "url"], na_position="first")
+    for r in rows.itertuples():
+        at = [r.ts.isoformat(), int(r.seq)]
+        if r.slot is None:  # a navigation
+            if cleared is None or at > cleared:
+                cleared = at
+                slots = {k: v for k, v in slots.items() if v[0] > cleared}
+            continue
+        name = json.dumps([r.video_id, r.slot, r.label])
+        if (cleared is None or at > cleared) and (name not in slots or [at, r.url] > slots[name]):
+            slots[name] = [at, r.url]
+            changed.add(name)
+    state.update((json.dumps({"cleared": cleared, "slots": slots}),))
+    out = [(key[0], *json.loads(n), slots[n][1], pd.Timestamp(slots[n][0][0])) for n in sorted(changed) if n in slots]
+    yield pd.DataFrame(out, columns=["tab_id", "video_id", "slot", "label", "url", "ts"])
+
+
+def stream_slots(requests: DataFrame, navigations: DataFrame | None = None) -> DataFrame:
+    """ST1 and ST2 on a stream: in update mode, the last URL of each (tab, video, slot, label) since the tab's last
+    navigation, whenever it changes. One small state per tab, which a navigation (also the last, when a tab closes)
+    empties. Rows may come late: what is older than the state changes nothing.
+
+    requests: tab_id, ts, seq, url. navigations: tab_id, ts, seq."""
+    none = F.lit(None).cast("string")
+    seen = classify_requests(requests).withColumn("seq", F.col("seq").cast("bigint"))
+    if navigations is not None:
+        seen = seen.unionByName(navigations.select(
+            "tab_id", "ts", F.col("seq").cast("bigint").alias("seq"), *[none.alias(c) for c in ("video_id", "slot", "label", "url")]))
+    return seen.groupBy("tab_id").applyInPandasWithState(
+        _tab_slots, f"tab_id {seen.schema['tab_id'].dataType.simpleString()}, video_id string, slot string, label string, url string, ts timestamp",
+        "held string", "update", "NoTimeout")

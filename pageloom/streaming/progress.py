@@ -20,8 +20,8 @@ def parse_progress(raw: DataFrame, json_col: str = "value") -> DataFrame:
 def latest_progress(progress: DataFrame, keys: tuple[str, ...] = ("reader_id", "article_id"), order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
     """ST5: last saved value per key.
 
-    max_by keeps one row per key in partial aggregates, so a hot key costs one
-    row per task, on a batch and in update mode on a stream alike. Late rows do
+    max_by keeps one row per key in partial (sort) aggregates, so a hot key is
+    one row per task after them, on a batch and in update mode on a stream alike. Late rows do
     no harm: an older value never wins.
     """
     values = [c for c in progress.columns if c not in keys]

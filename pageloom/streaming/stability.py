@@ -10,6 +10,19 @@ MAX_CHECKS = 40
 CHECK_MS = 250
 
 
+def readiness_budget(checks: DataFrame, key: str = "tab_id", max_checks: int = MAX_CHECKS, check_ms: int = CHECK_MS) -> DataFrame:
+    """ST9: the outcome of repeated checks: ready at the first check without a reason, else not ready with the last reason.
+
+    checks: key, check_no (from 1), not_ready. Checks beyond the budget are never looked at."""
+    ready_at = F.min(F.when(F.col("not_ready").isNull(), F.col("check_no")))
+    found = checks.filter(F.col("check_no").between(1, max_checks)).groupBy(key).agg(
+        ready_at.alias("ready_at"), F.max("check_no").alias("checked"), F.max_by("not_ready", "check_no").alias("last"))
+    ready = F.col("ready_at").isNotNull()
+    return found.select(
+        key, F.when(ready, "READY").otherwise("NOT_READY").alias("state"), F.when(~ready, F.col("last")).alias("reason"),
+        (F.coalesce("ready_at", "checked") * check_ms).alias("waited_ms"))
+
+
 def stable_window(snapshots: DataFrame, quiet_ms: int, key: str = "page_id", slice_seconds: int = 86_400, seq: str = "seq") -> DataFrame:
     """ST9: for every content change, how long the page then stayed quiet.
 

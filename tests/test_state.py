@@ -52,6 +52,22 @@ def drain(query):
     query.stop()
 
 
+def test_capture_stream_forgets_what_a_navigation_clears(spark, tmp_path):
+    seen = requests(spark).withColumn("seq", F.lit(1))
+    moved = ts(spark.createDataFrame([(1, "2024-01-01 00:00:04", 2)], "tab_id int, ts string, seq int"))
+    out = cap.stream_slots(stream_of(spark, seen, "in", tmp_path), stream_of(spark, moved, "nav", tmp_path))
+    q = out.writeStream.outputMode("update").format("memory").queryName("cleared").option("checkpointLocation", str(tmp_path / "cp")).start()
+    drain(q)
+    assert [(r.video_id, r.slot) for r in spark.table("cleared").collect()] == [("8", "variant")]
+
+
+def test_readiness_budget(spark):
+    rows = [("a", 1, "x"), ("a", 2, None), ("a", 3, "y"), ("b", 1, "x"), ("b", 2, "z"), ("c", 41, None), ("c", 1, "w")]
+    checks = spark.createDataFrame(rows, "tab_id string, check_no int, not_ready string")
+    got = {r.tab_id: (r.state, r.reason, r.waited_ms) for r in stab.readiness_budget(checks).collect()}
+    assert got == {"a": ("READY", None, 500), "b": ("NOT_READY", "z", 500), "c": ("NOT_READY", "w", 250)}
+
+
 def test_capture_stream(spark, tmp_path):
     out = cap.stream_slots(stream_of(spark, requests(spark), "in", tmp_path))
     q = out.writeStream.outputMode("update").format("memory").queryName("slots").option("checkpointLocation", str(tmp_path / "cp")).start()

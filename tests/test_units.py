@@ -102,8 +102,14 @@ def test_navigation_matches_replay(spark):
 def test_table_functions(spark):
     from pageloom.functions.udtf import register_table_functions
     register_table_functions(spark)
-    assert [r.tag for r in spark.sql("select * from parse_nodes('<ul><li>a<li>b</ul>')").collect()] == ["ul", "li", "li"]
+    assert [r.tag for r in spark.sql("select * from parse_nodes('<ul><li>a<li>b</ul>')").collect()] == ["html", "head", "body", "ul", "li", "li"]
     docs = spark.createDataFrame([(1, "One. Two.")], "id int, body string")
     docs.createOrReplaceTempView("docs_for_units")
     rows = spark.sql("select d.id, u.text from docs_for_units d, lateral split_units(d.body) u").collect()
     assert [(r.id, r.text) for r in rows] == [(1, "One. Two.")]
+
+
+def test_text_without_ranges_is_one_plain_run(spark):
+    df = spark.createDataFrame([("abc",), ("",)], "text string")
+    none = F.lit(None).cast("array<struct<start:int,end:int,href:string,bold:boolean>>")
+    assert [[(r.text, r.annotated) for r in row.runs] for row in df.select(un.text_runs(F.col("text"), none).alias("runs")).collect()] == [[("abc", False)], []]
