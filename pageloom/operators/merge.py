@@ -81,9 +81,13 @@ def merge_extractions(primary: DataFrame, clean: DataFrame, key: str = "article_
     """A5: (merged blocks, stats). Inputs: key, block_pos (dense from 0), block_id, block.
 
     Only the equivalence keys of an article go through the ordered kernel. The
-    blocks themselves stay in Spark and are joined back by position.
+    blocks themselves stay in Spark and are joined back by position. An article
+    without primary blocks keeps its clean ones as they are, with a stats row of
+    zeros.
     """
     t = F.col("block.type")
+    known = primary.select(key).distinct()
+    alone, clean = clean.join(known, key, "left_anti"), clean.join(known, key, "left_semi")
     replaceable = t.isin(*REPLACEABLE)
     p = primary.withColumn("eq", F.when(replaceable, block_equivalence_key(F.col("block"))))
     c = clean.withColumn("eq", block_equivalence_key(F.col("block")))
@@ -124,4 +128,7 @@ def merge_extractions(primary: DataFrame, clean: DataFrame, key: str = "article_
     )
     order_type = "struct<p:int,s:int,c:int>"
     cast = lambda df: df.withColumn("order", F.col("order").cast(order_type)).withColumn("block", F.col("block").cast(BLOCK))
-    return cast(kept).unionByName(cast(extra)), stats
+    passed = alone.select(
+        key, F.struct(F.col("block_pos").cast("int").alias("p"), F.lit(1).alias("s"), F.lit(0).alias("c")).alias("order"), "block_id", "block")
+    nothing = alone.select(key).distinct().select(key, *[F.lit(0).cast("bigint").alias(c) for c in stats.columns if c != key])
+    return cast(kept).unionByName(cast(extra)).unionByName(cast(passed)), stats.unionByName(nothing)

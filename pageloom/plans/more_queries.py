@@ -11,6 +11,8 @@ from ..functions import numbers as num
 from ..functions import text as txt
 from ..functions import urls
 from ..operators import articles as art
+from ..operators.blocks import make_block
+from ..operators.merge import merge_extractions
 from ..operators import media_links as links
 from ..operators import reports as rep
 from ..operators import units as un
@@ -119,11 +121,11 @@ DATES = "case k % 6 when 0 then '3h' when 1 then '12:34' when 2 then 'Jan 5' whe
 
 @query(f"""
     with {sql_events(label=DATES)}
-    select event_id, k % 6 = 1 as duration, k % 6 = 4 as metric from e where k % 6 in (1, 3, 4, 5)""")
+    select event_id, k % 6 = 2 as date, k % 6 = 1 as duration, k % 6 = 4 as metric from e""")
 def t14_kinds_of_labels(spark, d):
     label = F.col("label")
-    return events(spark, d, label=DATES).filter("k % 6 in (1, 3, 4, 5)").select(
-        "event_id", num.is_duration_text(label).alias("duration"), num.is_metric_text(label).alias("metric"))
+    return events(spark, d, label=DATES).select(
+        "event_id", num.is_date_text(label).alias("date"), num.is_duration_text(label).alias("duration"), num.is_metric_text(label).alias("metric"))
 
 
 STYLE = "concat('Color : red;; font-size:', cast(k as varchar(20)), 'px; broken; Text-Align:  center ;color:#', cast(event_id % 1000 as varchar(20)), case when event_id % 2 = 0 then ';font-weight:normal' else ';font-weight: 700' end, ';padding-bottom:', cast(k + 1 as varchar(20)), '%')"
@@ -215,27 +217,46 @@ def r5_clip_annotations(spark, d):
 
 
 @query("""
-    select doc_id, case when length(text) = 0 then '' when length(text) <= 5 then '0' when length(text) <= 20 then '01' else '010' end as kinds,
-        text as joined from documents where length(text) > 20""")
+    select doc_id, case when length(text) <= 20 then '01' else '010' end as kinds, text as joined from documents""")
 def r6_text_runs(spark, d):
     link = F.struct(F.lit(5).alias("start"), F.lit(20).alias("end"), F.lit("h").alias("href"), F.lit(None).cast("boolean").alias("bold"))
     inner = F.struct(F.lit(7).alias("start"), F.lit(30).alias("end"), F.lit("i").alias("href"), F.lit(True).alias("bold"))
     runs = un.text_runs(F.col("text"), F.array(inner, link))
-    t = table(spark, d, "documents").filter(F.length("text") > 20).select("doc_id", runs.alias("runs"))
+    t = table(spark, d, "documents").select("doc_id", runs.alias("runs"))
     return t.select(
         "doc_id", F.array_join(F.transform("runs", lambda r: F.when(r["annotated"], "1").otherwise("0")), "").alias("kinds"),
         F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("joined"))
 
 
+@query("""
+    with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n,
+        len(string_split(text, chr(10))) as lines from documents),
+    kept as (select * from l where lines > 1 or length(line) >= 40)
+    select doc_id as article_id, count(*) as n_blocks, sha256(string_agg(line, '|' order by n)) as texts, bool_and(lines = 1) as clean_only
+    from kept group by 1""")
+def a5_merged_blocks(spark, d):
+    """Documents of one line have no primary blocks, so their clean block passes through."""
+    lines = un.paragraphs_of(table(spark, d, "documents")).withColumnRenamed("page_id", "article_id")
+    block = make_block("paragraph", text=F.col("text"))
+    rows = lines.select("article_id", "block_pos", "block_id", block.alias("block"))
+    by_article = Window.partitionBy("article_id")
+    primary = rows.withColumn("lines", F.count(F.lit(1)).over(by_article)).filter("lines > 1").drop("lines")
+    clean = rows.filter(F.length("block.text") >= 40).withColumn("block_pos", F.row_number().over(by_article.orderBy("block_pos")) - 1)
+    merged, stats = merge_extractions(primary, clean)
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", F.col("block.text").alias("text")))), lambda x: x["text"]), "|")
+    found = merged.groupBy("article_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sha2(texts, 256).alias("texts"))
+    return found.join(stats.select("article_id", (F.col("replaced") + F.col("fallback") == 0).alias("clean_only")), "article_id")
+
+
 @query(f"""
     with {sql_events()}, m as (select k % 50 as page_id, event_id as link_id, case when event_id % 3 = 0 then '' else 'https://p.test/a/' || event_id % 9 end as href from e where k is not null),
-    media as (select distinct k % 50 as page_id, event_id % 9 as n from e where event_id % 2 = 0 and k is not null)
+    media as (select distinct k % 50 as page_id, event_id % 9 as n from e where event_type <> 'click' and k is not null)
     select m.page_id, link_id, case when media.n is not null then m.href when m.href <> '' then m.href end as href,
         case when media.n is not null then 'https://i.test/' || media.n when m.href <> '' then 'https://i.test/own' end as src
     from m left join media on m.page_id = media.page_id and m.href = 'https://p.test/a/' || media.n""")
 def m2_lookup_media(spark, d):
     e = events(spark, d).filter("k is not null").withColumn("page_id", F.col("k") % 50)
-    media_rows = e.filter("event_id % 2 = 0").select("page_id", (F.col("event_id") % 9).alias("n")).distinct()
+    media_rows = e.filter("event_type <> 'click'").select("page_id", (F.col("event_id") % 9).alias("n")).distinct()
     inventory = media_rows.select(
         "page_id", F.col("n").alias("block_pos"), F.lit(0).alias("item_pos"), F.concat(F.lit("https://p.test/a/"), "n").alias("href"),
         F.concat(F.lit("https://i.test/"), "n").alias("src"), F.lit("alt").alias("alt"))

@@ -217,5 +217,8 @@ def test_merge(spark):
         blocks([("paragraph", "one"), ("divider", None), ("paragraph", "three"), ("divider", None)]))
     s = stats.first()
     assert (s.replaced, s.fallback, s.high_risk, s.primary_only) == (2, 1, 2, 1)
+    alone, zeros = merge_extractions(blocks([("paragraph", "x")]).filter("false"), blocks([("paragraph", "one"), ("divider", None)]))
+    assert [(r.block.type, r.block.text) for r in alone.orderBy("order").collect()] == [("paragraph", "one"), ("divider", None)]
+    assert [tuple(r)[1:] for r in zeros.collect()] == [(0, 0, 0, 0)]
     order = [(r.block.type, r.block.text) for r in merged.orderBy("order").collect()]
     assert order == [("paragraph", "one"), ("video", None), ("gif", None), ("link", "l"), ("quote", "lost"), ("divider", None), ("paragraph", "three"), ("divider", None)]
