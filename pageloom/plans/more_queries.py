@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import css, media
 from ..functions import numbers as num
 from ..functions import text as txt
@@ -20,6 +21,7 @@ from ..streaming import captures as cap
 from ..streaming import stability as stab
 from .queries import table
 
+IMAGE_FIELDS = [tuple(f.split(":", 1)) for f in schema.IMAGE.removeprefix("struct<").removesuffix(">").split(",")]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -353,3 +355,65 @@ def st3_match_videos(spark, d):
         F.when(F.col("event_id") % 4 == 0, "blob:none").otherwise(F.concat(F.lit("https://v.test/amplify_video/"), "k", F.lit("/x"))).alias("src"))
     videos = cap.captured_videos(cap.latest_slots(requests(spark, d)))
     return cap.match_videos(players, videos)
+
+
+# ---- blocks spelled from lines and events ----------------------------------
+NORMAL = "length(trim(regexp_replace(line, '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g'), ' '))"
+
+
+@query(f"""
+    with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from documents),
+    s as (select doc_id, n % 5 as kind, {NORMAL} as len from l)
+    select doc_id, sum(case kind when 0 then len when 1 then len when 2 then 2 * len when 3 then len when 4 then len end)::bigint as text_length,
+        sum(case kind when 0 then len when 1 then len when 2 then 2 * len when 3 then case when len = 0 then 2 else len + 3 end when 4 then len end)::bigint as strict_length
+    from s group by 1""")
+def a2_block_text_length(spark, d):
+    """Lines as paragraph, quote, list of two, code and table blocks in turn."""
+    lines = un.paragraphs_of(table(spark, d, "documents"))
+    text = F.col("text")
+    item = F.struct(text.alias("text"))
+    kinds = [
+        make_block("paragraph", text=text), make_block("quote", text=text),
+        make_block("list", items=F.transform(F.array(item, item), lambda i: F.struct(i["text"].alias("text"), F.lit(None).cast(schema.ANNOTATIONS).alias("annotations"), F.lit(None).cast(schema.STYLE).alias("style")))),
+        make_block("code", text=text, code=F.struct(F.lit("ts").alias("language"), F.lit(None).cast("array<string>").alias("tokens"))),
+        make_block("table", table=F.struct(F.array(F.array(F.struct(
+            text.alias("text"), F.lit(False).alias("header"), F.lit(1).alias("col_span"), F.lit(1).alias("row_span"), F.lit(None).cast(schema.STYLE).alias("style")))).alias("rows"),
+            F.lit(1).alias("column_count"))),
+    ]
+    block = F.element_at(F.array(*kinds), (F.col("block_pos") % 5 + 1).cast("int"))
+    sized = lines.select(F.col("page_id").alias("doc_id"), block.alias("b"))
+    total = lambda c: F.sum(c).cast("bigint")
+    return sized.groupBy("doc_id").agg(
+        total(art.block_text_length(F.col("b"))).alias("text_length"), total(art.block_text_length(F.col("b"), strict=True)).alias("strict_length"))
+
+
+@query(f"""
+    with {sql_events()}, m as (select k % 40 as page_id, event_id as pos, 'https://p.test/i/' || event_id % 30 || case when event_id % 4 = 0 then '#f' else '' end as href, event_id from e where k is not null),
+    f as (select *, min(pos) over (partition by page_id, event_id % 30) as first_bare from m)
+    select page_id, pos as block_pos, href from f where pos = first_bare""")
+def m1_media_list(spark, d):
+    """Linked images in reading order; one whose address an earlier one had, fragment aside, is left out."""
+    e = events(spark, d).filter("k is not null")
+    href = F.concat(F.lit("https://p.test/i/"), F.col("event_id") % 30, F.when(F.col("event_id") % 4 == 0, "#f").otherwise(""))
+    image = F.struct(*[(href if f == "href" else F.lit("https://i.test/x.png") if f == "src" else F.lit(None)).cast(t).alias(f) for f, t in IMAGE_FIELDS])
+    blocks = e.select((F.col("k") % 40).alias("page_id"), F.col("event_id").alias("block_pos"), make_block("image", image=image).alias("b")).select("page_id", "block_pos", "b.*")
+    pages = blocks.select("page_id").distinct().withColumns({"base_url": F.lit("https://p.test/"), "cover": F.lit(None).cast(schema.IMAGE)})
+    return links.media_list(links.media_inventory(pages, blocks), pages).select("page_id", "block_pos", "href")
+
+
+@query(f"""
+    with {sql_events()}
+    select event_id, case when k % 4 = 0 then 'kept'
+        else concat_ws(',', case when event_id % 2 = 0 then 'text' end, case k % 4 when 1 then 'photo' when 2 then 'photo-group' when 3 then case when event_id % 5 = 0 then 'article-cover' end end) end as kinds
+    from e where k is not null""")
+def a8_upgrade_posts(spark, d):
+    """Old records by turns with items, one photo, two photos, or a cover at most."""
+    e = events(spark, d).filter("k is not null")
+    k, photo = F.col("k") % 4, F.struct(*[F.lit("p").cast("string").alias(f) for f in ("src", "display_src", "alt", "href")])
+    kept = F.from_json(F.lit('[{"type":"kept"}]'), f"array<{schema.ITEM}>")
+    posts = e.select(
+        "event_id", F.when(F.col("event_id") % 2 == 0, "some words").otherwise("").alias("excerpt"), F.lit(None).cast(schema.VIDEO).alias("video"),
+        F.when(k == 1, F.array(photo)).when(k == 2, F.array(photo, photo)).alias("photos"),
+        F.when((k == 3) & (F.col("event_id") % 5 == 0), "https://i.test/c").alias("cover_url"), F.lit("t").alias("title"), F.lit("h").alias("href"),
+        F.when(k == 0, kept).alias("items"))
+    return art.upgrade_posts(posts).select("event_id", F.array_join(F.transform("items", lambda i: i["type"]), ",").alias("kinds"))
