@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import jaccard_join, language_id, packing, substring_dedup, toxicity
-from pageloom.llm.common import shared_dir, table
+from pageloom.llm.common import shared_dir, short_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose text is clearly of another language than it claims goes; this is how clearly.
@@ -17,6 +17,7 @@ WRONG_LANGUAGE = 0.3
 
 
 def documents(docs: DataFrame) -> DataFrame:
+    short_batches(docs.sparkSession)
     return docs.select(*COLUMNS)
 
 
@@ -43,10 +44,9 @@ def repeats_gone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Operator 1: words of 20-word windows that start earlier go; what is left is the text, joined by single spaces. A
     document that loses all its words goes; one that loses none keeps its text as it is."""
     docs = documents(docs)
-    kept = substring_dedup.substring_dedup(docs, carry=["text", "lang", "source", "n_chars"])
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carry.text"))
+    kept = substring_dedup.substring_dedup(docs, carry=["lang", "source", "n_chars"], verbatim=True)
     return kept.filter("n_removed = 0 or n_removed < n_words").select(
-        "doc_id", text.alias("text"), "carry.lang", "carry.source",
+        "doc_id", F.col("kept_text").alias("text"), "carry.lang", "carry.source",
         F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("carry.n_chars")).alias("n_chars"))
 
 

@@ -9,7 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS_PER_BATCH = "2000"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes of text, on both sides of the socket, unless the session's owner chose a size."""
+    if not spark.sparkContext.getConf().contains(ARROW_ROWS):
+        spark.conf.set(ARROW_ROWS, TEXTS_PER_BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,6 +75,12 @@ def block_of(id_col: str, text_col: str, bounds: list[int]) -> Column:
     return F.when(F.col(id_col).isNull(), F.lit(len(bounds) + 1) + F.pmod(F.xxhash64(text_col), F.lit(16)).cast("int")).otherwise(spot)
 
 
+def slices(batch, rows: int = 1_000):
+    """An Arrow batch in pieces of few rows, so that what goes back is small too."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def bounded_sample(df: DataFrame, id_col: str, limit: int) -> DataFrame:
     """At most `limit` rows, those with the lowest hash of the id. Thinned by that hash first, so tasks send few rows more."""
     scale = 1 << 40

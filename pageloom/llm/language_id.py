@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..kernels import ship_by_value
-from .common import table
+from .common import slices, table
 from .words import chunks
 
 ship_by_value(__name__)
@@ -117,24 +117,40 @@ def learn_batches(batches, alphabet: str):
             })
 
 
-def predict_batches(batches, languages: list[str], alphabet: str, profiles: np.ndarray, top: int):
+def predicted_slices(batches, languages: list[str], alphabet: str, profiles: np.ndarray, top: int):
+    """Slices of batches that have a text column, with the language and score of each text."""
     letters = letter_table(alphabet)
     for batch in batches:
-        langs, scores = [], []
-        texts_in = batch.column(0)
-        for a, b in chunks(texts_in):
-            far, some = distances([t.as_py() or "" for t in texts_in.slice(a, b - a)], letters, profiles, top)
-            for row, letter in zip(far, some, strict=True):
-                if not letter or not languages:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                best = int(np.argmin(row))
-                rest = np.delete(row, best)
-                langs.append(languages[best])
-                scores.append(float(1 - row[best] / rest.min()) if len(rest) and rest.min() > 0 else float(not len(rest)))
-        out = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-        yield pa.record_batch([batch.column(1), *out], names=["row", "lang_pred", "score"])
+        column = batch.schema.get_field_index("text")
+        for part in slices(batch):
+            langs, scores = [], []
+            texts = part.column(column)
+            for a, b in chunks(texts):
+                far, some = distances([t.as_py() or "" for t in texts.slice(a, b - a)], letters, profiles, top)
+                for row, letter in zip(far, some, strict=True):
+                    if not letter or not languages:
+                        langs.append(UNKNOWN)
+                        scores.append(0.0)
+                        continue
+                    best = int(np.argmin(row))
+                    rest = np.delete(row, best)
+                    langs.append(languages[best])
+                    scores.append(float(1 - row[best] / rest.min()) if len(rest) and rest.min() > 0 else float(not len(rest)))
+            yield part, langs, scores
+
+
+def predict_batches(batches, *model):
+    for part, langs, scores in predicted_slices(batches, *model):
+        yield pa.record_batch([part.column(part.schema.get_field_index("row")), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                              names=["row", "lang_pred", "score"])
+
+
+def keep_batches(batches, least_score: float, *model):
+    for part, langs, scores in predicted_slices(batches, *model):
+        said = part.column(part.schema.get_field_index("lang")).to_pylist()
+        yield part.filter(pa.array([
+            found != UNKNOWN and (lang is None or lang == found or score < least_score)
+            for lang, found, score in zip(said, langs, scores, strict=True)], pa.bool_()))
 
 
 def sampled(labelled: DataFrame, limit: int) -> DataFrame:
@@ -176,11 +192,11 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, text: str, model: tuple[list[str], str, np.ndarray], row: Column, top: int = TOP) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], str, np.ndarray], row: Column, top: int = TOP) -> DataFrame:
     """lang_pred and score beside `row` for every row of docs."""
     languages, alphabet, profiles = model
     shipped = docs.sparkSession.sparkContext.broadcast(profiles)  # languages times CODES numbers
-    plain = docs.select(F.col(text), row.alias("row"))
+    plain = docs.select("text", row.alias("row"))
     kind = plain.schema["row"].dataType.simpleString()
     return plain.mapInArrow(
         lambda batches: predict_batches(batches, languages, alphabet, shipped.value, top),
@@ -197,9 +213,9 @@ def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = TOP) ->
 def without_wrong_language(docs: DataFrame, least_score: float) -> DataFrame:
     """The rows of docs, with all their columns, but texts of no language and those that are of another language than
     `lang` says by a score of `least_score` or more."""
-    found = identify(docs, "text", learn(docs), F.struct(*docs.columns))
-    wrong = (F.col("lang_pred") == UNKNOWN) | (F.coalesce(F.col("row.lang") != F.col("lang_pred"), F.lit(False)) & (F.col("score") >= least_score))
-    return found.filter(~wrong).select("row.*")
+    languages, alphabet, profiles = learn(docs)
+    shipped = docs.sparkSession.sparkContext.broadcast(profiles)  # languages times CODES numbers
+    return docs.mapInArrow(lambda batches: keep_batches(batches, least_score, languages, alphabet, shipped.value, TOP), docs.schema)
 
 
 def language_id(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> DataFrame:
@@ -212,7 +228,7 @@ def language_id(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = T
     """
     model = learn(docs, sample_docs=sample_docs, top=top)
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"))
-    return identify(docs, "text", model, row, top).select("row.doc_id", "row.held_out", "lang_pred", "score")
+    return identify(docs, model, row, top).select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,7 @@ def rank_gaps(keys: np.ndarray) -> np.ndarray:
     return gaps(np.sort(keys))
 
 
-def remove_repeats(key, block: pa.Table, replies: pa.Table, *, window: int) -> pa.Table:
+def remove_repeats(key, block: pa.Table, replies: pa.Table, *, window: int, verbatim: bool) -> pa.Table:
     """Texts of one block without the words of windows that start earlier."""
     block = in_order(block)
     texts = block["text"].combine_chunks()
@@ -208,6 +208,9 @@ def remove_repeats(key, block: pa.Table, replies: pa.Table, *, window: int) -> p
     removed = counts - (kept_before[ends[1:]] - kept_before[ends[:-1]])
     out = []
     for i, text in enumerate(texts):
+        if verbatim and not removed[i]:
+            out.append(None if text.as_py() is None else text.as_py().encode())
+            continue
         words = (text.as_py() or "").encode().split()
         if removed[i]:
             words = [w for w, k in zip(words, keep[ends[i]:ends[i + 1]].tolist(), strict=True) if k]
@@ -218,7 +221,7 @@ def remove_repeats(key, block: pa.Table, replies: pa.Table, *, window: int) -> p
 
 
 def substring_dedup(
-    docs: DataFrame, *, window: int = WINDOW, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES,
+    docs: DataFrame, *, window: int = WINDOW, carry: list[str] | None = None, verbatim: bool = False, block_bytes: int = BLOCK_BYTES,
     shard_windows: int = SHARD_WINDOWS,
 ) -> DataFrame:
     """Removes every word covered by a `window` of consecutive words that also starts earlier in the table.
@@ -226,7 +229,7 @@ def substring_dedup(
     Earlier means a smaller doc_id, or the same document and an earlier start. Windows are judged on the input.
 
     Returns a row per input row: doc_id, kept_text (kept words joined by one space), n_words, n_removed, and a struct
-    `carry` of the named columns if any are named. A null or empty text has no words and gives an empty kept_text.
+    `carry` of the named columns if any are named. With `verbatim` a text that loses nothing is kept_text as it stands. A null or empty text has no words and gives an empty kept_text.
     Rows without doc_id come after all others. Rows that share a doc_id count as separate documents ordered by text.
     Other columns are ignored, whatever their names. An empty table gives an empty result.
 
@@ -247,7 +250,7 @@ def substring_dedup(
 
     # functions with keywords fixed have no signature of two or three plain arguments, which Spark looks at
     sketch, merge = partial(sketch_block, **sizes), partial(merge_sketches, width=width)
-    likely, clean = partial(candidates, **sizes), partial(remove_repeats, window=window)
+    likely, clean = partial(candidates, **sizes), partial(remove_repeats, window=window, verbatim=verbatim)
 
     # all three readings need the very same columns, or Spark would deal the text out again
     sketches = own.groupBy("block").applyInArrow(lambda k, t: sketch(k, t), "shard int, block int, payload binary")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels import ship_by_value
-from .common import bounded_sample, table, written
+from .common import bounded_sample, slices, table, written
 
 ship_by_value(__name__)
 
@@ -174,15 +174,25 @@ def probability(weights: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
 
 
-def score_batches(batches, model: tuple[bytes, bytes, np.ndarray] | None):
-    """Batches whose first column is the text: the others, and the score."""
+def scored_slices(batches, model: tuple[bytes, bytes, np.ndarray] | None):
+    """Slices of batches that have a text column, with their scores."""
     compressors = None if model is None else (compressor(model[0]), compressor(model[1]))
     for batch in batches:
-        if model is None:
-            score = np.zeros(batch.num_rows)
-        else:
-            score = probability(model[2], gain_counts(batch.column(0), *compressors))
-        yield pa.record_batch([*batch.columns[1:], pa.array(score, pa.float64())], names=[*batch.schema.names[1:], "score"])
+        at = batch.schema.get_field_index("text")
+        for part in slices(batch):
+            yield part, np.zeros(part.num_rows) if model is None else probability(model[2], gain_counts(part.column(at), *compressors))
+
+
+def score_batches(batches, model: tuple[bytes, bytes, np.ndarray] | None):
+    """The columns beside the text, and the score."""
+    for part, score in scored_slices(batches, model):
+        part = part.drop_columns(["text"])
+        yield pa.record_batch([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, "score"])
+
+
+def keep_batches(batches, model: tuple[bytes, bytes, np.ndarray] | None, toxic_at: float):
+    for part, score in scored_slices(batches, model):
+        yield part.filter(pa.array(score < toxic_at))
 
 
 def features(counts: dict) -> list[np.ndarray]:
@@ -244,7 +254,8 @@ def scored(docs: DataFrame, labels: DataFrame, row: Column, *, sample_docs: int
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, toxic_at: float = TOXIC_AT) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below `toxic_at`."""
-    return scored(docs, labels, F.struct(*docs.columns)).filter(F.col("score") < toxic_at).select("row.*")
+    model = learn(docs, labels)
+    return docs.mapInArrow(lambda batches: keep_batches(batches, model, toxic_at), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, toxic_at: float = TOXIC_AT) -> DataFrame:
