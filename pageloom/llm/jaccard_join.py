@@ -1,14 +1,19 @@
 """Operator 7, n-gram Jaccard join by signature trees.
 
-1. One pass gives each document its shingle set's size, a 128-bit fingerprint of the set, and the set's prefix: under one
-   order of all shingles (the very common last, then by hash) two sets that link share a shingle of both prefixes.
-2. Documents with equal sets are one class from here on, stood for by its smallest id.
+1. One pass gives each document its shingle set's size, a 128-bit fingerprint of the set and a bitmap of about four bits
+   per shingle. Documents with equal sets are one class from here on, stood for by its smallest id.
+2. Under one order of all shingles (the very common last, then by hash) two sets that link share at least e + 1 shingles
+   of their prefixes, e growing with the set. Prefixes are dealt out by shingle and sorted; a class stays only if enough
+   of its prefix occurs in other classes too. Passages that many documents share do not keep them.
 3. Classes that share a prefix shingle meet at that shingle's smallest class, their leader. A class goes to few leaders,
    as near copies share most shingles. Groups beyond `chunk` members are dealt out as pairs of chunks.
-4. In each group (or pair of chunks) signature trees hold OR-combined bitmaps and size ranges; a dual traversal skips
-   node pairs whose greatest possible overlap is too small, and sets already known to be connected. What is left is
-   compared exactly. Only edges that connect something leave the task, never all pairs.
-5. Connected components over those edges, and back to all documents by fingerprint.
+4. In each group signature trees hold OR-combined bitmaps and size ranges; a dual traversal skips node pairs whose
+   greatest possible overlap is too small, and classes that are already connected. What is left may link; its connected
+   components are the candidate groups.
+5. The sets of candidates, once each, meet in their candidate group. The same traversal then compares exactly.
+6. Connected components over the links, and back to all documents by fingerprint.
+
+Only edges that connect something leave a task, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import ship_by_value
 from . import words as wd
-from .common import table, written
+from .common import shuffle_partitions, table, written
 from .components import connected_components
 
 ship_by_value(__name__)
@@ -28,11 +33,12 @@ ship_by_value(__name__)
 SHINGLE = 3
 PERCENT = 90
 CHUNK = 1_024
-BITS = 2_048
+BITS_PER_TOKEN = 4
 LEAF = 32
 FANOUT = 8
 BATCH_TOKENS = 1 << 22
 COMMON_SHARE = 1_000  # a shingle in one of so many documents counts as common
+MAX_SEEN = 1 << 18  # fingerprints a task remembers so as not to send a copy's prefix twice
 MAX_COMMON = 1 << 16  # so many of the most common ones are put last; the order changes no result
 
 
@@ -78,33 +84,102 @@ def common_batches(batches, k: int):
     yield report()
 
 
+def extra(n, percent: int):
+    """Shingles beyond the first that linked sets share in their prefixes."""
+    return n * (100 - percent) // 100
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    return n + (-percent * n // 100) + 1
+    """Two sets that link overlap in at least percent of either, so prefixes this long share extra + 1 shingles of the
+    smaller one's."""
+    return np.minimum(n, n + (-percent * n // 100) + 1 + extra(n, percent))
+
+
+def bitmap_width(n: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: a power of two, BITS_PER_TOKEN for each token or a little more."""
+    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1) * BITS_PER_TOKEN)).astype(np.int64))
 
 
-def digest_batches(batches, k: int, percent: int, common: np.ndarray, rank: np.ndarray):
-    """Size, fingerprint and prefix of each document's shingle set."""
+def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
+    """One bit per token by its low bits, so that halves OR-ed together are the bitmap of half the width."""
+    own = np.zeros(width, bool)
+    own[(wd.mix(tokens) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(own, bitorder="little").view(np.uint64)
+
+
+def fingerprint(grams: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit sum over each set, by place in `ends`."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wd.mix(grams + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))))])
+    return (total[ends[1:]] - total[ends[:-1]]).view(np.int64)
+
+
+def digest_batches(batches, k: int):
+    """Size, fingerprint and bitmap of each document's shingle set."""
     for batch in batches:
         for a, b in wd.chunks(batch.column(1)):
             doc, grams = shingle_sets(batch.column(1).slice(a, b - a), k)
             n = np.bincount(doc, minlength=b - a)
             ends = np.concatenate([[0], np.cumsum(n)])
-            sums = []
-            for salt in (1, 2):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wd.mix(grams + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))))])
-                sums.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
+            bits = [bitmap(grams[x:y], w).tobytes() for x, y, w in zip(ends[:-1], ends[1:], bitmap_width(n).tolist(), strict=True)]
+            yield pa.record_batch({
+                "doc_id": batch.column(0).slice(a, b - a), "n_shingles": pa.array(n, pa.int64()), "fp1": pa.array(fingerprint(grams, ends, 1)),
+                "fp2": pa.array(fingerprint(grams, ends, 2)), "bits": pa.array(bits, pa.binary()),
+            })
+
+
+def prefix_batches(batches, k: int, percent: int, common: np.ndarray, rank: np.ndarray):
+    """(shingle, fingerprint) for the prefix of each distinct set of a batch; copies next to each other leave once."""
+    seen: set[int] = set()
+    for batch in batches:
+        for a, b in wd.chunks(batch.column(0)):
+            doc, grams = shingle_sets(batch.column(0).slice(a, b - a), k)
+            n = np.bincount(doc, minlength=b - a)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            fp = fingerprint(grams, ends, 1)
+            fresh = np.array([x not in seen and not seen.add(x) for x in fp.tolist()], bool) & (n > 0)
+            if len(seen) > MAX_SEEN:
+                seen.clear()
             if len(common):
                 spot = np.minimum(np.searchsorted(common, grams), len(common) - 1)
                 place = np.where(common[spot] == grams, rank[spot], 0)
-                order = np.lexsort((grams, place, doc))
-                grams = grams[order]
-            p = np.where(n > 0, prefix_size(n, percent), 0)
+                grams = grams[np.lexsort((grams, place, doc))]
+            p = np.where(fresh, prefix_size(n, percent), 0)
             pick = np.repeat(ends[:-1], p) + np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32))
-            yield pa.record_batch({
-                "doc_id": batch.column(0).slice(a, b - a), "n_shingles": pa.array(n, pa.int64()), "fp1": pa.array(sums[0]), "fp2": pa.array(sums[1]),
-                "prefix": pa.ListArray.from_arrays(offsets, pa.array(grams[pick].view(np.int64))),
-            })
+            yield pa.record_batch({"token": pa.array(grams[pick].view(np.int64)), "fp1": pa.array(np.repeat(fp, p))})
+
+
+def shared_batches(batches):
+    """From (token, fp1) in this order: for each token of several sets the sets and the first of them, their leader."""
+    held: list[np.ndarray] = []
+
+    def out(token: np.ndarray, fp: np.ndarray):
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])
+        token, fp = token[new], fp[new]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
+        n = np.diff(first, append=len(token))
+        several = np.repeat(n > 1, n)
+        return pa.record_batch({"fp1": pa.array(fp[several]), "leader": pa.array(np.repeat(fp[first], n)[several])})
+
+    last = None
+    for batch in batches:
+        token, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(token):
+            continue
+        if last is not None and token[0] == last[0][0] and token[-1] == token[0]:
+            held.append(fp)  # one token goes on over whole batches: only its distinct sets are kept
+            if sum(map(len, held)) > BATCH_TOKENS:
+                yield pa.record_batch({"fp1": pa.array(np.concatenate(held)), "leader": pa.array(np.full(sum(map(len, held)), last[1][0]))})
+                held.clear()
+            continue
+        if last is not None:
+            token, fp = np.concatenate([last[0], np.full(sum(map(len, held)), last[0][0], np.int64), token]), np.concatenate([last[1], *held, fp])
+            held.clear()
+        cut = int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last token may go on in the next batch
+        yield out(token[:cut], fp[:cut])
+        last = (token[cut:], fp[cut:])
+    if last is not None:
+        yield out(np.concatenate([last[0], np.full(sum(map(len, held)), last[0][0], np.int64)]), np.concatenate([last[1], *held]))
 
 
 def set_batches(batches, k: int):
@@ -118,35 +193,31 @@ def set_batches(batches, k: int):
 
 
 class Tree:
-    """A signature tree over sets: leaves of up to LEAF members, nodes of up to FANOUT children.
+    """A signature tree over sets with bitmaps of one width: leaves of up to LEAF members, nodes of up to FANOUT children.
 
-    Of each node: the OR of its bitmaps, its range of sizes, and the most tokens of a member that its bitmap has no bit
-    of its own for (`slack`). A set of the node shares at most slack + common bits with any set of another node."""
+    Of each node: the OR of its bitmaps, its range of sizes, and the most tokens of a member beyond its set bits
+    (`slack`). A set of the node shares at most slack + common bits with any set of another node."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets], np.int64)
-        least = np.array([s[0] for s in sets], np.uint64)
-        self.order = np.lexsort((least, sizes))
-        self.sets = [sets[i] for i in self.order]
-        self.sizes = sizes[self.order]
-        flat = np.concatenate(self.sets)
-        member = np.repeat(np.arange(len(sets)), self.sizes)
-        bit = (wd.mix(flat) % np.uint64(BITS)).astype(np.int64)
-        self.bits = np.zeros((len(sets), BITS // 64), np.uint64)
-        np.bitwise_or.at(self.bits, (member, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None):
+        order = np.lexsort((*bits.T[:2], sizes))
+        self.ids, self.sizes, self.bits = ids[order], sizes[order], bits[order]
+        self.sets = None if sets is None else [sets[i] for i in order]
         self.slack = self.sizes - np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
-        cuts = np.arange(0, len(sets), LEAF)
-        level = {"or": np.bitwise_or.reduceat(self.bits, cuts), "low": self.sizes[cuts],
-                 "high": np.maximum.reduceat(self.sizes, cuts), "slack": np.maximum.reduceat(self.slack, cuts)}
-        self.levels = [level]
-        while len(level["low"]) > 1:
-            cuts = np.arange(0, len(level["low"]), FANOUT)
+        level = {"or": self.bits, "low": self.sizes, "high": self.sizes, "slack": self.slack}
+        self.levels = []
+        while not self.levels or len(level["low"]) > 1:
+            cuts = np.arange(0, len(level["low"]), FANOUT if self.levels else LEAF)
             level = {"or": np.bitwise_or.reduceat(level["or"], cuts), "low": level["low"][cuts],
                      "high": np.maximum.reduceat(level["high"], cuts), "slack": np.maximum.reduceat(level["slack"], cuts)}
             self.levels.append(level)
 
+    def halved(self) -> Tree:
+        """The same sets with bitmaps of half the width, to meet sets of that width."""
+        words = self.bits.shape[1] // 2
+        return Tree(self.ids, self.sizes, self.bits[:, :words] | self.bits[:, words:], self.sets)
+
     def members(self, leaf: int) -> slice:
-        return slice(leaf * LEAF, min(len(self.sets), (leaf + 1) * LEAF))
+        return slice(leaf * LEAF, min(len(self.ids), (leaf + 1) * LEAF))
 
 
 def needed(a, b, percent: int):
@@ -181,7 +252,7 @@ class Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-def traverse(left: Tree, right: Tree, left_ids: np.ndarray, right_ids: np.ndarray, same: bool, percent: int, forest: Forest) -> None:
+def traverse(left: Tree, right: Tree, same: bool, percent: int, forest: Forest) -> None:
     """Joins all linked members of two trees (of one with itself if same) in the forest."""
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
@@ -190,7 +261,7 @@ def traverse(left: Tree, right: Tree, left_ids: np.ndarray, right_ids: np.ndarra
         if not may_link(x, a, y, b, percent):
             continue
         if la == lb == 0:
-            join_leaves(left, right, left_ids, right_ids, a, b, same and a == b, percent, forest)
+            join_leaves(left, right, a, b, same and a == b, percent, forest)
             continue
         down_a = range(a, a + 1) if la < lb or not la else range(a * FANOUT, min((a + 1) * FANOUT, len(left.levels[la - 1]["low"])))
         down_b = range(b, b + 1) if lb < la or not lb else range(b * FANOUT, min((b + 1) * FANOUT, len(right.levels[lb - 1]["low"])))
@@ -198,7 +269,8 @@ def traverse(left: Tree, right: Tree, left_ids: np.ndarray, right_ids: np.ndarra
         stack.extend((na, i, nb, j) for i in down_a for j in down_b if not same or na != nb or i <= j)
 
 
-def join_leaves(left: Tree, right: Tree, left_ids, right_ids, a: int, b: int, own: bool, percent: int, forest: Forest) -> None:
+def join_leaves(left: Tree, right: Tree, a: int, b: int, own: bool, percent: int, forest: Forest) -> None:
+    """Joins the members of two leaves that may link; where the trees hold sets, those that do."""
     sa, sb = left.members(a), right.members(b)
     shared = np.bitwise_count(left.bits[sa][:, None, :] & right.bits[sb][None, :, :]).sum(axis=2).astype(np.int64)
     most = shared + np.minimum(left.slack[sa][:, None], right.slack[sb][None, :])
@@ -208,26 +280,49 @@ def join_leaves(left: Tree, right: Tree, left_ids, right_ids, a: int, b: int, ow
         fits &= np.tri(*fits.shape, -1, dtype=bool).T
     for i, j in np.argwhere(fits).tolist():
         i, j = i + sa.start, j + sb.start
-        one, two = int(left_ids[left.order[i]]), int(right_ids[right.order[j]])
+        one, two = int(left.ids[i]), int(right.ids[j])
         if forest.root(one) == forest.root(two):
             continue
-        s, t = left.sets[i], right.sets[j]
-        both = np.concatenate([s, t])
-        both.sort()
-        if np.count_nonzero(both[1:] == both[:-1]) >= needed(len(s), len(t), percent):
-            forest.join(one, two)
+        if left.sets is not None and right.sets is not None:
+            s, t = left.sets[i], right.sets[j]
+            both = np.concatenate([s, t])
+            both.sort()
+            if np.count_nonzero(both[1:] == both[:-1]) < needed(len(s), len(t), percent):
+                continue
+        forest.join(one, two)
+
+
+def by_width(ids: np.ndarray, sizes: np.ndarray, bitmaps: list[np.ndarray], sets: list[np.ndarray] | None, at: np.ndarray) -> dict[int, Tree]:
+    """A tree of the members of each bitmap width (in bits)."""
+    width = np.array([len(bitmaps[i]) for i in at], np.int64) * 64
+    trees = {}
+    for w in np.unique(width).tolist():
+        own = at[width == w]
+        trees[w] = Tree(ids[own], sizes[own], np.stack([bitmaps[i] for i in own]), None if sets is None else [sets[i] for i in own])
+    return trees
 
 
 def group_edges(key, rows: pa.Table, percent: int) -> pa.Table:
     """Edges (each member to the smallest it is connected with) of one group, or of one pair of its chunks."""
     _, one, two = (k.as_py() for k in key)
     chunk, ids = rows["chunk"].to_numpy(), rows["rep"].to_numpy()
-    sets = [np.frombuffer(v.as_py(), np.uint64) for v in rows["tokens"]]
-    sides = {c: np.flatnonzero(chunk == c) for c in {one, two}}
+    if "tokens" in rows.column_names:
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in rows["tokens"]]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        bitmaps = [bitmap(s, w) for s, w in zip(sets, bitmap_width(sizes).tolist(), strict=True)]
+    else:
+        sets, sizes = None, rows["n_shingles"].to_numpy()
+        bitmaps = [np.frombuffer(v.as_py(), np.uint64) for v in rows["bits"]]
     forest = Forest()
-    if all(len(at) for at in sides.values()):
-        trees = {c: Tree([sets[i] for i in at]) for c, at in sides.items()}
-        traverse(trees[one], trees[two], ids[sides[one]], ids[sides[two]], one == two, percent, forest)
+    left = by_width(ids, sizes, bitmaps, sets, np.flatnonzero(chunk == one))
+    right = left if one == two else by_width(ids, sizes, bitmaps, sets, np.flatnonzero(chunk == two))
+    for w, tree in left.items():  # sets that link differ by less than a factor of two in size
+        if w in right:
+            traverse(tree, right[w], one == two, percent, forest)
+        if w // 2 in right:
+            traverse(tree.halved(), right[w // 2], False, percent, forest)
+        if one != two and w * 2 in right:
+            traverse(tree, right[w * 2].halved(), False, percent, forest)
     edges = [(x, forest.root(x)) for x in forest.up]
     return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([r for _, r in edges], pa.int64())})
 
@@ -243,23 +338,46 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], np.array([r["n"].bit_length() for r in rows], np.int64)[order]
 
 
+def dealt(members: DataFrame, group: str, chunk: int) -> DataFrame:
+    """Adds chunk, one, two to (group, rep): a group beyond `chunk` members becomes pairs of chunks that meet."""
+    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    met = members.join(sizes, group).withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return met.select(group, "rep", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk")
+
+
+def candidate_groups(docs: DataFrame, digest: DataFrame, *, k: int, percent: int, chunk: int) -> DataFrame:
+    """node and component of classes that may link, but for the smallest of each component."""
+    shipped = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
+    classes = digest.filter("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    tokens = docs.filter("doc_id is not null").select("text").mapInArrow(
+        lambda batches: prefix_batches(batches, k, percent, *shipped.value), "token long, fp1 long")
+    sorted_tokens = tokens.repartition(shuffle_partitions(docs.sparkSession), "token").sortWithinPartitions("token", "fp1")
+    shared = sorted_tokens.mapInArrow(shared_batches, "fp1 long, leader long")
+    met = shared.groupBy("fp1").agg(F.count(F.lit(1)).alias("shared"), F.collect_set("leader").alias("leaders")).join(classes, "fp1")
+    smaller = -F.floor(-F.col("n_shingles") * percent / 100)  # the least size of a set that links
+    enough = F.col("shared") > F.floor(smaller * (100 - percent) / 100)
+    members = written(met.filter(enough).select("rep", F.explode("leaders").alias("leader")), "leader-members")
+    several = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leader")
+    members = members.join(several, "leader")
+    bits = digest.select(F.col("doc_id").alias("rep"), "fp1", "n_shingles", "bits").join(classes.select("rep", "fp1"), ["rep", "fp1"])
+    wanted = bits.join(members.select("rep").distinct(), "rep").dropDuplicates(["rep", "fp1"])
+    rows = dealt(members, "leader", chunk).join(wanted.drop("fp1"), "rep")
+    return connected_components(
+        rows.groupBy("leader", "one", "two").applyInArrow(lambda key, own: group_edges(key, own, percent), "a long, b long"), "a", "b")
+
+
 def link_edges(docs: DataFrame, digest: DataFrame, *, k: int, percent: int, chunk: int) -> DataFrame:
     """Edges between classes that connect all that link."""
-    reps = digest.filter("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    tokens = reps.select("rep", F.explode("prefix").alias("token"))
-    leaders = tokens.groupBy("token").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("token", "leader")
-    members = written(tokens.join(leaders, "token").select("leader", "rep").distinct(), "leader-members")
-    sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    dealt = members.join(sizes, "leader").withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    visits = dealt.groupBy("rep").agg(F.collect_list(F.struct(
-        "leader", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk")).alias("visits"))
+    found = candidate_groups(docs, digest, k=k, percent=percent, chunk=chunk)
+    members = found.select(F.col("component").alias("home"), F.col("node").alias("rep")).unionByName(
+        found.select(F.col("component").alias("home"), F.col("component").alias("rep")).distinct())
+    visits = dealt(members, "home", chunk).groupBy("rep").agg(F.collect_list(F.struct("home", "one", "two", "chunk")).alias("visits"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(visits, "rep").select("text", "rep", "visits")
     kind = texts.schema["visits"].dataType.simpleString()
     sets = texts.mapInArrow(lambda batches: set_batches(batches, k), f"rep long, visits {kind}, tokens binary")
     met = sets.filter(F.length("tokens") > 0).select("rep", "tokens", F.inline("visits"))
-    return met.groupBy("leader", "one", "two").applyInArrow(lambda key, rows: group_edges(key, rows, percent), "a long, b long")
+    return met.groupBy("home", "one", "two").applyInArrow(lambda key, rows: group_edges(key, rows, percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
@@ -269,17 +387,17 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
     Returns doc_id, n_shingles and component_id, the smallest doc_id that links lead to. A text of fewer words is one
     shingle. Null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one document of
     several texts: links of either count for both. Rows without doc_id link with nothing and have no component. Other
-    columns are ignored; an empty table gives an empty result. Sets are compared by 64-bit hashes of shingles.
+    columns are ignored; an empty table gives an empty result. Sets are compared by 64-bit hashes of shingles. `percent`
+    is above 50.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common, rank = common_shingles(plain, shingle)
-    shipped = docs.sparkSession.sparkContext.broadcast((common, rank))
     digest = written(plain.mapInArrow(
-        lambda batches: digest_batches(batches, shingle, percent, *shipped.value),
-        "doc_id long, n_shingles long, fp1 long, fp2 long, prefix array<long>"), "shingle-digests")
+        lambda batches: digest_batches(batches, shingle), "doc_id long, n_shingles long, fp1 long, fp2 long, bits binary"), "shingle-digests")
     edges = link_edges(plain, digest, k=shingle, percent=percent, chunk=chunk)
     classes = digest.filter("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    keyed = digest.drop("prefix").join(classes, ["fp1", "fp2", "n_shingles"], "left")
+    keyed = digest.drop("bits").join(classes, ["fp1", "fp2", "n_shingles"], "left")
     # a document is connected with its class, also where one id has several texts
     again = digest.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(
         F.min(F.struct("fp1", "fp2", "n_shingles")).alias("one"), F.max(F.struct("fp1", "fp2", "n_shingles")).alias("two")).filter("one <> two")
@@ -287,7 +405,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
     found = connected_components(edges.unionByName(twice), "a", "b")
     named = classes.join(found, classes["rep"] == found["node"], "left").select(
         "fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return digest.drop("prefix").join(named, ["fp1", "fp2", "n_shingles"], "left").select(
+    return digest.drop("bits").join(named, ["fp1", "fp2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
