@@ -36,7 +36,7 @@ CHUNK = 1_024
 BITS_PER_TOKEN = 4
 LEAF = 32
 FANOUT = 8
-BATCH_TOKENS = 1 << 22
+BATCH_TOKENS = 1 << 21
 COMMON_SHARE = 1_000  # a shingle in one of so many documents counts as common
 MAX_SEEN = 1 << 18  # fingerprints a task remembers so as not to send a copy's prefix twice
 MAX_COMMON = 1 << 16  # so many of the most common ones are put last; the order changes no result

@@ -37,7 +37,9 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES):
-    """Row ranges of about `limit` bytes of text; a longer text is a range of its own."""
+    """Row ranges of about `limit` bytes of text; a longer text is a range of its own. What earlier batches took of Arrow's
+    memory goes back first."""
+    pa.default_memory_pool().release_unused()
     _, offsets = byte_view(texts)
     row, n = 0, len(offsets) - 1
     while row < n:
