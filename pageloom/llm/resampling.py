@@ -1,8 +1,8 @@
 """Operator 4, quality classifier: importance resampling.
 
 Two generative models over hashed words and word pairs, one of the target text and one of the raw text, are sums of
-counts per bucket: one pass over all documents, added up per bucket before and after the shuffle. A second pass gives
-each document the logarithm of its likelihood ratio. Documents are drawn without replacement by Gumbel top-k: log ratio
+counts per bucket: one pass over all documents, added up per bucket before and after the shuffle. Rows of target text
+are marked by a join with the labels, so both models cover their whole text. A second pass gives each document the logarithm of its likelihood ratio. Documents are drawn without replacement by Gumbel top-k: log ratio
 plus Gumbel noise, the k greatest stay. The k-th greatest is found exactly by counting leading bits, 16 at a time.
 """
 
@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 
 from ..kernels import ship_by_value
 from . import words as wd
-from .common import bounded_sample, table, written
+from .common import table, written
 
 ship_by_value(__name__)
 
 BUCKETS = 1 << 16
-TARGET_DOCS = 20_000  # labelled documents that the target model is counted on, at most
 SMOOTHING = 1.0
 SEED = 20
 PREFIX_BITS = 16
@@ -37,11 +36,10 @@ def bucket_runs(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray,
     return (every % np.uint64(buckets)).astype(np.int64), np.concatenate([words.doc, words.doc[at]]), words.counts()
 
 
-def count_batches(batches, targets: np.ndarray, buckets: int):
+def count_batches(batches, buckets: int):
     raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
     for batch in batches:
-        ids = batch.column(0)
-        wanted = np.isin(ids.fill_null(-1).to_numpy(), targets) & ids.is_valid().to_numpy(zero_copy_only=False)
+        wanted = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b in wd.chunks(batch.column(1)):
             bucket, doc, _ = bucket_runs(batch.column(1).slice(a, b - a), buckets)
             raw += np.bincount(bucket, minlength=buckets)
@@ -70,20 +68,33 @@ def score_batches(batches, ratios: np.ndarray, seed: int):
             })
 
 
-def log_ratios(docs: DataFrame, target_ids: list[int], buckets: int = BUCKETS) -> np.ndarray:
-    """log p_target - log p_raw of each bucket; zeros where there is no target text."""
-    targets = np.array(sorted(target_ids), np.int64)
+def marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every text, and whether its doc_id is among `targets` (doc_id, distinct). Rows without doc_id never are; they are
+    dealt out by their text. Always one exchange of the text, whatever the number of targets, so none of them is held on
+    the driver."""
+    wanted = targets.select(F.col("doc_id").cast("long").alias("target_id")).hint("shuffle_hash")  # no sort of the text
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    return own.join(wanted, (key == F.col("target_id")) & F.col("doc_id").isNotNull(), "left").select(
+        F.col("target_id").isNotNull().alias("wanted"), "text")
+
+
+def log_ratios(docs: DataFrame, targets: DataFrame | list[int], buckets: int = BUCKETS) -> np.ndarray:
+    """log p_target - log p_raw of each bucket; zeros where there is no target text. targets: a table of distinct doc_id,
+    or a list of them."""
+    if isinstance(targets, list):
+        targets = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(targets))], "doc_id long")
     counted = (
-        docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
-        .mapInArrow(lambda batches: count_batches(batches, targets, buckets), "bucket long, raw long, target long")
+        marked(docs, targets)
+        .mapInArrow(lambda batches: count_batches(batches, buckets), "bucket long, raw long, target long")
         .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # at most `buckets` rows
     )
+    if not any(r["target"] for r in counted):
+        return np.zeros(buckets)
     raw, target = np.full(buckets, SMOOTHING), np.full(buckets, SMOOTHING)
     for r in counted:
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] += r["target"]
-    if not target_ids:
-        return np.zeros(buckets)
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
@@ -123,10 +134,9 @@ def top_k(df: DataFrame, place: str, k: int, ties: list[str]) -> DataFrame:
 
 
 def importance_resampling(
-    docs: DataFrame, labels: DataFrame, *, keep_share: float | None = None, seed: int = SEED, target_docs: int = TARGET_DOCS,
-    buckets: int = BUCKETS,
+    docs: DataFrame, labels: DataFrame, *, keep_share: float | None = None, seed: int = SEED, buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Draws documents that look like the target: those labelled `quality` 1 (at most `target_docs`, by hash of the id).
+    """Draws documents that look like the target: those labelled `quality` 1, all of them.
 
     keep_share is the share of rows to keep, rounded up; unset, it is the target's share of the labelled documents and a
     quarter of the rest. Returns doc_id, n_words, log_weight, gumbel_key and kept.
@@ -137,8 +147,7 @@ def importance_resampling(
     """
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     shares = marks.agg(F.avg((F.col("quality") > 0).cast("double")).alias("good")).first()["good"]
-    ids = [r["doc_id"] for r in bounded_sample(marks.filter("quality > 0").select("doc_id"), "doc_id", target_docs).collect()]
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, ids, buckets))  # one number per bucket
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, marks.filter("quality > 0").select("doc_id"), buckets))  # one number per bucket
     scored = written(
         docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
             lambda batches: score_batches(batches, ratios.value, seed),

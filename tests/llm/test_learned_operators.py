@@ -92,6 +92,20 @@ def test_resampling_ratios_and_top_k(spark, edge, empty, labels, no_labels):
     assert resampling.importance_resampling(empty, labels).count() == 0
 
 
+def test_resampling_counts_every_target_text(spark):
+    docs = spark.range(21_000).selectExpr("id as doc_id", "concat('word', id, ' tail', id) as text")
+    every = docs.selectExpr("doc_id", "1 as quality")
+    assert {r["log_weight"] for r in resampling.importance_resampling(docs, every).collect()} == {0.0}  # target text is raw text
+
+
+def test_resampling_never_marks_rows_without_id(spark):
+    docs = spark.createDataFrame([(1, "good words"), (None, "good words"), (None, None), (1, "more"), (2, "bad")], "doc_id long, text string")
+    hashes = [r["h"] for r in docs.selectExpr("xxhash64(text) as h").collect()]
+    targets = spark.createDataFrame([(i,) for i in {1, *hashes}], "doc_id long")
+    assert Counter(map(tuple, resampling.marked(docs, targets).collect())) == Counter(
+        [(True, "good words"), (False, "good words"), (False, None), (True, "more"), (False, "bad")])
+
+
 def test_kth_greatest_over_any_numbers(spark):
     rng = random.Random(1)
     values = [rng.randint(-(2**63), 2**63 - 1) for _ in range(300)] + [0, 0, -1, 5, 5, 5, 2**63 - 1, -(2**63)]
