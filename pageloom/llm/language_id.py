@@ -1,7 +1,7 @@
 """Operator 10, language ID: rank-order profiles compared by out-of-place distance.
 
 A language's profile is the order of its most frequent n-grams (one to three letters, with word edges) in a bounded
-sample of labelled documents. A document is read whole, its n-grams are ordered the same way, and the language whose
+sample of labelled documents, over all letters of all scripts. A document is read whole, its n-grams are ordered the same way, and the language whose
 profile is the least out of place wins. Learning collects a few hundred n-grams per language; predicting is one narrow
 pass over the text.
 """
@@ -23,75 +23,95 @@ ship_by_value(__name__)
 
 TOP = 300
 SAMPLE_DOCS = 2_000  # labelled documents per language that a profile is learned from, at most
-LETTERS = 62  # the most frequent letters of the sample; all others count as one
 UNKNOWN = "und"
-SHIFT = 6
+Model = tuple[list[str], str, np.ndarray, np.ndarray]  # languages, alphabet, codes of all profiles, profiles
+SHIFT = 6  # bits of a letter's number in a small alphabet
 CODES = (1 << SHIFT) + (1 << 2 * SHIFT) + (1 << 3 * SHIFT)
-CODE_BITS = 19
 
 
-def letter_table(alphabet: str) -> np.ndarray:
-    """For each code point: 0 no letter, 1 .. n its place in the alphabet, 63 any other letter."""
+def letter_table(alphabet: str, apart: bool = False) -> np.ndarray:
+    """For each code point: 0 no letter, 1 .. n its place in the alphabet. Any other letter is 63, or with `apart` has a
+    number of its own after the alphabet's."""
     held = sys.__dict__.setdefault("_pageloom_letters", {})
     if "any" not in held:
-        every = np.zeros(0x110000, np.uint8)
-        every[[i for i in range(0x110000) if chr(i).isalpha()]] = (1 << SHIFT) - 1
-        held["any"] = every
-    if alphabet not in held:
-        own = held["any"].copy()
-        own[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
-        held[alphabet] = own
-    return held[alphabet]
+        held["any"] = np.array([i for i in range(0x110000) if chr(i).isalpha()])
+    if (alphabet, apart) not in held:
+        own = np.zeros(0x110000, np.int32)
+        places = np.array([ord(c) for c in alphabet], np.int64)
+        others = np.setdiff1d(held["any"], places)
+        own[others] = len(places) + 1 + np.arange(len(others)) if apart else (1 << SHIFT) - 1
+        own[places] = np.arange(1, len(places) + 1)
+        held[alphabet, apart] = own
+    return held[alphabet, apart]
+
+
+def bits_of(letters: np.ndarray) -> int:
+    """Bits of a letter's number: 6 for a small alphabet, 18 for all letters."""
+    held = sys.__dict__.setdefault("_pageloom_letter_bits", {})
+    if id(letters) not in held:
+        held[id(letters)] = (letters, max(SHIFT, int(letters.max()).bit_length()))  # held, so the id stays its own
+    return held[id(letters)][1]
 
 
 def symbols(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letter numbers of all texts in a row with a 0 before, between and after them, and the text of each."""
+    """Letter numbers of all texts in a row with a 0 before and between them and two after, and the text of each."""
     lowered = [t.lower() for t in texts]
-    points = np.frombuffer("\n".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
-    doc = np.repeat(np.arange(len(texts) + 1), np.array([*map(len, lowered), 0]) + 1)
+    points = np.frombuffer("\n".join(["", *lowered, "", ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    doc = np.repeat(np.arange(len(texts) + 2), np.array([*map(len, lowered), 0, 0]) + 1)
     return letters[points].astype(np.int64), doc
 
 
 def gram_counts(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text and n-gram: text, code, count; and whether a text has a letter at all."""
+    """Of each text and n-gram: text, code, count; and whether a text has a letter at all. In the order of text and code."""
+    bits = bits_of(letters)
+    room = 1 << (61 - 3 * bits)  # texts whose number fits beside a code
+    if len(texts) > room:
+        parts = [gram_counts(texts[at:at + room], letters) for at in range(0, len(texts), room)]
+        docs = [part[0] + k * room for k, part in enumerate(parts)]
+        return np.concatenate(docs), *(np.concatenate([part[k] for part in parts]) for k in (1, 2, 3))
     s, doc = symbols(texts, letters)
     a, b, c = s[:-2], s[1:-1], s[2:]
-    at = doc[1:-1] << CODE_BITS
-    two, three = 1 << SHIFT, (1 << SHIFT) + (1 << 2 * SHIFT)
+    code_bits = 3 * bits + 1
+    at = doc[1:-1] << code_bits
+    two, three = 1 << bits, (1 << bits) + (1 << 2 * bits)
     letter = b > 0
     left = letter | (a > 0)
-    pair_at = np.where(a > 0, doc[:-2], doc[1:-1]) << CODE_BITS  # a 0 after a text is the next one's, the pair is not
+    pair_at = np.where(a > 0, doc[:-2], doc[1:-1]) << code_bits  # a 0 after a text is the next one's, the pair is not
     keys = np.concatenate([
         (at + b)[letter],
-        (pair_at + two + (a << SHIFT) + b)[left],
-        (at + three + (a << 2 * SHIFT) + (b << SHIFT) + c)[letter],
+        (pair_at + two + (a << bits) + b)[left],
+        (at + three + (a << 2 * bits) + (b << bits) + c)[letter],
     ])
     keys.sort()
     new = np.flatnonzero(np.diff(keys, prepend=-1))
     keys, counts = keys[new], np.diff(new, append=len(keys))
     some = np.zeros(len(texts), bool)
     some[doc[1:-1][letter]] = True
-    return keys >> CODE_BITS, keys & ((1 << CODE_BITS) - 1), counts, some
+    return keys >> code_bits, keys & ((1 << code_bits) - 1), counts, some
 
 
 def ranked(doc: np.ndarray, code: np.ndarray, count: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The `top` n-grams of each text with their ranks; the more frequent first, of equals the lower code."""
-    room = (1 << 24) - 1
-    order = (doc << (24 + CODE_BITS)) + ((room - np.minimum(count, room)) << CODE_BITS) + code
-    order.sort()
-    doc, code = order >> (24 + CODE_BITS), order & ((1 << CODE_BITS) - 1)
+    order = np.lexsort((code, -count, doc))
+    doc, code = doc[order], code[order]
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     rank = np.arange(len(doc)) - np.repeat(first, np.diff(first, append=len(doc)))
     near = rank < top
     return doc[near], code[near], rank[near]
 
 
-def distances(texts: list[str], letters: np.ndarray, profiles: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+def distances(
+    texts: list[str], letters: np.ndarray, profiles: np.ndarray, top: int, known: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """Out-of-place distance of each text (row) to each profile (column), and whether it has a letter.
 
-    profiles: for each language and code the rank, or `top` where the code is not in the profile, which costs `top`."""
+    profiles: for each language and code the rank, or `top` where the code is not in the profile, which costs `top`. Its
+    columns are the codes `known`, in order, and a last one for all others; without `known`, a column's number is its code."""
     doc, code, count, some = gram_counts(texts, letters)
     doc, code, rank = ranked(doc, code, count, top)
+    if known is not None:
+        at = np.searchsorted(known, code)
+        code = np.where(np.append(known, -1)[at] == code, at, len(known))
     out = np.zeros((len(texts), len(profiles)))
     for i, profile in enumerate(profiles):
         place = profile[code]
@@ -101,32 +121,35 @@ def distances(texts: list[str], letters: np.ndarray, profiles: np.ndarray, top:
 
 
 def learn_batches(batches, alphabet: str):
-    letters = letter_table(alphabet)
+    letters = letter_table(alphabet, apart=True)
     for batch in batches:
         for a, b in chunks(batch.column(1)):
             langs = batch.column(0).slice(a, b - a).to_pylist()
             texts = [t.as_py() or "" for t in batch.column(1).slice(a, b - a)]
             doc, code, count, _ = gram_counts(texts, letters)
             names = sorted(set(langs))
-            own = np.array([names.index(x) for x in langs])[doc] * (1 << CODE_BITS) + code
-            key, back = np.unique(own, return_inverse=True)
-            yield pa.record_batch({
-                "lang": pa.array([names[k >> CODE_BITS] for k in key.tolist()], pa.string()),
-                "code": pa.array(key & ((1 << CODE_BITS) - 1), pa.int64()),
-                "n": pa.array(np.bincount(back, count, minlength=len(key)).astype(np.int64)),
-            })
-
-
-def predicted_slices(batches, languages: list[str], alphabet: str, profiles: np.ndarray, top: int):
+            place = {x: i for i, x in enumerate(names)}
+            lang = np.array([place[x] for x in langs], np.int64)[doc]
+            order = np.lexsort((code, lang))
+            lang, code, count = lang[order], code[order], count[order]
+            new = np.flatnonzero((np.diff(lang, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+            if len(new):
+                yield pa.record_batch({
+                    "lang": pa.array([names[k] for k in lang[new].tolist()], pa.string()), "code": pa.array(code[new], pa.int64()),
+                    "n": pa.array(np.add.reduceat(count, new).astype(np.int64)),
+                })
+
+
+def predicted_slices(batches, languages: list[str], alphabet: str, known: np.ndarray, profiles: np.ndarray, top: int):
     """Slices of batches that have a text column, with the language and score of each text."""
-    letters = letter_table(alphabet)
+    letters = letter_table(alphabet, apart=True)
     for batch in batches:
         column = batch.schema.get_field_index("text")
         for part in slices(batch):
             langs, scores = [], []
             texts = part.column(column)
             for a, b in chunks(texts):
-                far, some = distances([t.as_py() or "" for t in texts.slice(a, b - a)], letters, profiles, top)
+                far, some = distances([t.as_py() or "" for t in texts.slice(a, b - a)], letters, profiles, top, known)
                 for row, letter in zip(far, some, strict=True):
                     if not letter or not languages:
                         langs.append(UNKNOWN)
@@ -166,25 +189,28 @@ def sampled(labelled: DataFrame, limit: int) -> DataFrame:
     return thin.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit).select("lang", "text")
 
 
-def learn_profiles(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> tuple[list[str], str, np.ndarray]:
-    """Languages, alphabet and profiles from labelled (doc_id, text, lang), lang not null."""
+def learn_profiles(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> Model:
+    """The model from labelled (doc_id, text, lang), lang not null. Its alphabet has all letters of the sample, the most
+    frequent first; it only gives n-grams that are equally frequent their order."""
     sample = sampled(labelled.select("doc_id", "text", "lang"), sample_docs)
     found = (
         sample.select(F.explode(F.split(F.lower("text"), "")).alias("c")).filter(F.col("c").rlike(r"^\p{L}$"))
-        .groupBy("c").count().orderBy(F.desc("count"), "c").limit(LETTERS).collect()
+        .groupBy("c").count().orderBy(F.desc("count"), "c").collect()
     )
     alphabet = "".join(r["c"] for r in found if len(r["c"]) == 1)
     counts = sample.mapInArrow(lambda batches: learn_batches(batches, alphabet), "lang string, code long, n long")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     best = (
         counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-        .withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < top).collect()
+        .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top).collect()
     )
     languages = sorted({r["lang"] for r in best})
-    profiles = np.full((len(languages), CODES), top, np.int64)
+    known = np.array(sorted({r["code"] for r in best}), np.int64)
+    profiles = np.full((len(languages), len(known) + 1), top, np.int32)
+    row, column = {x: i for i, x in enumerate(languages)}, {x: i for i, x in enumerate(known.tolist())}
     for r in best:
-        profiles[languages.index(r["lang"]), r["code"]] = r["rank"]
-    return languages, alphabet, profiles
+        profiles[row[r["lang"]], column[r["code"]]] = r["nth"] - 1
+    return languages, alphabet, known, profiles
 
 
 def held_out() -> Column:
@@ -192,19 +218,19 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: tuple[list[str], str, np.ndarray], row: Column, top: int = TOP) -> DataFrame:
+def identify(docs: DataFrame, model: Model, row: Column, top: int = TOP) -> DataFrame:
     """lang_pred and score beside `row` for every row of docs."""
-    languages, alphabet, profiles = model
-    shipped = docs.sparkSession.sparkContext.broadcast(profiles)  # languages times CODES numbers
+    languages, alphabet, known, profiles = model
+    shipped = docs.sparkSession.sparkContext.broadcast((known, profiles))  # languages times their n-grams
     plain = docs.select("text", row.alias("row"))
     kind = plain.schema["row"].dataType.simpleString()
     return plain.mapInArrow(
-        lambda batches: predict_batches(batches, languages, alphabet, shipped.value, top),
+        lambda batches: predict_batches(batches, languages, alphabet, *shipped.value, top),
         f"row {kind}, lang_pred string, score double",
     )
 
 
-def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> tuple[list[str], str, np.ndarray]:
+def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> Model:
     """A model from the documents that are labelled and not held out."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     return learn_profiles(labelled, sample_docs=sample_docs, top=top)
@@ -213,9 +239,9 @@ def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = TOP) ->
 def without_wrong_language(docs: DataFrame, least_score: float) -> DataFrame:
     """The rows of docs, with all their columns, but texts of no language and those that are of another language than
     `lang` says by a score of `least_score` or more."""
-    languages, alphabet, profiles = learn(docs)
-    shipped = docs.sparkSession.sparkContext.broadcast(profiles)  # languages times CODES numbers
-    return docs.mapInArrow(lambda batches: keep_batches(batches, least_score, languages, alphabet, shipped.value, TOP), docs.schema)
+    languages, alphabet, known, profiles = learn(docs)
+    shipped = docs.sparkSession.sparkContext.broadcast((known, profiles))  # languages times their n-grams
+    return docs.mapInArrow(lambda batches: keep_batches(batches, least_score, languages, alphabet, *shipped.value, TOP), docs.schema)
 
 
 def language_id(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> DataFrame:

@@ -258,6 +258,29 @@ def test_language_id_on_awkward_rows(edge, empty):
     assert {r["lang_pred"] for r in language_id.language_id(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_of_rare_letters_are_told_apart(spark):
+    rng = random.Random(2)
+    letters = {"many": "".join(map(chr, [*range(0x61, 0x7B), *range(0x3B1, 0x3C9), *range(0x430, 0x450)])), "hi": "कखगघचछजझटठ", "bn": "কখগঘচছজঝটঠ"}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(letters[lang]) for _ in range(4)) for _ in range(n))
+    rows = [(i, text(lang, 200 if lang == "many" else 30), lang) for i in range(120) for lang in [rng.choice(["many", "hi", "bn"])]]
+    found = language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    said = {i: lang for i, _, lang in rows}
+    assert all(r["lang_pred"] == said[r["doc_id"]] for r in found) and sum(r["held_out"] for r in found) > 10
+
+
+def test_grams_of_many_texts_over_all_letters():
+    letters = language_id.letter_table("ab", apart=True)
+    texts = ["", "ab ক", "कख", "x" * 3] * 100
+    doc, code, count, some = language_id.gram_counts(texts, letters)
+    for i in (0, 1, 2, 3, 127, 128, 129, 399):
+        _, alone, n, _ = language_id.gram_counts([texts[i]], letters)
+        assert code[doc == i].tolist() == alone.tolist() and count[doc == i].tolist() == n.tolist()
+    assert some.tolist() == [bool(t) for t in texts]
+    assert len({x for i in (1, 2, 3) for x in code[doc == i].tolist()}) == sum(len(set(code[doc == i].tolist())) for i in (1, 2, 3))
+
+
 def test_out_of_place_distance_by_hand():
     letters, top = language_id.letter_table("abcdefghijklmnopqrstuvwxyz"), 25
     texts = ["the cat sat on the mat", "", "xx yy 12"]
