@@ -68,7 +68,8 @@ def matchers(notices: list[tuple[str, str, int]]) -> list[regex.Pattern]:
 
 
 def fuzzy_spans(words: str, notices, automaton, patterns) -> list[tuple[int, int, int, int]]:
-    """(notice, edits, start, end) in a text of words joined by single spaces, without overlaps of one notice."""
+    """(notice, edits, start, end) in a text of words joined by single spaces, without overlaps of one notice: of
+    overlapping ones that with the fewest edits stays. In the order of notices, then of places."""
     places: dict[int, list[tuple[int, int]]] = {}
     for last, (size, uses) in automaton.iter(words):
         for i, at in uses:
@@ -84,10 +85,13 @@ def fuzzy_spans(words: str, notices, automaton, patterns) -> list[tuple[int, int
                 joined[-1][1] = max(joined[-1][1], b)
             else:
                 joined.append([a, b])
-        for a, b in joined:
-            while (m := patterns[i].search(words, a, b)) is not None and m.end() > m.start():
-                found.append((i, sum(m.fuzzy_counts), m.start(), m.end()))
-                a = m.end()
+        own, rest = [], [(a, b) for a, b in joined]
+        while rest:  # the best match of a range first, then what lies before and behind it
+            a, b = rest.pop()
+            if (m := patterns[i].search(words, a, b)) is not None and m.end() > m.start():
+                own.append((i, sum(m.fuzzy_counts), m.start(), m.end()))
+                rest += [(a, m.start()), (m.end(), b)]
+        found += sorted(own, key=lambda x: x[2])
     return found
 
 

@@ -293,6 +293,21 @@ def test_seeds_lose_no_notice_within_its_edits():
         assert any(license_scan.NOTICES[i][1] == label for i, *_ in license_scan.fuzzy_spans(text, license_scan.NOTICES, automaton, patterns))
 
 
+def test_license_scan_finds_lists_of_notices():
+    automaton, patterns = license_scan.seeds_of(license_scan.NOTICES), license_scan.matchers(license_scan.NOTICES)
+
+    def spans(text, i=1):
+        return [(e, text[a:b].strip()) for n, e, a, b in license_scan.fuzzy_spans(text, license_scan.NOTICES, automaton, patterns) if n == i]
+    exact, one, two = "released under the mit license", "released under the mit licens", "releesed under the mit licens"
+    assert spans(f"{one} x {exact} tail") == [(1, one), (0, exact)]
+    assert spans(f"{two} {one} {exact} {two} {one}") == [(2, two), (1, one), (0, exact), (2, two), (1, one)]
+    assert spans(f"x {one} {exact}y {exact}") == [(1, one), (1, exact + "y"), (0, exact)]
+    rng = random.Random(3)
+    for _ in range(50):
+        own = [rng.choice([exact, one, two]) for _ in range(rng.randint(1, 6))]
+        assert [x for _, x in spans(" ".join(y for x in own for y in [x, "and"] * rng.randint(1, 1)))] == own
+
+
 @pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_merkle_fingerprints", "op7_jaccard_join"])
 def test_queries_equal_their_sql(spark, name):
     from pageloom.llm.queries import ORACLES, QUERIES
