@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    exact_dedup,
     jaccard_join,
     language_id,
     license_scan,
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_language_id": language_id.op10_language_id,
+    "op12_exact_dedup": exact_dedup.op12_exact_dedup,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op3_merkle_fingerprints": merkle.SQL,
     "op7_jaccard_join": jaccard_join.SQL,
+    "op12_exact_dedup": exact_dedup.SQL,
 }
