@@ -9,6 +9,7 @@ from . import (
     license_scan,
     merkle,
     packing,
+    periodic_runs,
     piece_tokens,
     quality_trees,
     resampling,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_language_id": language_id.op10_language_id,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
 }
 ORACLES = {
