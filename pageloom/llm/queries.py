@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    conversation_repair,
     exact_dedup,
     jaccard_join,
     language_id,
@@ -30,10 +31,12 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op3_merkle_fingerprints": merkle.SQL,
     "op7_jaccard_join": jaccard_join.SQL,
     "op12_exact_dedup": exact_dedup.SQL,
+    "op13_conversation_repair": conversation_repair.SQL,
 }
