@@ -25,39 +25,40 @@ from ..kernels import ship_by_value
 ship_by_value(__name__)
 
 # Fixed values of HTML.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE_RAW_TEXT = frozenset("title textarea".split())
-CLOSES_P = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CLOSES_P = HEADINGS | frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li "
+    "listing main menu nav ol p plaintext pre search section summary table ul xmp".split()
 )
-INLINE = frozenset("a abbr b bdi bdo big cite code em font i kbd mark nobr q s samp small span strike strong sub sup tt u var".split())
-SCOPE = frozenset("html table td th caption button object template svg math".split())
-# start tag -> (open tags it closes, tags that stop the search)
-IMPLIED_END = {
-    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
-    "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
-    "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
-    "option": (frozenset({"option"}), frozenset({"select"})),
-    "tr": (frozenset({"tr"}), frozenset({"table"})),
-    "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
-    "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
-    "tbody": (frozenset({"thead", "tbody", "tfoot"}), frozenset({"table"})),
-    "tfoot": (frozenset({"thead", "tbody", "tfoot"}), frozenset({"table"})),
-    "a": (frozenset({"a"}), SCOPE),
-    "body": (frozenset({"head"}), frozenset()),
-}
-P_ONLY = frozenset({"p"})
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 # Elements that formatting does not reach into from outside.
 WALLS = frozenset("td th caption applet marquee object template".split())
-HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
+HEAD_ONLY = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 # Start tags before which open formatting is not taken up again.
 PLAIN_START = CLOSES_P | HEAD_ONLY | frozenset(
-    "html head body frame frameset li dt dd caption col colgroup tbody td tfoot th thead tr param source track textarea iframe noembed noframes".split()
+    "html head body frame frameset caption col colgroup tbody td tfoot th thead tr param source track textarea iframe noembed".split()
 )
+SPECIAL = CLOSES_P - frozenset({"dialog"}) | HEAD_ONLY | VOID | frozenset(
+    "applet body button caption colgroup frameset head html iframe marquee noembed object select tbody td textarea tfoot th thead tr".split()
+)
+IMPLIED_END = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
+SCOPE = frozenset("applet caption html table td th marquee object select template svg math".split())
+BUTTON_SCOPE = SCOPE | {"button"}
+LIST_SCOPE = SCOPE | {"ol", "ul"}
+TABLE_SCOPE = frozenset("html table template".split())
+# Parts of a table that hold other parts only, and what each is put into when that is not open.
+TABLE_FRAME = frozenset("table tbody tfoot thead tr colgroup".split())
+FOSTERING = TABLE_FRAME - {"colgroup"}
+ROW_GROUPS = frozenset("tbody tfoot thead".split())
+CELLS = frozenset("td th".split())
+TABLE_PARTS = ROW_GROUPS | CELLS | frozenset("caption col colgroup tr".split())
+HOLDER = {"caption": {"table"}, "colgroup": {"table"}, "col": {"colgroup"}, "tr": ROW_GROUPS, "td": {"tr"}, "th": {"tr"}} | dict.fromkeys(ROW_GROUPS, {"table"})
+IMPLIED_HOLDER = {"col": "colgroup", "tr": "tbody", "td": "tr", "th": "tr"}
 MAX_ALIKE = 3  # equal formatting elements that are taken up again
+MAX_ADOPTIONS, MAX_CLONES = 8, 3  # limits of the adoption agency algorithm
 MAX_DEPTH = 512  # deeper elements become siblings at the limit, as in browsers
 
 TOKEN = re.compile(
@@ -68,6 +69,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+WHITE = " \t\n\r\f"
 
 NODE_FIELDS = [
     ("node_id", pa.int32()), ("end_id", pa.int32()), ("parent_id", pa.int32()), ("prev_id", pa.int32()),
@@ -90,189 +92,467 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def parse_page(source: str) -> tuple[list[dict], list[str], list[int]]:
-    """Nodes, texts and text owners of one page.
-
-    As in a browser: html, head and body are there even if the page does not write them, text outside all elements
-    belongs to body, and formatting that its block cut off goes on in the next one (`<p><b>x<p>y` has two b elements).
-    An end tag of formatting that was opened outside the current block ends it for what follows, not for that block.
-    """
-    nodes: list[dict] = []
-    texts: list[str] = []
-    owners: list[int] = []
-    stack: list[dict] = []
-    children: dict[int, int] = {}
-    last_child: dict[int, int] = {}
-    active: list[tuple[str, dict[str, str], int] | None] = []  # formatting (tag, attributes, node); None is a wall
-    open_ids: set[int] = set()
-    had = {"head": False, "body": False}
-
-    def close_to(level: int) -> None:
-        while len(stack) > level:
-            node = stack.pop()
-            open_ids.discard(node["node_id"])
-            node["end_id"] = len(nodes) - 1
-            node["text_to"] = len(texts)
-            if node["tag"] in WALLS and None in active:
-                while active.pop() is not None:
+class Element:
+    """An element while the tree is being built; kids are elements and strings."""
+
+    __slots__ = ("tag", "attrs", "parent", "kids")
+
+    def __init__(self, tag: str, attrs: dict[str, str]):
+        self.tag, self.attrs, self.parent, self.kids = tag, attrs, None, []
+
+    def put(self, kid: Element | str, before: Element | None = None) -> None:
+        if not isinstance(kid, str):
+            if kid.parent is not None:
+                kid.parent.kids.remove(kid)
+            kid.parent = self
+        if before is None:
+            self.kids.append(kid)
+        else:
+            at = len(self.kids) - 1
+            while self.kids[at] is not before:
+                at -= 1
+            self.kids.insert(at, kid)
+
+
+def within(items: list, wanted: Element) -> int:
+    """Where an element itself, not one like it, stands in a list, from the end; -1 if nowhere."""
+    for i in range(len(items) - 1, -1, -1):
+        if items[i] is wanted:
+            return i
+    return -1
+
+
+class Builder:
+    """The open elements and active formatting of one page, and the tree built so far."""
+
+    def __init__(self):
+        self.root: Element | None = None
+        self.head: Element | None = None
+        self.body: Element | None = None
+        self.stack: list[Element] = []
+        self.active: list[Element | None] = []  # formatting elements; None is a wall
+        self.tables = 0  # open tables
+        self.foster = False  # does content of a table's frame go before the table?
+
+    # ---- the stack of open elements --------------------------------------
+    def close_to(self, level: int) -> None:
+        while len(self.stack) > level:
+            tag = self.stack.pop().tag
+            if tag == "table":
+                self.tables -= 1
+            if tag in WALLS and None in self.active:
+                while self.active.pop() is not None:
                     pass
 
-    def find_open(wanted, stops) -> int:
-        for level in range(len(stack) - 1, -1, -1):
-            tag = stack[level]["tag"]
+    def find(self, wanted, stops) -> int:
+        """Level of the innermost open element of these tags, unless an element of `stops` comes first."""
+        for level in range(len(self.stack) - 1, -1, -1):
+            tag = self.stack[level].tag
             if tag in wanted:
                 return level
             if tag in stops:
                 return -1
         return -1
 
-    def open_node(tag: str, attrs: dict[str, str]) -> int:
-        if len(stack) >= MAX_DEPTH:
-            close_to(MAX_DEPTH - 1)
-        parent = stack[-1]["node_id"] if stack else -1
-        node_id = len(nodes)
-        children[parent] = children.get(parent, 0) + 1
-        node = {
-            "node_id": node_id, "end_id": node_id, "parent_id": parent, "prev_id": last_child.get(parent, -1),
-            "depth": len(stack), "sib_pos": children[parent], "sib_last": False, "tag": tag,
-            "attrs": list(attrs.items()), "classes": attrs["class"].split() if "class" in attrs else [],
-            "path": [n["node_id"] for n in stack], "text_from": len(texts), "text_to": len(texts),
-        }
-        last_child[parent] = node_id
-        nodes.append(node)
-        stack.append(node)
-        open_ids.add(node_id)
-        if tag in had:
-            had[tag] = True
-        return node_id
-
-    def imply(tag: str | None) -> None:
+    def imply_ends(self, but: str = "") -> None:
+        while self.stack and self.stack[-1].tag in IMPLIED_END and self.stack[-1].tag != but:
+            self.close_to(len(self.stack) - 1)
+
+    def table_mode(self) -> str | None:
+        """The innermost open part of a table's frame, unless a cell or caption is open in it."""
+        if not self.tables:
+            return None
+        for node in reversed(self.stack):
+            if node.tag in TABLE_FRAME:
+                return node.tag
+            if node.tag in WALLS:
+                return None
+        return None
+
+    # ---- putting things into the tree ------------------------------------
+    def place(self, kid: Element | str, target: Element | None = None) -> None:
+        target = self.stack[-1] if target is None else target
+        if self.foster and target.tag in FOSTERING:
+            level = self.find(("table",), ())
+            table = self.stack[level]
+            if table.parent is not None:
+                table.parent.put(kid, before=table)
+                return
+            target = self.stack[level - 1]
+        target.put(kid)
+
+    def open(self, tag: str, attrs: dict[str, str]) -> Element:
+        if len(self.stack) >= MAX_DEPTH:
+            self.close_to(MAX_DEPTH - 1)
+        node = Element(tag, attrs)
+        if self.stack:
+            self.place(node)
+        else:
+            self.root = node
+        self.stack.append(node)
+        if tag == "table":
+            self.tables += 1
+        elif tag == "head":
+            self.head = self.head or node
+        elif tag == "body":
+            self.body = self.body or node
+        if tag in WALLS:
+            self.active.append(None)
+        return node
+
+    def imply(self, tag: str | None) -> None:
         """Opens html, head and body where a start tag (None: text) needs them."""
         if tag == "html":
             return
-        if not stack:
-            open_node("html", {})
-        if had["body"] or tag in ("head", "body", "frameset"):
+        if not self.stack:
+            self.open("html", {})
+        if self.body is not None or tag in ("head", "frameset"):
             return
         if tag in HEAD_ONLY:
-            if not had["head"]:
-                open_node("head", {})
+            if self.head is None:
+                self.open("head", {})
             return
-        if not had["head"]:
-            open_node("head", {})
-        if stack[-1]["tag"] in ("head", "html"):
-            close_to(1)
-            open_node("body", {})
-
-    def take_up() -> None:
+        if self.head is None:
+            self.open("head", {})
+        if self.stack[-1].tag in ("head", "html") or tag == "body":
+            self.close_to(1)
+            if tag != "body":
+                self.open("body", {})
+
+    def text(self, raw: str, decode: bool = True) -> None:
+        if not raw:
+            return
+        blank = not raw.strip(WHITE)
+        if decode and not (self.stack and self.stack[-1].tag in ESCAPABLE_RAW_TEXT):
+            if self.body is None and blank:
+                if len(self.stack) < 2:
+                    return  # white space before head and body is nobody's
+            else:
+                self.imply(None)
+                mode = self.table_mode()
+                if mode == "colgroup" and not blank:
+                    self.close_to(self.find(("colgroup",), ()))
+                framed = self.stack[-1].tag in TABLE_FRAME
+                self.foster = mode is not None and not (blank and framed)
+                if self.foster or not framed:
+                    self.take_up()
+        self.place(_html.unescape(raw) if decode and "&" in raw else raw)
+        self.foster = False
+
+    # ---- formatting ------------------------------------------------------
+    def take_up(self) -> None:
         """Opens formatting again that is active but no longer open."""
-        at = len(active)
-        while at and active[at - 1] is not None and active[at - 1][2] not in open_ids:
+        at = len(self.active)
+        while at and self.active[at - 1] is not None and within(self.stack, self.active[at - 1]) < 0:
             at -= 1
-        for i in range(at, len(active)):
-            tag, attrs, _ = active[i]
-            active[i] = (tag, attrs, open_node(tag, attrs))
+        for i in range(at, len(self.active)):
+            self.active[i] = self.open(self.active[i].tag, self.active[i].attrs)
 
-    def start_formatting(tag: str, attrs: dict[str, str]) -> None:
+    def start_formatting(self, tag: str, attrs: dict[str, str]) -> None:
         alike = []
-        for i in range(len(active) - 1, -1, -1):
-            if active[i] is None:
+        for i in range(len(self.active) - 1, -1, -1):
+            if self.active[i] is None:
                 break
-            if active[i][:2] == (tag, attrs):
+            if self.active[i].tag == tag and self.active[i].attrs == attrs:
                 alike.append(i)
-        node_id = open_node(tag, attrs)
         if len(alike) >= MAX_ALIKE:
-            del active[alike[-1]]
-        active.append((tag, attrs, node_id))
+            del self.active[alike[-1]]
+        self.active.append(self.open(tag, attrs))
+
+    def last_active(self, tag: str) -> int:
+        for i in range(len(self.active) - 1, -1, -1):
+            if self.active[i] is None:
+                return -1
+            if self.active[i].tag == tag:
+                return i
+        return -1
 
-    def end_formatting(tag: str) -> None:
-        for i in range(len(active) - 1, -1, -1):
-            if active[i] is None:
+    def end_formatting(self, tag: str) -> None:
+        """The adoption agency: a block that an end tag of formatting cuts through keeps the formatting inside, for what it
+        has so far, and goes out of the formatting itself."""
+        stack, active = self.stack, self.active
+        if stack and stack[-1].tag == tag and within(active, stack[-1]) < 0:
+            self.close_to(len(stack) - 1)
+            return
+        for _ in range(MAX_ADOPTIONS):
+            at = self.last_active(tag)
+            if at < 0:
+                self.end_other(tag)
+                return
+            subject = active[at]
+            level = within(stack, subject)
+            if level < 0:
+                del active[at]
                 return
-            if active[i][0] == tag:
-                node_id = active.pop(i)[2]
-                level = next((k for k, n in enumerate(stack) if n["node_id"] == node_id), -1)
-                if level >= 0 and all(n["tag"] in INLINE for n in stack[level:]):
-                    close_to(level)
+            if any(n.tag in SCOPE for n in stack[level + 1:]):
+                return
+            cut = next((k for k in range(level + 1, len(stack)) if stack[k].tag in SPECIAL), -1)
+            if cut < 0:
+                self.close_to(level)
+                del active[at]
+                return
+            block = inner = stack[cut]
+            mark, clones, k = at, 0, cut
+            while True:
+                k -= 1
+                node = stack[k]
+                if node is subject:
+                    break
+                clones += 1
+                own = within(active, node)
+                if clones > MAX_CLONES and own >= 0:
+                    del active[own]
+                    mark -= own < mark
+                    own = -1
+                if own < 0:
+                    del stack[k]
+                    continue
+                copy = Element(node.tag, node.attrs)
+                active[own] = stack[k] = copy
+                if inner is block:
+                    mark = own + 1
+                copy.put(inner)
+                inner = copy
+            if inner.parent is not None:
+                inner.parent.kids.remove(inner)
+                inner.parent = None
+            foster, self.foster = self.foster, True
+            self.place(inner, stack[level - 1])
+            self.foster = foster
+            copy = Element(tag, subject.attrs)
+            for kid in block.kids:
+                if not isinstance(kid, str):
+                    kid.parent = copy
+            copy.kids, block.kids = block.kids, []
+            block.put(copy)
+            at = within(active, subject)
+            del active[at]
+            active.insert(mark - (at < mark), copy)
+            del stack[level]
+            stack.insert(within(stack, block) + 1, copy)
+
+    # ---- tags ------------------------------------------------------------
+    def end_other(self, tag: str) -> None:
+        for level in range(len(self.stack) - 1, -1, -1):
+            if self.stack[level].tag == tag:
+                self.close_to(level)
+                return
+            if self.stack[level].tag in SPECIAL:
                 return
 
-    def add_text(raw: str, decode: bool = True) -> None:
-        if not raw:
-            return
-        if decode and not (stack and stack[-1]["tag"] in ESCAPABLE_RAW_TEXT):
-            if not had["body"] and not raw.strip(" \t\n\r\f"):
-                if len(stack) < 2:
-                    return  # white space before head and body is nobody's
-            else:
-                imply(None)
-                take_up()
-        texts.append(_html.unescape(raw) if decode and "&" in raw else raw)
-        owners.append(stack[-1]["node_id"])
+    def close_p(self) -> None:
+        level = self.find(("p",), BUTTON_SCOPE)
+        if level >= 0:
+            self.close_to(level)
+
+    def close_item(self, alike) -> None:
+        """An li, dt or dd ends the open one, unless it stands in a block of its own."""
+        for level in range(len(self.stack) - 1, -1, -1):
+            tag = self.stack[level].tag
+            if tag in alike:
+                self.close_to(level)
+                return
+            if tag in SPECIAL and tag not in ("address", "div", "p"):
+                return
 
+    def table_start(self, tag: str) -> bool:
+        """Makes way for a part of a table; False where there is no table for it."""
+        if self.find(("table",), ("template",)) < 0:
+            return False
+        holder = HOLDER[tag]
+        while True:
+            level = self.find(holder, ("table",)) if "table" not in holder else self.find(holder, ())
+            if level >= 0:
+                self.close_to(level + 1)
+                return True
+            self.close_to(self.find(HOLDER[IMPLIED_HOLDER[tag]], ("table",)) + 1 or self.find(("table",), ()) + 1)
+            if self.stack[-1].tag not in HOLDER[IMPLIED_HOLDER[tag]]:
+                self.table_start(IMPLIED_HOLDER[tag])
+            self.open(IMPLIED_HOLDER[tag], {})
+
+    def start(self, tag: str, attrs: dict[str, str], closed: bool) -> bool:
+        """Opens an element; is it to be read on as raw text?"""
+        if tag == "html" and self.stack or tag == "head" and self.head is not None or tag == "body" and self.body is not None:
+            return False
+        tag = "img" if tag == "image" else tag
+        self.imply(tag)
+        foreign = any(n.tag in ("svg", "math") for n in self.stack)
+        if foreign or tag in ("svg", "math"):
+            if not foreign:
+                self.foster = self.table_mode() is not None
+                self.take_up()
+            self.open(tag, attrs)
+            self.foster = False
+            if closed or tag in VOID:
+                self.close_to(len(self.stack) - 1)
+            return tag in RAW_TEXT
+        late = tag in HEAD_ONLY and self.body is None and self.head is not None and self.stack[-1] is self.root
+        if late:
+            self.stack.append(self.head)
+        if tag in TABLE_PARTS:
+            if not self.table_start(tag):
+                return False
+        else:
+            mode = self.table_mode()
+            if mode == "colgroup" and tag != "template":
+                self.close_to(self.find(("colgroup",), ()))
+            if mode is not None and tag == "table":
+                self.close_to(self.find(("table",), ()))
+            elif mode is not None:
+                hidden = tag == "input" and attrs.get("type", "").lower() == "hidden"
+                self.foster = not (hidden or tag in ("script", "style", "template"))
+            self.make_way(tag)
+            if tag not in PLAIN_START:
+                self.take_up()
+        if tag in FORMATTING:
+            self.start_formatting(tag, attrs)
+        else:
+            self.open(tag, attrs)
+        self.foster = False
+        if tag in VOID:
+            self.close_to(len(self.stack) - 1)
+        if late:
+            del self.stack[within(self.stack, self.head)]
+        return tag in RAW_TEXT or tag in ESCAPABLE_RAW_TEXT
+
+    def make_way(self, tag: str) -> None:
+        """Ends the elements that cannot hold the one to come."""
+        if tag == "li":
+            self.close_item(("li",))
+        elif tag in ("dt", "dd"):
+            self.close_item(("dt", "dd"))
+        if tag in CLOSES_P:
+            self.close_p()
+        if tag in HEADINGS:
+            if self.stack[-1].tag in HEADINGS:
+                self.close_to(len(self.stack) - 1)
+        elif tag in ("option", "optgroup"):
+            if self.stack[-1].tag == "option":
+                self.close_to(len(self.stack) - 1)
+            if tag == "optgroup" and self.stack[-1].tag == "optgroup":
+                self.close_to(len(self.stack) - 1)
+        elif tag == "button":
+            level = self.find(("button",), SCOPE)
+            if level >= 0:
+                self.close_to(level)
+        elif tag in ("rb", "rtc", "rp", "rt") and self.find(("ruby",), SCOPE) >= 0:
+            self.imply_ends("rtc" if tag in ("rp", "rt") else "")
+        elif tag == "a":
+            at = self.last_active("a")
+            if at >= 0:
+                old = self.active[at]
+                self.end_formatting("a")
+                for items in (self.active, self.stack):
+                    if within(items, old) >= 0:
+                        del items[within(items, old)]
+        elif tag == "nobr":
+            self.take_up()
+            if self.find(("nobr",), SCOPE) >= 0:
+                self.end_formatting("nobr")
+
+    def end(self, tag: str) -> None:
+        if tag in ("html", "body"):
+            return  # what follows still belongs to body
+        if tag == "br":
+            self.start("br", {}, False)
+        elif tag in FORMATTING:
+            self.foster = self.table_mode() is not None
+            self.end_formatting(tag)
+            self.foster = False
+        elif tag in TABLE_PARTS or tag == "table":
+            level = self.find((tag,), TABLE_SCOPE)
+            if level >= 0 and not (tag == "col"):
+                self.close_to(level)
+        elif tag == "p":
+            if self.find(("p",), BUTTON_SCOPE) < 0:
+                self.start("p", {}, False)
+            self.close_p()
+        elif tag in HEADINGS:
+            level = self.find(HEADINGS, SCOPE)
+            if level >= 0:
+                self.close_to(level)
+        elif tag in CLOSES_P or tag in WALLS or tag in ("button", "select"):
+            level = self.find((tag,), LIST_SCOPE if tag == "li" else SCOPE - {tag})
+            if level >= 0:
+                self.close_to(level)
+        elif tag not in VOID:
+            self.end_other(tag)
+
+
+def read_tags(source: str) -> Element | None:
+    """The tree of one page."""
+    page = Builder()
     pos, size = 0, len(source)
     while pos < size:
         m = TOKEN.search(source, pos)
         if m is None:
-            add_text(source[pos:])
+            page.text(source[pos:])
             break
         if m.start() > pos:
-            add_text(source[pos:m.start()])
+            page.text(source[pos:m.start()])
         pos = m.end()
         end_tag, start_tag, attr_source = m.group(1), m.group(2), m.group(3)
         if start_tag:
             tag = start_tag.lower()
-            if (tag == "html" and stack) or (tag in had and had[tag]):
-                continue
-            imply(tag)
-            if tag in CLOSES_P and stack:
-                level = find_open(P_ONLY, SCOPE)
-                if level >= 0:
-                    close_to(level)
-            if tag in IMPLIED_END and tag != "a":
-                level = find_open(*IMPLIED_END[tag])
-                if level >= 0:
-                    close_to(level)
-            if tag in ("a", "nobr"):
-                end_formatting(tag)
             attrs = _attributes(attr_source) if attr_source and attr_source.strip(" /\n\t\r") else {}
-            foreign = any(n["tag"] in ("svg", "math") for n in stack)
-            if tag not in PLAIN_START and not foreign:
-                take_up()
-            if tag in FORMATTING and not foreign:
-                start_formatting(tag, attrs)
-            else:
-                open_node(tag, attrs)
-                if tag in WALLS:
-                    active.append(None)
-            if tag in VOID or (foreign and attr_source.endswith("/")) or (tag in ("svg", "math") and attr_source.endswith("/")):
-                close_to(len(stack) - 1)
-            elif tag in RAW_TEXT or tag in ESCAPABLE_RAW_TEXT:
+            if page.start(tag, attrs, attr_source.endswith("/")):
                 stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, pos)
                 until = stop.start() if stop else size
-                add_text(source[pos:until], tag in ESCAPABLE_RAW_TEXT)
+                page.text(source[pos + (tag == "textarea" and source[pos:pos + 1] == "\n"):until], tag in ESCAPABLE_RAW_TEXT)
                 pos = until
+                if page.stack[-1].tag == tag:
+                    page.close_to(len(page.stack) - 1)
+            elif tag in ("pre", "listing") and source[pos:pos + 1] == "\n":
+                pos += 1  # the first line break in them is nobody's
         elif end_tag:
-            tag = end_tag.lower()
-            if tag in ("html", "body"):
-                continue  # what follows still belongs to body
-            if tag in FORMATTING:
-                end_formatting(tag)
+            page.end(end_tag.lower())
+    return page.root
+
+
+def parse_page(source: str) -> tuple[list[dict], list[str], list[int]]:
+    """Nodes, texts and text owners of one page, as a browser's tree has them.
+
+    html, head and body are there even if the page does not write them, and tbody and tr in tables. Formatting that its block
+    cut off goes on in the next one (`<p><b>x<p>y` has two b elements), a block that an end tag of formatting cuts through
+    leaves the formatting (`<b><p>x</b>y` has y outside b), and content that stands in a table but in no cell goes before it.
+    """
+    root = read_tags(source)
+    nodes: list[dict] = []
+    texts: list[str] = []
+    owners: list[int] = []
+    if root is None:
+        return nodes, texts, owners
+    path: list[int] = []
+    # one entry per open element: its node, its kids still to come, its last child element
+    todo: list[list] = [[None, iter([root]), None, 0]]
+    while todo:
+        top = todo[-1]
+        parent, kids, previous, count = top
+        for kid in kids:
+            if isinstance(kid, str):
+                texts.append(kid)
+                owners.append(parent["node_id"])
                 continue
-            level = len(stack) - 1
-            if level >= 0 and stack[level]["tag"] != tag:
-                # an inline end tag does not reach out of the block it stands in
-                inline = tag in INLINE
-                while level >= 0 and stack[level]["tag"] != tag:
-                    level = -1 if inline and stack[level]["tag"] not in INLINE else level - 1
-            if level >= 0:
-                close_to(level)
-            elif tag == "p":
-                imply("p")
-                open_node("p", {})
-                close_to(len(stack) - 1)
-    close_to(0)
-    for node_id in last_child.values():
-        nodes[node_id]["sib_last"] = True
+            node_id = len(nodes)
+            node = {
+                "node_id": node_id, "end_id": node_id, "parent_id": parent["node_id"] if parent else -1,
+                "prev_id": previous["node_id"] if previous else -1, "depth": len(path), "sib_pos": count + 1, "sib_last": False,
+                "tag": kid.tag, "attrs": list(kid.attrs.items()), "classes": kid.attrs["class"].split() if "class" in kid.attrs else [],
+                "path": path.copy(), "text_from": len(texts), "text_to": len(texts),
+            }
+            nodes.append(node)
+            top[2], top[3] = node, count + 1
+            path.append(node_id)
+            todo.append([node, iter(kid.kids), None, 0])
+            break
+        else:
+            todo.pop()
+            if previous:
+                previous["sib_last"] = True
+            if parent:
+                path.pop()
+                parent["end_id"] = len(nodes) - 1
+                parent["text_to"] = len(texts)
     return nodes, texts, owners
 
 

@@ -55,8 +55,29 @@ def shape(source):
     ("<p><b>a<br><p>b", "[p[ba[br]]][p[bb]]"),
     ("<p><b>1<p><b>2<p><b>3<p><b>4<p>5", "[p[b1]][p[b[b2]]][p[b[b[b3]]]][p[b[b[b[b4]]]]][p[b[b[b5]]]]"),
     ("<b>x<i>y</b>z</i>w", "w[bx[iy]][iz]"),
-    ("<table><tr><td><b>x<td>y</table>z", "z[table[tr[td[bx]][tdy]]]"),
+    ("<table><tr><td><b>x<td>y</table>z", "z[table[tbody[tr[td[bx]][tdy]]]]"),
     ("<p>a</body> b</html>", "[pa b]"),
+    ("<b><p>x</b>y</p>", "[b][p" + "y[bx]]"),
+    ("<p>1<b>2<i>3</b>4</i>5</p>", "[p15[b2[i3]][i4]]"),
+    ("<b>1<p>2</b>3</p>", "[b1][p3[b2]]"),
+    ("<b><em><p>1</b>2</em>3", "3[b[em]][em][p[em2[b1]]]".replace("3[b", "[b").replace("[p[", "[p3[")),
+    ("<font><p>hello<b>cruel</font>world", "[font][p[fonthello[bcruel]][bworld]]"),
+    ("<div><a><b><u><i><code><div></a>", "[div[a[b[u[i[code]]]]][u[i[code[div[a]]]]]]"),
+    ("<a>x<div>y<a>z", "[ax][div[ay][az]]"),
+    ("<b><button>foo</b>bar</button>", "[b][buttonbar[bfoo]]"),
+    ("<table>x<tr>", "x[table[tbody[tr]]]"),
+    ("<table><b><tr><td>aaa</td></tr>bbb</table>ccc", "[b][bbbb][table[tbody[tr[tdaaa]]]][bccc]"),
+    ("<table><a>1<p>2</a>3</p>", "[a1][p3[a2]][table]"),
+    ("<table><td>1<td>2<tr><td>3</table>", "[table[tbody[tr[td1][td2]][tr[td3]]]]"),
+    ("<table><caption>c<tr><td>x</table>", "[table[captionc][tbody[tr[tdx]]]]"),
+    ("<table><col><col><tbody><tr><th>h</table>", "[table[colgroup[col][col]][tbody[tr[thh]]]]"),
+    ("<table><tr><td><table><td>x</table>y</table>z", "z[table[tbody[tr[tdy[table[tbody[tr[tdx]]]]]]]]"),
+    ("<p>a<table><td>x</table>b", "b[pa][table[tbody[tr[tdx]]]]"),
+    ("<tr><td>x", "x"),
+    ("<h1>a<h2>b</h1>c", "c[h1a][h2b]"),
+    ("<dl><dt>a<dd>b<dt>c</dl>", "[dl[dta][ddb][dtc]]"),
+    ("</p>x", "x[p]"),
+    ("<pre>\n x</pre>", "[pre x]"),
     ("<a href=1>x<a href=2>y", "[ax][ay]"),
     ("<p>a<b>b</p>c</b>d", "d[pa[bb]][bc]"),
 ])
