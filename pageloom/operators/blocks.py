@@ -1,8 +1,8 @@
 """Candidates to typed blocks.
 
 Everything up to the finished block is column work on the candidate's own row
-(`n`, `sub`, `page`), without a join or a shuffle. Finished rows are hashed by
-page_id once; consuming, list grouping and numbering are windows over that.
+(`n`, `sub`, `page`), without a join or a shuffle. Pages were hashed by page_id
+before; consuming, list grouping and numbering are windows over that.
 """
 
 from __future__ import annotations

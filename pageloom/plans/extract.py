@@ -1,8 +1,8 @@
 """Pages to blocks and articles in one pass.
 
-route -> parse -> locate -> ready? -> fix -> clean -> convert   (narrow, per page row)
-      -> one exchange on page_id -> suppress, group, number      (windows)
-      -> articles                                               (same partitioning)
+route -> one exchange on page_id
+      -> parse -> locate -> ready? -> fix -> clean -> convert    (narrow, per page row)
+      -> suppress, group, number -> articles                     (windows and groups, same partitioning)
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from ..operators.marks import explode_candidates, mark_nodes
 from ..operators.locate import header_meta, locate_roots, readiness, resolve_title
 from ..operators.routing import route
 from ..operators.second import second_blocks, second_extraction
+from ..session import dealt
 from ..sources.adapters import CORPUS, Adapter
 from ..sources.html import parse_nodes
 
@@ -35,7 +36,7 @@ UNCLEANED_ATTRS = ["class", "poster", "preload", "width", "height"]
 
 
 def parsed_pages(pages: DataFrame, adapters: list[Adapter]) -> DataFrame:
-    return parse_nodes(route(pages, adapters))
+    return parse_nodes(dealt(route(pages, adapters), "page_id"))
 
 
 def ready_pages(parsed: DataFrame, adapters: list[Adapter]) -> DataFrame:

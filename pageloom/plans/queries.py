@@ -33,6 +33,7 @@ from ..sources import articles as store
 from ..sources.adapters import CORPUS, EXAMPLE_ARTICLE
 from ..sources.html import node_rows, parse_nodes, raw_tokens, text_rows
 from ..sources.pages import read_pages
+from ..session import dealt
 from ..streaming import progress as prog
 from ..streaming import stability as stab
 from .extract import blocks_of, extract, pages_of, parsed_pages, ready_pages
@@ -63,11 +64,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_nodes(pages(spark, sf_dir))
+    return parse_nodes(dealt(pages(spark, sf_dir), "page_id"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return dealt(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @lru_cache(maxsize=8)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +43,12 @@ def tune(spark: SparkSession) -> SparkSession:
         if not owned.contains(key):
             spark.conf.set(key, value)
     return spark
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by a hash of their key, for work that costs far more than moving its input once.
+
+    A file of one row group is one task, whatever its size and the number of cores. Windows and groups over the same key that
+    follow need no further exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
