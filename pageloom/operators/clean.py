@@ -14,7 +14,25 @@ from ..functions.css import background_url, filter_style, padding_ratio
 from ..functions.numbers import plain_number
 from ..functions.text import normalize_text
 from ..sources.adapters import FIX_ORDER, Adapter
-from .tree import Tree, any_of, attr, first_of, let, per_adapter
+from .locate import (
+    CAPTION_ROOT,
+    CARD,
+    CODE_AROUND,
+    DATA_BLOCK,
+    FOLDED_TEXT,
+    HEADER_ONE,
+    HEADER_TWO,
+    LAID_OUT,
+    LAYOUT_PARTS,
+    MEDIA_INSIDE,
+    ORDERED_ITEM,
+    PLAYER,
+    RETAINING_COMPONENTS,
+    TABLE_AROUND,
+    UNORDERED_ITEM,
+    page_selectors,
+)
+from .tree import Tree, any_of, attr, first_of, known_hits, let, per_adapter
 
 # What never belongs to an article, and what always may stay.
 REMOVED_TAGS = ["script", "style", "noscript", "button", "input", "textarea", "select", "option", "svg"]
@@ -30,8 +48,6 @@ KEPT_DATA_ATTRS = [
     "data-original", "data-poster", "data-src", "data-srcset", "data-thumbnail", "data-offset-key", "data-testid",
     "data-text",
 ]
-RETAINING_COMPONENTS = '[data-component-name="SubscribeWidget"], [data-component-name="Paywall"], [data-testid="paywall"]'
-MEDIA_INSIDE = '[data-testid="tweetPhoto"], [data-testid="videoPlayer"], [data-testid="previewInterstitial"]'
 TABLE_ROLES = ["table", "grid", "row", "columnheader", "rowheader", "cell", "gridcell"]
 TABLE_TAGS = ["table", "thead", "tbody", "tr", "th", "td"]
 READABLE_TAGS = ["p", "span", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"]
@@ -59,9 +75,9 @@ def _with_attrs(n: Column, entries: Column) -> Column:
 def _with_layout(tree: Tree, n: Column) -> Column:
     """First pass of the layout fix: which elements hold media, and in which direction they lay them out."""
     by_class = F.when(F.array_contains(n["classes"], "r-18u37iz"), "row").when(F.array_contains(n["classes"], "r-eqz5dr"), "column")
-    in_card = F.exists(n["path"], lambda i: (i > tree.root_id) & tree.matches(tree.at(i), '[data-testid="simpleTweet"], [data-testid="tweet"]'))
-    scope = tree.matches(n, '[class*="r-18u37iz"], [class*="r-eqz5dr"]') | (
-        tree.matches(n, 'a, div, [role="group"], [role="link"]') & in_card
+    in_card = F.exists(n["path"], lambda i: (i > tree.root_id) & tree.matches(tree.at(i), CARD))
+    scope = tree.matches(n, LAID_OUT) | (
+        tree.matches(n, LAYOUT_PARTS) & in_card
     )
     return let(tree.has(n, MEDIA_INSIDE), lambda media: n.withField("media", media).withField(
         "direction", F.when(media & scope, by_class)
@@ -78,16 +94,16 @@ def _fix_entries(a: Adapter, tree: Tree, n: Column) -> dict[str, tuple[Column, C
     def one(cond: Column) -> Column:
         return F.when(F.coalesce(cond, F.lit(False)), 1).otherwise(0)
 
-    folded = tree.matches(n, '[data-testid="tweetText"]')
-    h1, h2 = tree.matches(n, ".longform-header-one"), tree.matches(n, ".longform-header-two")
-    ordered = tree.matches(n, ".public-DraftStyleDefault-orderedListItem")
-    unordered = tree.matches(n, ".public-DraftStyleDefault-unorderedListItem")
+    folded = tree.matches(n, FOLDED_TEXT)
+    h1, h2 = tree.matches(n, HEADER_ONE), tree.matches(n, HEADER_TWO)
+    ordered = tree.matches(n, ORDERED_ITEM)
+    unordered = tree.matches(n, UNORDERED_ITEM)
     emoji = F.when(attr(n, "style").contains("abs.twimg.com/emoji/v2/svg/"), background_url(attr(n, "style")))
-    player = tree.matches(n, '[data-testid="videoPlayer"]')
+    player = tree.matches(n, PLAYER)
     caption_roots = F.size(F.filter(
-        tree.line(n), lambda i: (i > tree.root_id) & tree.matches(tree.at(i), '.twitter-article-media-caption-id, [id^="caption-"]')
+        tree.line(n), lambda i: (i > tree.root_id) & tree.matches(tree.at(i), CAPTION_ROOT)
     ))
-    captions = F.when(tree.matches(n, '[data-block="true"]'), caption_roots).otherwise(0)
+    captions = F.when(tree.matches(n, DATA_BLOCK), caption_roots).otherwise(0)
 
     own, parent = n["direction"], tree.at(n["parent_id"])
     # a media branch of a laid-out parent takes an equal share of it
@@ -137,7 +153,7 @@ def _fix_entries(a: Adapter, tree: Tree, n: Column) -> dict[str, tuple[Column, C
 
 def platform_fixes(located: DataFrame, adapters: list[Adapter]) -> DataFrame:
     """H5: tag what the later class removal would lose; adds `fixes` with changed-node counts."""
-    tree = Tree(F.col("nodes"), F.col("texts"), F.col("content_root.node_id"))
+    tree = Tree(F.col("nodes"), F.col("texts"), F.col("content_root.node_id"), hits=known_hits(located, page_selectors(adapters)))
     inside = lambda n: (n["node_id"] > F.col("content_root.node_id")) & (n["node_id"] <= F.col("content_root.end_id"))
 
     def fixed(a: Adapter) -> Column:
@@ -199,9 +215,9 @@ def _style_context(tree: Tree, n: Column, a: Adapter) -> dict[str, Column]:
         "link": link,
         "emphasis": n["tag"].isin(*EMPHASIS_TAGS) | attr(n, "data-text").isNotNull(),
         "preformatted": n["tag"].isin("pre", "code"),
-        "code": tree.has_closest(n, '[data-testid="markdown-code-block"], pre, code'),
+        "code": tree.has_closest(n, CODE_AROUND),
         "table": n["tag"].isin(*TABLE_TAGS) | role.isin(*TABLE_ROLES)
-        | tree.has_closest(n, 'table, [role="table"], [role="grid"], [data-testid="markdown-table"]'),
+        | tree.has_closest(n, TABLE_AROUND),
         "readable": attr(n, "data-text").isNotNull() | attr(n, "data-block").isNotNull() | link | n["tag"].isin(*READABLE_TAGS),
         "custom": custom,
     }
@@ -215,7 +231,8 @@ def sanitize(located: DataFrame, adapters: list[Adapter]) -> DataFrame:
     be pushed below the root lookup and evaluate it twice.
     """
     root = F.col("content_root")
-    raw = Tree(F.col("nodes"), F.col("texts"), root["node_id"])
+    hits = known_hits(located, page_selectors(adapters))
+    raw = Tree(F.col("nodes"), F.col("texts"), root["node_id"], hits=hits)
 
     def removal(a: Adapter) -> Column:
         def one(n: Column) -> Column:
@@ -261,7 +278,8 @@ def sanitize(located: DataFrame, adapters: list[Adapter]) -> DataFrame:
         "texts",
         F.transform("texts", lambda t, i: F.when(F.get(nodes, F.get(owners, i))["gone"], F.lit("")).otherwise(t)),
     )
-    tree = Tree(F.col("nodes"), F.col("texts"), root["node_id"], cleaned=True)
+    # roles and test ids outlast the stripping of attributes, so what is asked of them below was known before
+    tree = Tree(F.col("nodes"), F.col("texts"), root["node_id"], cleaned=True, hits={s: hits[s] for s in (CODE_AROUND, TABLE_AROUND) if s in hits})
 
     def keep(a: Adapter) -> Column:
         allowed = sorted({k.lower() for k in [*KEPT_ATTRS, *KEPT_DATA_ATTRS, *a.preserve]})

@@ -10,7 +10,8 @@ from ..functions.numbers import article_metric_label
 from ..functions.text import normalize_text
 from ..functions.urls import resolve_url
 from ..sources.adapters import Adapter
-from .tree import Tree, attr, first_of, let, per_adapter
+from .selectors import needs_scope
+from .tree import Tree, attr, first_of, known_hits, let, per_adapter
 
 # Where a title may stand when the site rule finds none.
 HEADER_TITLE_SELECTORS = [
@@ -25,12 +26,48 @@ HEADER_TITLE_SELECTORS = [
 ]
 OG_TITLE_SELECTOR = 'meta[property="og:title"], meta[name="og:title"]'
 VERIFIED_SELECTOR = '[data-testid="icon-verified"], [aria-label="认证账号"], [aria-label="Verified account"]'
+# Fixed values that cleaning asks for.
+RETAINING_COMPONENTS = '[data-component-name="SubscribeWidget"], [data-component-name="Paywall"], [data-testid="paywall"]'
+CODE_AROUND = '[data-testid="markdown-code-block"], pre, code'
+TABLE_AROUND = 'table, [role="table"], [role="grid"], [data-testid="markdown-table"]'
+MEDIA_INSIDE = '[data-testid="tweetPhoto"], [data-testid="videoPlayer"], [data-testid="previewInterstitial"]'
+CARD = '[data-testid="simpleTweet"], [data-testid="tweet"]'
+LAID_OUT = '[class*="r-18u37iz"], [class*="r-eqz5dr"]'
+LAYOUT_PARTS = 'a, div, [role="group"], [role="link"]'
+FOLDED_TEXT, PLAYER = '[data-testid="tweetText"]', '[data-testid="videoPlayer"]'
+HEADER_ONE, HEADER_TWO = ".longform-header-one", ".longform-header-two"
+ORDERED_ITEM, UNORDERED_ITEM = ".public-DraftStyleDefault-orderedListItem", ".public-DraftStyleDefault-unorderedListItem"
+CAPTION_ROOT, DATA_BLOCK = '.twitter-article-media-caption-id, [id^="caption-"]', '[data-block="true"]'
+FIX_SELECTORS = [
+    MEDIA_INSIDE, CARD, LAID_OUT, LAYOUT_PARTS, FOLDED_TEXT, PLAYER, HEADER_ONE, HEADER_TWO, ORDERED_ITEM, UNORDERED_ITEM, CAPTION_ROOT, DATA_BLOCK,
+]
 VIEW_HINT = "(?i)(?:查看|观看|view)"
 NODE_KEEP = ("node_id", "end_id", "path", "tag", "attrs", "text_from", "text_to")
 
 
-def _page_tree() -> Tree:
-    return Tree(F.col("nodes"), F.col("texts"))
+#: Asked of pages while their attributes are as written, besides the rules of the sites.
+RAW_SELECTORS = [
+    *(s for s in HEADER_TITLE_SELECTORS if not needs_scope(s)), OG_TITLE_SELECTOR, "title", "h1", "a[href]", RETAINING_COMPONENTS, CODE_AROUND, TABLE_AROUND,
+]
+
+
+def page_selectors(adapters: list[Adapter]) -> list[str]:
+    """All that finding roots, titles, readiness, headers and noise of these sites asks of a page, for the parser to match at
+    once. Marks that fixes add later (`data-pl-`) are not on the page yet."""
+    asked = list(RAW_SELECTORS)
+    for a in adapters:
+        asked += [a.root_selector, a.title_selector, a.content_selector, block_selector(a), *a.required, *a.header.values(), *a.remove, *a.unwrap]
+        asked += FIX_SELECTORS if a.enabled_fixes else []
+    return list(dict.fromkeys(s for s in asked if s and not needs_scope(s) and "data-pl-" not in s))
+
+
+def block_selector(a: Adapter) -> str:
+    return a.semantic.get("block") or '[data-block="true"]'
+
+
+def _page_tree(parsed: DataFrame | None = None, adapters: list[Adapter] | None = None) -> Tree:
+    hits = known_hits(parsed, page_selectors(adapters)) if parsed is not None else None
+    return Tree(F.col("nodes"), F.col("texts"), hits=hits)
 
 
 def title_text(tree: Tree, n: Column) -> Column:
@@ -44,7 +81,7 @@ def first_in_page(tree: Tree, selector: str) -> Column:
 
 def locate_roots(parsed: DataFrame, adapters: list[Adapter]) -> DataFrame:
     """H3: article root, title element and content root as structs, null where missing."""
-    tree = _page_tree()
+    tree = _page_tree(parsed, adapters)
     rooted = parsed.withColumn("article_root", per_adapter(adapters, lambda a: first_in_page(tree, a.root_selector)))
     root = F.col("article_root")
 
@@ -62,7 +99,7 @@ def locate_roots(parsed: DataFrame, adapters: list[Adapter]) -> DataFrame:
 
 def resolve_title(located: DataFrame, adapters: list[Adapter]) -> DataFrame:
     """Adds `title`, '' when the page has none."""
-    tree, root = _page_tree(), F.col("article_root")
+    tree, root = _page_tree(located, adapters), F.col("article_root")
 
     def chain(a: Adapter) -> Column:
         def text_at(n: Column) -> Column:
@@ -81,7 +118,7 @@ def resolve_title(located: DataFrame, adapters: list[Adapter]) -> DataFrame:
 
 def readiness(titled: DataFrame, adapters: list[Adapter]) -> DataFrame:
     """H4: adds `block_count`, `text_length`, `not_ready` (first failing reason, null when ready)."""
-    tree, content = _page_tree(), F.col("content_root")
+    tree, content = _page_tree(titled, adapters), F.col("content_root")
 
     def missing_required(a: Adapter) -> Column:
         missing = F.lit(False)
@@ -94,7 +131,6 @@ def readiness(titled: DataFrame, adapters: list[Adapter]) -> DataFrame:
         short = (F.col("text_length") < a.min_text) if a.min_text else F.lit(False)
         return few | short
 
-    block_selector = lambda a: (a.semantic.get("block") or '[data-block="true"]')
     if_content = lambda c: F.when(content.isNotNull(), c)
     counted = titled.withColumns({
         "block_count": if_content(per_adapter(adapters, lambda a: F.size(tree.all(content, block_selector(a))))),
@@ -135,7 +171,7 @@ def detect_post_article(parsed: DataFrame, adapter: Adapter, rich_view: str, blo
 
 def header_meta(located: DataFrame, adapters: list[Adapter]) -> DataFrame:
     """Adds `header`: source, title link, subtitle, author and date found in the page head."""
-    tree, root, base = _page_tree(), F.col("article_root"), F.col("url")
+    tree, root, base = _page_tree(located, adapters), F.col("article_root"), F.col("url")
     none = F.lit(None).cast("string")
 
     def found(a: Adapter, key: str) -> Column | None:

@@ -7,6 +7,8 @@ that matter to it, so a page costs its node count times its depth.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,13 @@ from ..functions.css import background_url, padding_ratio
 from ..functions.media import cdn_image_meta, first_nonempty, first_srcset, trimmed
 from ..functions.numbers import aspect_ratio, positive_number
 from ..functions.urls import absolute_post_url
+from ..kernels import ship_by_value
 from ..schema import IMAGE
 from ..sources.adapters import Adapter
-from .tree import Tree, attr, first_of, let, make_struct, per_adapter
+from .selectors import Matcher, Nodes
+from .tree import Tree, attr, first_of, let, make_struct
+
+ship_by_value(__name__)
 
 # Fixed values.
 EMBED_SOURCE = "iframe[src], iframe[data-src], embed[src], embed[data-src]"
@@ -137,58 +143,76 @@ def _photo(tree: Tree, n: Column) -> Column:
     return let(parts, build)
 
 
+MARKS = pa.list_(pa.struct([
+    ("f", pa.int32()), ("up", pa.int32()), ("special", pa.int32()), ("in_special", pa.bool_()), ("link_id", pa.int32()),
+    ("emoji_id", pa.int32()), ("block_id", pa.int32()), ("photo_id", pa.int32()),
+]))
+MARKS_DDL = "array<struct<f:int,up:int,special:int,in_special:boolean,link_id:int,emoji_id:int,block_id:int,photo_id:int>>"
+
+
+def marks_of(pages: pa.ListArray, adapter_ids: pa.Array, root_ids: pa.Array, rules: dict, matcher: Matcher) -> pa.Array:
+    """Bits of every node and of its line (the node and its ancestors up to the content root), and the nodes of that line
+    that links, emoji, blocks and photos are read from. `rules`: per adapter its selectors by bit and its component roots."""
+    nodes = Nodes(pages)
+    live = nodes.flag("live")
+    found = matcher(nodes, ~nodes.flag("unwrap"))
+    f, special = np.zeros(nodes.n, np.int32), np.full(nodes.n, -1, np.int32)
+    of_page = np.array(adapter_ids.to_pylist(), object)
+    for adapter_id, (tests, components) in rules.items():
+        own = live & (of_page[nodes.page] == adapter_id) if nodes.n else live
+        for bit, selector in tests.items():
+            f |= np.where(own & found[selector], np.int32(bit), np.int32(0))
+        for k, selector in reversed(list(enumerate(components))):
+            special[own & found[selector]] = k
+    at = np.arange(nodes.n)
+    roots = np.array([1 << 40 if r is None else r for r in root_ids.to_pylist()], np.int64)
+    in_root = at - nodes.base >= roots[nodes.page] if nodes.n else live
+    up = f * in_root
+    for bit in BITS.values():
+        up |= np.where(nodes.below((f & bit != 0) & in_root), np.int32(bit), np.int32(0))
+    in_line = (special >= 0) & in_root
+    has = lambda name: (f & BITS[name] != 0) & in_root
+    ids = lambda pos: pa.array(pos - nodes.base, pa.int32(), mask=pos >= nodes.n)
+    flat = pa.StructArray.from_arrays([
+        pa.array(f), pa.array(up), pa.array(special), pa.array(in_line | nodes.below(in_line)), ids(nodes.nearest(has("link"))),
+        ids(nodes.nearest(has("emoji"))), ids(nodes.outermost_above(has("data_block"))), ids(nodes.nearest(has("gallery"))),
+    ], [x.name for x in MARKS.value_type])
+    return pa.ListArray.from_arrays(pa.array(nodes.offsets.astype(np.int32)), flat, mask=pages.is_null())
+
+
 def mark_nodes(clean: DataFrame, adapters: list[Adapter]) -> DataFrame:
     """Adds `f`, `up`, `text`, closest link and images to every node."""
     root_id = F.col("content_root.node_id")
-    raw = Tree(F.col("nodes"), F.col("texts"), root_id, cleaned=True)
-
-    def flags(a: Adapter) -> Column:
-        tests = {"candidate": candidate_selector(a), **{f: a.selector(f) for f in FAMILIES}, **COMMON}
-
-        def one(n: Column) -> Column:
-            f = F.lit(0)
-            for name, selector in tests.items():
-                f = f.bitwiseOR(F.when(raw.matches(n, selector), F.lit(BITS[name])).otherwise(0))
-            return f
-
-        def special(n: Column) -> Column:
-            k = F.lit(-1)
-            for i, comp in reversed(list(enumerate(a.special))):
-                k = F.when(raw.matches(n, comp["root"]), F.lit(i)).otherwise(k)
-            return k
-
-        # components may share a root: the first in the list names it
-        def marked(n: Column) -> Column:
-            return n.withField("f", F.when(n["live"], one(n)).otherwise(0)).withField(
-                "special", F.when(n["live"], special(n)).otherwise(-1) if a.special else F.lit(-1)
-            )
-
-        return F.transform(F.col("nodes"), marked)
-
+    rules = {a.id: (
+        {BITS[name]: s for name, s in {"candidate": candidate_selector(a), **{f: a.selector(f) for f in FAMILIES}, **COMMON}.items()},
+        [c["root"] for c in a.special],
+    ) for a in adapters}
+    matcher = Matcher(list(dict.fromkeys(s for tests, roots in rules.values() for s in [*tests.values(), *roots])))
+
+    @F.arrow_udf(MARKS_DDL)
+    def marks(nodes: pa.Array, ids: pa.Array, roots: pa.Array) -> pa.Array:
+        return marks_of(nodes, ids, roots, rules, matcher)
+
+    narrow = F.transform("nodes", lambda n: F.struct(*[
+        n[c].alias(c) for c in ("end_id", "parent_id", "prev_id", "sib_pos", "sib_last", "tag", "attrs", "classes", "live", "unwrap")]))
     platform = F.create_map(*[F.lit(v) for a in adapters for v in (a.id, a.platform)])[F.col("adapter_id")]
-    flagged = clean.withColumns({"nodes": per_adapter(adapters, flags), "platform": platform})
+    flagged = clean.withColumns({"marks": marks(narrow, F.col("adapter_id"), root_id), "platform": platform})
     tree = Tree(F.col("nodes"), F.col("texts"), root_id, cleaned=True)
 
-    def settle(n: Column) -> Column:
-        line = F.filter(F.concat(n["path"], F.array(n["node_id"])), lambda i: i >= root_id)
-        up = F.aggregate(line, F.lit(0), lambda acc, i: acc.bitwiseOR(tree.at(i)["f"]))
-        in_special = F.exists(line, lambda i: tree.at(i)["special"] >= 0)
-        link = tree.at(F.try_element_at(F.filter(line, lambda i: is_(tree.at(i), "link")), F.lit(-1)))
-        emoji = tree.at(F.try_element_at(F.filter(line, lambda i: is_(tree.at(i), "emoji")), F.lit(-1)))
-        blocks_above = F.filter(line, lambda i: (i != n["node_id"]) & is_(tree.at(i), "data_block"))
-        photo = F.try_element_at(F.filter(line, lambda i: is_(tree.at(i), "gallery")), F.lit(-1))
-        inline = is_(n, *INLINE)
+    def settle(n: Column, m: Column) -> Column:
+        inline = is_(m, *INLINE)
+        link = tree.at(m["link_id"])
         return F.struct(
             n["node_id"].alias("node_id"), n["end_id"].alias("end_id"), n["parent_id"].alias("parent_id"),
             n["sib_pos"].alias("sib_pos"), n["tag"].alias("tag"), n["attrs"].alias("attrs"), n["classes"].alias("classes"), n["path"].alias("path"),
             n["text_from"].alias("text_from"), n["text_to"].alias("text_to"), n["live"].alias("live"),
-            n["lang"].alias("lang"), n["special"].alias("special"), n["f"].alias("f"), up.alias("up"),
-            in_special.alias("in_special"),
-            F.when(inline | in_special, F.struct(
+            n["lang"].alias("lang"), m["special"].alias("special"), m["f"].alias("f"), m["up"].alias("up"),
+            m["in_special"].alias("in_special"),
+            F.when(inline | m["in_special"], F.struct(
                 attr(link, "href").alias("href"), attr(link, "target").alias("target"), attr(link, "style").alias("style"),
             )).alias("link"),
-            F.when(inline, attr(emoji, "data-pl-emoji-url")).alias("emoji"),
-            tree.at(first_of(blocks_above))["end_id"].alias("block_end"), photo.alias("photo_id"),
+            F.when(inline, attr(tree.at(m["emoji_id"]), "data-pl-emoji-url")).alias("emoji"),
+            tree.at(m["block_id"])["end_id"].alias("block_end"), m["photo_id"].alias("photo_id"),
         )
 
     def with_text(n: Column) -> Column:
@@ -206,7 +230,7 @@ def mark_nodes(clean: DataFrame, adapters: list[Adapter]) -> DataFrame:
             "photo", F.when(is_photo, _photo(tree, n))
         )
 
-    settled = flagged.withColumn("nodes", F.transform("nodes", settle))
+    settled = flagged.withColumn("nodes", F.zip_with("nodes", "marks", settle)).drop("marks")
     texted = settled.withColumn("nodes", F.transform("nodes", with_text))
     return texted.withColumn("nodes", F.transform("nodes", with_images))
 

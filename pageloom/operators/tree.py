@@ -8,64 +8,16 @@ square, and no walk needs a join or a shuffle.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import let  # noqa: F401
 from ..sources.adapters import Adapter
-
-_PIECE = re.compile(
-    r"""(?P<comb>\s*[>+]\s*)|(?P<comma>\s*,\s*)|(?P<space>\s+)|(?P<tag>[a-zA-Z][\w-]*|\*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)"""
-    r"""|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+)))?\s*\]"""
-    r"""|:(?P<pseudo>scope|first-child|last-child|nth-child)(?:\((?P<n>\d+)\))?"""
-)
-
-
-@lru_cache(maxsize=4096)
-def parse_selector(selector: str) -> tuple:
-    """((combinator, tests), ...) per alternative; raises ValueError when unknown."""
-    alternatives, chain, tests, comb, pos = [], [], [], " ", 0
-    source = selector.strip()
-
-    def end_compound() -> None:
-        if not tests:
-            raise ValueError(f"unsupported selector: {selector}")
-        chain.append((comb, tuple(tests)))
-        tests.clear()
-
-    while pos < len(source):
-        m = _PIECE.match(source, pos)
-        if m is None:
-            raise ValueError(f"unsupported selector: {selector}")
-        pos = m.end()
-        if m["comma"]:
-            end_compound()
-            alternatives.append(tuple(chain))
-            chain.clear()
-            comb = " "
-        elif m["comb"] or m["space"]:
-            end_compound()
-            comb = (m["comb"] or " ").strip() or " "
-        elif m["tag"]:
-            tests.append(("tag", m["tag"].lower()))
-        elif m["cls"]:
-            tests.append(("class", m["cls"]))
-        elif m["id"]:
-            tests.append(("=", "id", m["id"]))
-        elif m["attr"]:
-            value = next((m[g] for g in ("dq", "sq", "bare") if m[g] is not None), "")
-            tests.append((m["op"] or "has", m["attr"].lower(), value))
-        else:
-            tests.append((m["pseudo"], m["n"]))
-    end_compound()
-    alternatives.append(tuple(chain))
-    return tuple(alternatives)
-
+from .selectors import alternatives_of, hit_places, parse_selector  # noqa: F401
 
 def attr(n: Column, name: str) -> Column:
     return F.element_at(n["attrs"], F.lit(name))
@@ -107,7 +59,11 @@ def per_adapter(adapters: list[Adapter], build: Callable[[Adapter], Column], key
 class Tree:
     """Column expressions over one page's `nodes` and `texts`."""
 
-    def __init__(self, nodes: Column, texts: Column, root_id: Column | None = None, cleaned: bool = False):
+    def __init__(
+        self, nodes: Column, texts: Column, root_id: Column | None = None, cleaned: bool = False, hits: dict[str, tuple[str, int]] | None = None,
+    ):
+        """`hits`: bits that the parser left on the nodes for selectors it was given (`selectors.hit_places`)."""
+        self.hits = hits or {}
         self.nodes = nodes
         self.texts = texts
         self.root_id = F.lit(0) if root_id is None else root_id
@@ -155,10 +111,10 @@ class Tree:
 
     def matches(self, n: Column, selector: str | None, scope: Column | None = None) -> Column:
         """Element.matches; an unknown selector matches nothing."""
-        try:
-            alternatives = parse_selector(selector) if selector and selector.strip() else ()
-        except ValueError:
-            alternatives = ()
+        if selector in self.hits:
+            field, bit = self.hits[selector]
+            return F.coalesce(n[field].bitwiseAND(F.lit(1 << bit)) != 0, F.lit(False))
+        alternatives = alternatives_of(selector)
         tags = [a[0][1][0][1] for a in alternatives if len(a) == 1 and len(a[0][1]) == 1 and a[0][1][0][0] == "tag" and a[0][1][0][1] != "*"]
         found = [n["tag"].isin(*tags)] if tags else []
         for chain in alternatives:
@@ -215,6 +171,13 @@ class Tree:
         return F.array_join(F.slice(self.texts, n["text_from"] + 1, n["text_to"] - n["text_from"]), "")
 
 
+def known_hits(df: DataFrame, selectors: list[str]) -> dict[str, tuple[str, int]]:
+    """Bits of these very selectors, if the nodes of `df` carry them."""
+    places = hit_places(selectors)
+    carried = df.schema["nodes"].dataType.elementType.names
+    return places if all(field in carried for field, _ in places.values()) else {}
+
+
 def select(parsed, selector: str):
     """H2: rows of the elements that match `selector` anywhere in the page."""
     tree = Tree(F.col("nodes"), F.col("texts"))

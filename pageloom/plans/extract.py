@@ -25,7 +25,7 @@ from ..operators.blocks import (
 from ..operators.clean import platform_fixes, sanitize
 from ..operators.handlers import HANDLERS
 from ..operators.marks import explode_candidates, mark_nodes
-from ..operators.locate import header_meta, locate_roots, readiness, resolve_title
+from ..operators.locate import header_meta, locate_roots, page_selectors, readiness, resolve_title
 from ..operators.routing import route
 from ..operators.second import second_blocks, second_extraction
 from ..session import dealt
@@ -36,7 +36,7 @@ UNCLEANED_ATTRS = ["class", "poster", "preload", "width", "height"]
 
 
 def parsed_pages(pages: DataFrame, adapters: list[Adapter]) -> DataFrame:
-    return parse_nodes(dealt(route(pages, adapters), "page_id"))
+    return parse_nodes(dealt(route(pages, adapters), "page_id"), page_selectors(adapters))
 
 
 def ready_pages(parsed: DataFrame, adapters: list[Adapter]) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels import ship_by_value
+from ..operators.selectors import Matcher, hit_places, needs_scope, with_hits
 
 ship_by_value(__name__)
 
@@ -556,25 +557,31 @@ def parse_page(source: str) -> tuple[list[dict], list[str], list[int]]:
     return nodes, texts, owners
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse_batches(batches: Iterator[pa.RecordBatch], selectors: list[str]) -> Iterator[pa.RecordBatch]:
+    matcher = Matcher(selectors)
     for batch in batches:
         where = batch.schema.get_field_index("html")
         parsed = [parse_page(h or "") for h in batch.column(where).to_pylist()]
         kept = [i for i in range(batch.num_columns) if i != where]
         columns = [batch.column(i) for i in kept]
-        columns.append(pa.array([p[0] for p in parsed], pa.list_(ARROW_NODE)))
+        nodes = pa.array([p[0] for p in parsed], pa.list_(ARROW_NODE))
+        columns.append(with_hits(nodes, selectors, matcher) if selectors else nodes)
         columns.append(pa.array([p[1] for p in parsed], pa.list_(pa.string())))
         columns.append(pa.array([p[2] for p in parsed], pa.list_(pa.int32())))
         names = [batch.schema.names[i] for i in kept] + ["nodes", "texts", "owners"]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def parse_nodes(pages: DataFrame) -> DataFrame:
-    """H1: replaces `html` by `nodes`, `texts`, `owners`. Narrow, no shuffle."""
+def parse_nodes(pages: DataFrame, selectors: list[str] | None = None) -> DataFrame:
+    """H1: replaces `html` by `nodes`, `texts`, `owners`. Narrow, no shuffle.
+
+    With `selectors`, every node also carries a bit for each of them (`selectors.hit_places`).
+    """
+    asked = list(dict.fromkeys(s for s in selectors or [] if not needs_scope(s)))
     kept = [f for f in pages.schema.fields if f.name != "html"]
-    schema = T.StructType(kept)
-    extra = T._parse_datatype_string(f"nodes array<{NODE_TYPE}>, texts array<string>, owners array<int>")
-    return pages.mapInArrow(_parse_batches, T.StructType(schema.fields + extra.fields))
+    words = "".join(f",{field}:bigint" for field in dict.fromkeys(f for f, _ in hit_places(asked).values()))
+    extra = T._parse_datatype_string(f"nodes array<{NODE_TYPE.removesuffix('>')}{words}>>, texts array<string>, owners array<int>")
+    return pages.mapInArrow(lambda batches: _parse_batches(batches, asked), T.StructType(kept + extra.fields))
 
 
 def node_rows(parsed: DataFrame) -> DataFrame:
