@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..kernels import ship_by_value
 from ..schema import HLS
@@ -13,6 +16,9 @@ ship_by_value(__name__)
 # Fixed values.
 VIDEO_ID = "amplify_video/([0-9]+)/"
 POSTER_ID = "amplify_video(?:_thumb)?/([0-9]+)"
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def classify_requests(requests: DataFrame) -> DataFrame:
@@ -43,25 +49,42 @@ def latest_slots(requests: DataFrame) -> DataFrame:
 
 
 def drop_before_navigation(requests: DataFrame, navigations: DataFrame) -> DataFrame:
-    """ST2, batch: a navigation clears what its tab captured before. One aggregated row per tab joins."""
-    last = navigations.groupBy("tab_id").agg(F.max("ts").alias("cleared_at"))
-    joined = requests.join(last, "tab_id", "left")
-    return joined.filter(F.col("cleared_at").isNull() | (F.col("ts") > F.col("cleared_at"))).drop("cleared_at")
+    """ST2, batch: a navigation clears what its tab captured before. One aggregated row per tab joins.
+
+    `seq` orders rows of one moment, a null seq comes first. A navigation without that column is the last of its moment."""
+    place = lambda df, other: F.struct("ts", (
+        F.coalesce(F.col("seq").cast("bigint"), F.lit(LOWEST)) if "seq" in df.columns else F.lit(other)).alias("seq"))
+    last = navigations.groupBy("tab_id").agg(F.max(place(navigations, HIGHEST)).alias("cleared_at"))
+    joined = requests.withColumn("place", place(requests, LOWEST)).join(last, "tab_id", "left")
+    return joined.filter(F.col("cleared_at").isNull() | (F.col("place") > F.col("cleared_at"))).drop("cleared_at", "place")
+
+
+def poster_entries(posters: DataFrame) -> DataFrame:
+    """ST3: posters (tab_id, ts, video_id, poster) as entries of the slot `poster`."""
+    if "seq" not in posters.columns:
+        posters = posters.withColumn("seq", F.lit(0))
+    some = posters.filter("coalesce(poster, '') <> '' and coalesce(video_id, '') <> ''")
+    return some.select("tab_id", "ts", "seq", "video_id", F.lit("poster").alias("slot"), F.lit("").alias("label"), F.col("poster").alias("url"))
+
+
+def latest_entries(entries: DataFrame) -> DataFrame:
+    """ST1-ST3, from the changes of `stream_slots`: the last state of each entry that is not cleared."""
+    last = F.max_by(F.struct("url", "ts"), "version")
+    return entries.groupBy("tab_id", "video_id", "slot", "label").agg(last.alias("v")).select(
+        "tab_id", "video_id", "slot", "label", "v.*").filter("url is not null")
 
 
 def captured_videos(slots: DataFrame, posters: DataFrame | None = None) -> DataFrame:
-    """ST1+ST3: one row per (tab, video): master, variants and audio by label, poster. Batch."""
+    """ST1+ST3: one row per (tab, video): master, variants and audio by label, poster. `slots` may hold posters as entries of
+    their own (`poster_entries`); `posters` adds rows of (tab_id, ts, video_id, poster)."""
+    slots = slots.select("tab_id", "video_id", "slot", "label", "url")
+    if posters is not None:
+        latest = poster_entries(posters).groupBy("tab_id", "video_id", "slot", "label").agg(F.max_by("url", F.struct("ts", "seq", "url")).alias("url"))
+        slots = slots.unionByName(latest)
     pick = lambda kind: F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("slot") == kind, F.struct("label", "url")))))
-    videos = slots.groupBy("tab_id", "video_id").agg(
-        F.max(F.when(F.col("slot") == "master", F.col("url"))).alias("master"),
-        pick("variant").alias("variants"), pick("audio").alias("audio"),
-    )
-    if posters is None:
-        return videos.withColumn("poster", F.lit(None).cast("string"))
-    latest = posters.filter("coalesce(poster, '') <> '' and coalesce(video_id, '') <> ''").groupBy("tab_id", "video_id").agg(
-        F.max_by("poster", F.struct("ts", "poster")).alias("poster")
-    )
-    return videos.join(latest, ["tab_id", "video_id"], "full_outer")
+    one = lambda kind: F.max(F.when(F.col("slot") == kind, F.col("url")))
+    return slots.groupBy("tab_id", "video_id").agg(
+        one("master").alias("master"), pick("variant").alias("variants"), pick("audio").alias("audio"), one("poster").alias("poster"))
 
 
 def _area(label: Column) -> Column:
@@ -105,43 +128,104 @@ def match_videos(players: DataFrame, videos: DataFrame) -> DataFrame:
     return rest.select("player_id", players["tab_id"], F.coalesce("m.vid", "poster_vid").alias("video_id"))
 
 
-def _tab_slots(key, batches, state):
-    """Slots of one tab that a micro-batch changes. State: the last navigation and the last request of each slot."""
-    import json
-
-    import pandas as pd
-
-    cleared, slots = (None, {}) if not state.exists else (lambda s: (s["cleared"], s["slots"]))(json.loads(state.get[0]))
-    changed = set()
-    rows = pd.concat(list(batches))
-    rows = rows.sort_values(["ts", "seq", "url"], na_position="first")
-    for r in rows.itertuples():
-        at = [r.ts.isoformat(), int(r.seq)]
-        if r.slot is None:  # a navigation
-            if cleared is None or at > cleared:
-                cleared = at
-                slots = {k: v for k, v in slots.items() if v[0] > cleared}
-            continue
-        name = json.dumps([r.video_id, r.slot, r.label])
-        if (cleared is None or at > cleared) and (name not in slots or [at, r.url] > slots[name]):
-            slots[name] = [at, r.url]
-            changed.add(name)
-    state.update((json.dumps({"cleared": cleared, "slots": slots}),))
-    out = [(key[0], *json.loads(n), slots[n][1], pd.Timestamp(slots[n][0][0])) for n in sorted(changed) if n in slots]
-    yield pd.DataFrame(out, columns=["tab_id", "video_id", "slot", "label", "url", "ts"])
-
-
-def stream_slots(requests: DataFrame, navigations: DataFrame | None = None) -> DataFrame:
-    """ST1 and ST2 on a stream: in update mode, the last URL of each (tab, video, slot, label) since the tab's last
-    navigation, whenever it changes. One small state per tab, which a navigation (also the last, when a tab closes)
-    empties. Rows may come late: what is older than the state changes nothing.
-
-    requests: tab_id, ts, seq, url. navigations: tab_id, ts, seq."""
+ENTRY = "video_id string, slot string, label string"
+HELD = "at bigint, seq bigint, url string"
+CHANGE = "video_id string, slot string, label string, url string, at bigint, version bigint"
+
+
+class TabCaptures(StatefulProcessor):
+    """What one tab has captured: an entry per (video, slot, label) with its last URL, posters among them.
+
+    A navigation clears all entries up to its moment. Rows may come in any order: an entry gives way only to a later one, and
+    what is older than the last navigation never comes back. A tab without rows for `idle_ms` of event time is forgotten.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getMapState("entries", ENTRY, HELD)
+        self.cleared = handle.getValueState("cleared", "at bigint, seq bigint")
+        self.version = handle.getValueState("version", "version bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        cleared = tuple(self.cleared.get()) if self.cleared.exists() else None
+        arrived = pd.concat(list(rows)).sort_values(["at", "seq", "url"], na_position="first")
+        moves = arrived[arrived["slot"].isna()]
+        out = []
+        if len(moves):
+            last = (int(moves["at"].iloc[-1]), int(moves["seq"].iloc[-1]))
+            if cleared is None or last > cleared:
+                cleared = last
+                self.cleared.update(cleared)
+                out += self.clear_up_to(cleared)
+        # of the rows of one entry only the last can matter
+        newest = arrived[arrived["slot"].notna()].drop_duplicates(["video_id", "slot", "label"], keep="last")
+        for r in newest.itertuples():
+            held, name = (int(r.at), int(r.seq), r.url), (r.video_id, r.slot, r.label)
+            if cleared is not None and held[:2] <= cleared:
+                continue
+            if not self.entries.containsKey(name) or held > tuple(self.entries.getValue(name)):
+                self.entries.updateValue(name, held)
+                out.append((*name, r.url, held[0]))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        seen = max(int(arrived["at"].iloc[-1]) // 1000, timerValues.getCurrentWatermarkInMs())
+        self.handle.registerTimer(seen + self.idle_ms)
+        yield self.numbered(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self.numbered(key, self.clear_up_to((HIGHEST, HIGHEST)))
+        for state in (self.entries, self.cleared, self.version):
+            state.clear()
+
+    def clear_up_to(self, place):
+        """Drops entries up to a place; what changes by that."""
+        gone = [(tuple(name), held[0]) for name, held in self.entries.iterator() if tuple(held[:2]) <= place] if self.entries.exists() else []
+        for name, _ in gone:
+            self.entries.removeKey(name)
+        return [(*name, None, at) for name, at in gone]
+
+    def numbered(self, key, changes):
+        import pandas as pd
+
+        version = self.version.get()[0] if self.version.exists() else 0
+        self.version.update((version + len(changes),))
+        rows = [(*key, *change, version + i + 1) for i, change in enumerate(changes)]
+        return pd.DataFrame(rows, columns=["tab_id", "video_id", "slot", "label", "url", "at", "version"]).astype({"at": "int64", "version": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_slots(
+    requests: DataFrame, navigations: DataFrame | None = None, posters: DataFrame | None = None, *, late: str = "1 hour",
+    idle: str = "1 day",
+) -> DataFrame:
+    """ST1-ST3 on streams: in update mode, each change of a (tab, video, slot, label): its last URL since the tab's last
+    navigation, or a null url where it is cleared. `version` numbers the changes of a tab, so the greatest one of an entry is
+    its state. Posters are entries of the slot `poster`. Empty posters and ids count for nothing.
+
+    Rows that are `late` behind the newest are dropped by the watermark; tabs without rows for `idle` are forgotten, which
+    shows as cleared entries. The state is one map per tab, written entry by entry. Needs the RocksDB state store.
+
+    requests: tab_id, ts, seq, url. navigations: tab_id, ts, seq. posters: tab_id, ts, seq, video_id, poster."""
+    spark = requests.sparkSession
+    spark.conf.set(STORE_CONF, STORE)
     none = F.lit(None).cast("string")
-    seen = classify_requests(requests).withColumn("seq", F.col("seq").cast("bigint"))
+    columns = ["tab_id", "ts", "seq", "video_id", "slot", "label", "url"]
+    seq = F.coalesce(F.col("seq").cast("bigint"), F.lit(LOWEST)).alias("seq")
+    parts = [classify_requests(requests).withColumn("seq", seq)]
     if navigations is not None:
-        seen = seen.unionByName(navigations.select(
-            "tab_id", "ts", F.col("seq").cast("bigint").alias("seq"), *[none.alias(c) for c in ("video_id", "slot", "label", "url")]))
-    return seen.groupBy("tab_id").applyInPandasWithState(
-        _tab_slots, f"tab_id {seen.schema['tab_id'].dataType.simpleString()}, video_id string, slot string, label string, url string, ts timestamp",
-        "held string", "update", "NoTimeout")
+        parts.append(navigations.select("tab_id", "ts", seq, *[none.alias(c) for c in ("video_id", "slot", "label", "url")]))
+    if posters is not None:
+        parts.append(poster_entries(posters).withColumn("seq", seq))
+    seen = reduce(lambda a, b: a.unionByName(b), [p.select(*columns) for p in parts]).withWatermark("ts", late)
+    idle_ms = int(spark.sql(f"select unix_millis(timestamp '1970-01-01 00:00:00Z' + interval {idle})").first()[0])
+    tab = f"tab_id {seen.schema['tab_id'].dataType.simpleString()}"
+    changes = seen.withColumn("at", F.unix_micros("ts")).groupBy("tab_id").transformWithStateInPandas(
+        TabCaptures(idle_ms), f"{tab}, {CHANGE}", "Update", "EventTime")
+    return changes.select("tab_id", "video_id", "slot", "label", "url", F.timestamp_micros("at").alias("ts"), "version")

@@ -1,7 +1,10 @@
 """Stores and streams: captures, progress, page state, quiet pages."""
 
 import json
+import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom.sources.articles import delete_articles, get_articles, read_articles, upsert_articles
@@ -52,13 +55,67 @@ def drain(query):
     query.stop()
 
 
+def run_batches(out, name, tmp_path):
+    """All micro-batches of a stream, one file of each source a time."""
+    q = out.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
+    drain(q)
+
+
+def slow_stream(spark, rows, schema, folder, tmp_path, name="ts"):
+    """A stream that brings one row after the other, in the given order."""
+    path = tmp_path / folder
+    for i, row in enumerate(rows):
+        ts(spark.createDataFrame([row], schema)).coalesce(1).write.parquet(str(path / f"{i:03}"))
+    order = sorted(path.glob("*/*.parquet"))
+    for i, f in enumerate(order):  # the source takes older files first
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    full = ts(spark.createDataFrame(rows, schema))
+    return spark.readStream.schema(full.schema).option("maxFilesPerTrigger", 1).parquet(str(path / "*")), full
+
+
 def test_capture_stream_forgets_what_a_navigation_clears(spark, tmp_path):
     seen = requests(spark).withColumn("seq", F.lit(1))
     moved = ts(spark.createDataFrame([(1, "2024-01-01 00:00:04", 2)], "tab_id int, ts string, seq int"))
-    out = cap.stream_slots(stream_of(spark, seen, "in", tmp_path), stream_of(spark, moved, "nav", tmp_path))
-    q = out.writeStream.outputMode("update").format("memory").queryName("cleared").option("checkpointLocation", str(tmp_path / "cp")).start()
-    drain(q)
-    assert [(r.video_id, r.slot) for r in spark.table("cleared").collect()] == [("8", "variant")]
+    run_batches(cap.stream_slots(stream_of(spark, seen, "in", tmp_path), stream_of(spark, moved, "nav", tmp_path)), "cleared", tmp_path)
+    assert [(r.video_id, r.slot) for r in cap.latest_entries(spark.table("cleared")).collect()] == [("8", "variant")]
+
+
+def test_navigation_of_the_same_moment_and_null_seq(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:01", n, V.format(v, "playlist.m3u8")) for v, n in ((1, 1), (2, 2), (3, 3), (4, None))]
+    seen = ts(spark.createDataFrame(rows, "tab_id int, ts string, seq int, url string"))
+    moved = ts(spark.createDataFrame([(1, "2024-01-01 00:00:01", 2)], "tab_id int, ts string, seq int"))
+    batch = cap.latest_slots(cap.drop_before_navigation(seen, moved))
+    assert [r.video_id for r in batch.collect()] == ["3"]
+    run_batches(cap.stream_slots(stream_of(spark, seen, "in", tmp_path), stream_of(spark, moved, "nav", tmp_path)), "moment", tmp_path)
+    assert [r.video_id for r in cap.latest_entries(spark.table("moment")).collect()] == ["3"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_equals_batch_whatever_the_order_of_arrival(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    at = lambda: f"2024-01-01 00:{rng.randint(0, 40):02}:{rng.randint(0, 59):02}"
+    kinds = ["playlist.m3u8", "avc1/480x270/{}.m3u8", "avc1/1280x720/{}.m3u8", "mp4a/32000/{}.m3u8"]
+    seen = [(rng.randint(1, 2), at(), n, V.format(rng.randint(1, 3), rng.choice(kinds).format(n))) for n in range(8)]
+    moved = [(1, at(), 100)]
+    posters = [(rng.randint(1, 2), at(), n, str(rng.randint(1, 3)), rng.choice(["", "p1", "p2"])) for n in range(4)]
+    s, seen = slow_stream(spark, seen, "tab_id int, ts string, seq int, url string", "in", tmp_path)
+    n, moved = slow_stream(spark, moved, "tab_id int, ts string, seq int", "nav", tmp_path)
+    p, posters = slow_stream(spark, posters, "tab_id int, ts string, seq int, video_id string, poster string", "posters", tmp_path)
+    run_batches(cap.stream_slots(s, n, p), f"any_order_{seed}", tmp_path)
+    streamed = cap.captured_videos(cap.latest_entries(spark.table(f"any_order_{seed}")))
+    batch = cap.captured_videos(cap.latest_slots(cap.drop_before_navigation(seen, moved)), cap.drop_before_navigation(posters, moved))
+    rows = lambda df: sorted(repr(r.asDict()) for r in df.collect())
+    assert rows(streamed) == rows(batch) and rows(batch)
+
+
+def test_idle_tabs_expire(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", 1, V.format(7, "playlist.m3u8")), (2, "2024-01-01 03:00:00", 1, V.format(8, "playlist.m3u8")),
+            (2, "2024-01-01 03:00:01", 2, V.format(9, "playlist.m3u8"))]
+    s, _ = slow_stream(spark, rows, "tab_id int, ts string, seq int, url string", "in", tmp_path)
+    run_batches(cap.stream_slots(s, late="10 minutes", idle="2 hours"), "idle", tmp_path)
+    changes = spark.table("idle").orderBy("tab_id", "version").collect()
+    assert [(r.tab_id, r.video_id, r.url is None) for r in changes] == [(1, "7", False), (1, "7", True), (2, "8", False), (2, "9", False)]
+    assert sorted(r.video_id for r in cap.latest_entries(spark.table("idle")).collect()) == ["8", "9"]
 
 
 def test_readiness_budget(spark):
