@@ -223,7 +223,8 @@ def stream_slots(
         parts.append(navigations.select("tab_id", "ts", seq, *[none.alias(c) for c in ("video_id", "slot", "label", "url")]))
     if posters is not None:
         parts.append(poster_entries(posters).withColumn("seq", seq))
-    seen = reduce(lambda a, b: a.unionByName(b), [p.select(*columns) for p in parts]).withWatermark("ts", late)
+    moment = F.col("ts").cast("timestamp").alias("ts")
+    seen = reduce(lambda a, b: a.unionByName(b), [p.select("tab_id", moment, *columns[2:]) for p in parts]).withWatermark("ts", late)
     idle_ms = int(spark.sql(f"select unix_millis(timestamp '1970-01-01 00:00:00Z' + interval {idle})").first()[0])
     tab = f"tab_id {seen.schema['tab_id'].dataType.simpleString()}"
     changes = seen.withColumn("at", F.unix_micros("ts")).groupBy("tab_id").transformWithStateInPandas(

@@ -43,24 +43,3 @@ def resume_index(progress: DataFrame, units: DataFrame) -> DataFrame:
 def with_percent(df: DataFrame, index: str, total: str) -> DataFrame:
     """ST7."""
     return df.withColumn("percent", progress_percent(F.col(index), F.col(total)))
-
-
-def upsert_sink(path: str, keys: tuple[str, ...], order: tuple[str, ...]):
-    """foreachBatch writer that keeps the latest row per key in versioned parquet folders.
-
-    Every batch writes a new version from the one before it; a repeated batch
-    overwrites its own version, so a restart cannot count anything twice.
-    """
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = [s.getPath().getName() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
-        versions = sorted(int(n.split("=")[1]) for n in done if n.startswith("v="))
-        before = [v for v in versions if v < epoch]
-        merged = batch
-        if before:
-            merged = spark.read.parquet(f"{path}/v={before[-1]}").unionByName(batch)
-        latest_progress(merged, keys, order).write.mode("overwrite").parquet(f"{path}/v={epoch}")
-
-    return write

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom.sources.articles import delete_articles, get_articles, read_articles, upsert_articles
+from pageloom.sources.keyed_store import KeyedStore
 from pageloom.streaming import captures as cap
 from pageloom.streaming import progress as prog
 from pageloom.streaming import stability as stab
@@ -148,12 +149,42 @@ def test_progress(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("progress").option("checkpointLocation", str(tmp_path / "cp")).start()
     drain(q)
     assert [r.unit_id for r in spark.table("progress").collect()] == ["b1-u2"]
-    store = str(tmp_path / "store")
-    sink = prog.upsert_sink(store, ("reader_id", "article_id"), ("updated_at",))
-    sink(parsed.filter("updated_at < 15"), 0)
-    sink(parsed.filter("updated_at >= 15"), 1)
-    sink(parsed.filter("updated_at >= 15"), 1)
-    assert [r.unit_id for r in spark.read.parquet(f"{store}/v=1").collect()] == ["b1-u2"]
+
+
+def test_store_of_latest_records(spark, tmp_path):
+    schema = "reader_id int, article_id string, unit_id string, updated_at long"
+    path = tmp_path / "store"
+    store = KeyedStore(spark, str(path), schema, ("reader_id", "article_id"), ("updated_at",), buckets=8)
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    have = lambda: sorted((r.reader_id, r.unit_id) for r in store.read().collect())
+    assert have() == [] and store.get(rows((1, "a", "", 0))).first().unit_id is None
+    store.write(rows(*[(i, "a", "u1", 10) for i in range(6)], (0, "a", "u0", 5)), 0)
+    store.write(rows((1, "a", "u2", 20), (2, "a", "old", 3)), 1)
+    store.write(rows((1, "a", "u2", 20), (2, "a", "old", 3)), 1)  # a restart
+    assert have() == [(0, "u1"), (1, "u2"), (2, "u1"), (3, "u1"), (4, "u1"), (5, "u1")]
+    assert len(list(path.glob("batch=1/bucket=*"))) <= 2
+    store.write(rows((3, "a", None, 30), (4, "a", "late", 9)), 2, F.col("unit_id").isNull())
+    assert have() == [(0, "u1"), (1, "u2"), (2, "u1"), (4, "u1"), (5, "u1")]
+    (path / "batch=7").mkdir()  # an attempt without its _SUCCESS
+    store.compact(1)
+    assert sorted(p.name for p in path.iterdir()) == ["base=1", "batch=2", "batch=7"]
+    store.write(rows((5, "a", "again", 99)), 1)  # taken in already
+    assert have() == [(0, "u1"), (1, "u2"), (2, "u1"), (4, "u1"), (5, "u1")]
+    store.compact()
+    store.compact()
+    assert sorted(p.name for p in path.iterdir()) == ["base=2", "batch=7"]
+    assert have() == [(0, "u1"), (1, "u2"), (2, "u1"), (4, "u1"), (5, "u1")]
+    store.write(rows((3, "a", "back", 1)), 3)
+    asked = spark.createDataFrame([(1, "a"), (3, "a"), (9, "a"), (9, "a")], "reader_id int, article_id string")
+    assert sorted((r.reader_id, r.unit_id) for r in store.get(asked).collect()) == [(1, "u2"), (3, "back"), (9, None)]
+
+
+def test_store_as_the_sink_of_a_stream(spark, tmp_path):
+    s, full = slow_stream(spark, [(i % 3, f"2024-01-01 00:00:0{i}", f"u{i}") for i in range(7)], "reader_id int, ts string, unit_id string", "in", tmp_path)
+    for name in ("one", "two"):  # the second query starts anew and finds its batches written
+        store = KeyedStore(spark, str(tmp_path / "sunk"), "reader_id int, ts timestamp, unit_id string", ("reader_id",), ("ts",), buckets=4)
+        drain(s.writeStream.foreachBatch(store.sink()).option("checkpointLocation", str(tmp_path / name)).start())
+        assert sorted((r.reader_id, r.unit_id) for r in store.read().collect()) == [(0, "u6"), (1, "u4"), (2, "u5")]
 
 
 def test_page_state(spark):
