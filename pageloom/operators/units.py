@@ -50,9 +50,6 @@ _PROTECT = [
     (re.compile("/"), re.compile(HIDDEN_PATH, re.A)),
     (re.compile(rf"(?i)\.(?:{'|'.join(FILE_EXTENSIONS)})"), re.compile(FILE_NAME, re.A)),
 ]
-_PROTECT += [
-    (re.compile(re.escape(b[0])), re.compile(re.escape(b[0]) + "[^" + re.escape(b[1]) + "]*" + re.escape(b[1]))) for b in BRACKETS
-]
 _INNER_DOT = re.compile(r"(?<=[A-Za-z0-9_])\.(?=[A-Za-z0-9_])")
 _ONE_EMOJI = f"[{EMOJI}][︎️\U0001f3fb-\U0001f3ff]*"
 # what may follow a break mark and still belongs to the unit in front of it
@@ -103,9 +100,18 @@ def _width_sums(text: str) -> np.ndarray:
     return sums / 2
 
 
+def _bracketed(text: str, pair: str) -> Iterator[tuple[int, int]]:
+    """From each opening bracket to the next closing one; the first that finds none ends the search."""
+    end = 0
+    while (start := text.find(pair[0], end)) >= 0 and (close := text.find(pair[1], start + 1)) >= 0:
+        end = close + 1
+        yield start, end
+
+
 def _protected(text: str) -> tuple[list[int], list[int]]:
     """Merged protected spans as sorted starts and ends."""
-    spans = sorted(m.span() for hint, p in _PROTECT if hint.search(text) for m in p.finditer(text))
+    spans = [m.span() for hint, p in _PROTECT if hint.search(text) for m in p.finditer(text)]
+    spans = sorted(spans + [span for pair in BRACKETS for span in _bracketed(text, pair)])
     starts: list[int] = []
     ends: list[int] = []
     for start, end in spans:
@@ -235,14 +241,13 @@ def protected_spans(df: DataFrame, text_col: str) -> DataFrame:
         ("hidden_path", F.contains(text, F.lit("/")), HIDDEN_PATH),
         ("file", F.regexp_like(text, F.lit(f"(?i)\\.(?:{'|'.join(FILE_EXTENSIONS)})")), FILE_NAME),
     ]
-    rules += [(f"bracket_{b}", F.contains(text, F.lit(b[0])), f"\\{b[0]}[^\\{b[1]}]*\\{b[1]}") for b in BRACKETS]
-    found = F.array(*[
-        F.struct(
-            F.lit(kind).alias("kind"),
-            F.when(hint, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias("values"),
-        )
-        for kind, hint, p in rules
-    ])
+    found = [(kind, F.when(hint, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none)) for kind, hint, p in rules]
+    for pair in BRACKETS:
+        # up to the last closing bracket every opening one finds its end, so no search runs through the rest for nothing
+        closed = F.regexp_extract(text, rf"(?s)^.*\{pair[1]}", 0)
+        values = F.regexp_extract_all(closed, F.lit(rf"\{pair[0]}[^\{pair[1]}]*\{pair[1]}"), F.lit(0))
+        found.append((f"bracket_{pair}", F.when(F.contains(text, F.lit(pair[0])), values).otherwise(none)))
+    found = F.array(*[F.struct(F.lit(kind).alias("kind"), values.alias("values")) for kind, values in found])
     kinds = flat.select(*rest, F.explode(found).alias("k"))
     return kinds.select(*rest, F.col("k.kind").alias("kind"), F.explode("k.values").alias("value"))
 

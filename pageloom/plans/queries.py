@@ -434,7 +434,7 @@ def r1_unit_cover(spark, d):
 @query
 def r2_protected_spans(spark, d):
     spans = un.protected_spans(documents(spark, d).select("doc_id", "text"), "text")
-    return spans.filter("kind in ('ip', 'url', 'file')").groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n"))
+    return spans.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n"))
 
 
 @query

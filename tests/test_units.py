@@ -1,6 +1,7 @@
 """Splitter goldens and properties, runs, clipping, navigation."""
 
 import random
+import timeit
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +40,17 @@ def test_units_are_ordered_slices(raw):
     assert "".join(text[a:b] for a, b in spans).replace(" ", "") == text.replace(" ", "")
 
 
+def test_open_brackets_cost_their_length():
+    def best(n):
+        text = "(" * n + " [【" * n + "a. " * n
+        return min(timeit.repeat(lambda: un.split_text(text), number=1, repeat=3))
+
+    assert best(40_000) < 12 * best(5_000) + 0.2
+    opened = "(" * 80_000
+    assert un._protected(opened) == ([], []) and timeit.timeit(lambda: un._protected(opened), number=1) < 0.1
+    assert list(un._bracketed("(a (b) c) d ( e", "()")) == [(0, 6)]
+
+
 def test_width_matches_column(spark):
     from pageloom.functions.text import text_width
     samples = ["a b,c", "你好，世界 abc", "カタカナ。한국어!", "é😀 x"]
