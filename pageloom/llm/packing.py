@@ -20,18 +20,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..kernels import ship_by_value
+from . import words as wd
 from .common import shuffle_partitions, table, written
 
 ship_by_value(__name__)
 
 CAPACITY = 2048
-# With these two a sequence is never full before its tokens are: a piece has a token at least, and the squares of
-# lengths sum to no more than the square of their sum.
+# With these two a sequence is never full before its tokens are, so in the registered query only tokens bind: a piece has a
+# token at least, and the squares of lengths sum to no more than the square of their sum. Smaller values are parameters.
 MAX_DOCS = CAPACITY
 MAX_COST = CAPACITY * CAPACITY
 WEIGHTS = (1.0, 0.01, 0.01)
 END_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+CHUNK_BYTES = 4 << 20
 
 
 @dataclass
@@ -92,6 +94,8 @@ def plan_bins(
                 group = Bins(bins, -(-left // each), capacity, max_docs, max_cost)
                 bins += group.count
             each = min(group.tokens // length, group.docs, group.cost // (length * length))
+            if len(fits) and rule == "dot":
+                each = 1  # a bin that took a piece has less room, so the next one goes elsewhere
             full = min(group.count, left // each)
             taken = []
             if full:
@@ -110,42 +114,127 @@ def plan_bins(
     return segments, bins
 
 
-def token_pieces(batches, vocabulary: str, capacity: int, end_id: int):
-    """Arrow batches of (doc_id, text) to rows of pieces.
+LETTER, DIGIT, SIGN, OTHER = 1, 2, 3, 4
+
+
+def byte_kinds(raw: np.ndarray) -> np.ndarray:
+    """What each byte is to the vocabulary's word pattern. Letters are ASCII ones and those of Latin-1; what the pattern or the
+    normaliser treats in ways of its own (other characters, apostrophes, control bytes, `<|`) is OTHER."""
+    table = np.full(256, OTHER, np.uint8)
+    table[33:127] = SIGN
+    table[48:58] = DIGIT
+    for first in (65, 97):
+        table[first:first + 26] = LETTER
+    table[ord("'")] = OTHER
+    kinds = table[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3) if len(raw) else np.empty(0, np.int64)
+    second = raw[lead + 1]
+    lead = lead[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
+    kinds[lead] = kinds[lead + 1] = LETTER
+    if len(raw):
+        kinds[:-1][(raw[:-1] == ord("<")) & (raw[1:] == ord("|"))] = OTHER
+    return kinds
+
+
+def lower_latin(raw: np.ndarray) -> np.ndarray:
+    lower = wd.lower_ascii(raw)
+    second = np.zeros(len(raw), bool)
+    second[1:] = raw[:-1] == 0xC3
+    return lower + ((second & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)).astype(np.uint8) << 5)
+
+
+def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The stretches that the vocabulary encodes one by one, and the text of each: runs of letters or of signs, in lower case,
+    and single digits. A white-space separated word with anything else in it is one stretch, as written."""
+    raw, offsets = wd.byte_view(texts)
+    inside = wd.is_word_byte(raw)
+    words = wd.split_mask(raw, offsets, inside)
+    kinds = byte_kinds(raw)
+    others = np.concatenate([[0], np.cumsum(kinds == OTHER)])
+    whole = others[words.end] > others[words.start]
+    change = np.zeros(len(raw) + 1, np.int8)
+    np.add.at(change, words.start[whole], 1)
+    np.add.at(change, words.end[whole], -1)
+    as_written = np.cumsum(change[:-1], dtype=np.int8) > 0
+    begin = np.zeros(len(raw), bool)
+    begin[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)
+    begin &= ~as_written & inside
+    begin[words.start] = True
+    start = np.flatnonzero(begin)
+    word = np.searchsorted(words.start, start, "right") - 1
+    end = np.minimum(np.append(start[1:], len(raw)), words.end[word]) if len(start) else start
+    data = np.where(as_written, raw, lower_latin(raw))[inside]
+    ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data)]), words.doc[word]
+
+
+class Encoder:
+    """Ids of stretches, as little-endian 32-bit numbers. The ids of up to two generations of `CACHE_WORDS` stretches are kept;
+    when the younger is full, it takes the place of the older."""
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __call__(self, stretches: list[bytes]) -> list[bytes]:
+        fresh = []
+        for s in stretches:
+            if s not in self.young:
+                if s in self.old:
+                    self.young[s] = self.old[s]
+                else:
+                    fresh.append(s)
+        for i in range(0, len(fresh), 50_000):
+            part = fresh[i:i + 50_000]
+            for s, found in zip(part, self.tokenizer.encode_batch_fast([s.decode() for s in part], add_special_tokens=False), strict=True):
+                self.young[s] = np.array(found.ids, "<u4").tobytes()
+        ids = [self.young[s] for s in stretches]
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        return ids
+
+
+def ids_of(texts: pa.Array, encoder: Encoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, `end_id` after each, and where each text's ids end."""
+    units, doc = units_of(texts)
+    coded = units.dictionary_encode()
+    known = encoder(coded.dictionary.to_pylist())
+    sizes = np.array([len(k) // 4 for k in known] + [1], np.int64)
+    flat = np.frombuffer(b"".join(known) + np.array([end_id], "<u4").tobytes(), "<u4")
+    sequence = np.full(len(units) + len(texts), len(known), np.int64)  # the last one is the end of a text
+    sequence[np.arange(len(units)) + doc] = coded.indices.to_numpy()
+    size = sizes[sequence]
+    ends = np.cumsum(size)
+    take = np.repeat((np.cumsum(sizes) - sizes)[sequence] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    last = np.cumsum(np.bincount(doc, minlength=len(texts)) + 1) - 1
+    return flat[take], ends[last]
 
-    Neither the vocabulary's word pattern nor its normaliser reaches across white space, so a text's ids are those of
-    its white-space separated parts in a row; the ids of a part are kept and reused.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    held = sys.__dict__.setdefault("_pageloom_token_ids", {})
+def token_pieces(batches, vocabulary: str, capacity: int, end_id: int):
+    """Arrow batches of (doc_id, text) to rows of pieces."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    held = sys.__dict__.setdefault("_pageloom_encoders", {})
     key = zlib.crc32(vocabulary.encode())
     if key not in held:
         held.clear()
-        held[key] = (Tokenizer.from_str(vocabulary), {})
-    tokenizer, known = held[key]
-    end = np.uint32(end_id).tobytes()
-    step = 4 * capacity
+        held[key] = Encoder(vocabulary)
     for batch in batches:
-        texts = [(t.as_py() or "").encode().split() for t in batch.column(1)]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        fresh = list(set().union(*texts).difference(known))
-        for i in range(0, len(fresh), 50_000):
-            part = fresh[i:i + 50_000]
-            for word, found in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
         rows, pieces, starts, lengths, sums = [], [], [], [], []
-        for row, words in enumerate(texts):
-            ids = b"".join([known[w] for w in words]) + end
-            for piece, at in enumerate(range(0, len(ids), step)):
-                part = ids[at:at + step]
-                rows.append(row)
-                pieces.append(piece)
-                starts.append(at // 4)
-                lengths.append(len(part) // 4)
-                sums.append(zlib.crc32(part))
+        for a, b in wd.chunks(batch.column(1), CHUNK_BYTES):
+            ids, ends = ids_of(batch.column(1).slice(a, b - a), held[key], end_id)
+            data, begin = memoryview(ids.tobytes()), 0
+            for row, end in enumerate(ends.tolist(), a):
+                for piece, at in enumerate(range(begin, end, capacity)):
+                    stop = min(at + capacity, end)
+                    rows.append(row)
+                    pieces.append(piece)
+                    starts.append(at - begin)
+                    lengths.append(stop - at)
+                    sums.append(zlib.crc32(data[4 * at:4 * stop]))
+                begin = end
         yield pa.record_batch({
             "doc_id": batch.column(0).take(pa.array(rows, pa.int64())), "piece": pa.array(pieces, pa.int32()),
             "start": pa.array(starts, pa.int64()), "length": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(sums, pa.int64()),
@@ -209,7 +298,8 @@ def best_fit_packing(docs: DataFrame, vocabulary_file: str, *, capacity: int = C
     of `capacity`, the last of which may be shorter. Returns a row per piece: doc_id, piece, start (ids of its document
     before it), length, ids_crc32 (of the ids as little-endian 32-bit numbers), sequence_id, offset (gapless from 0).
     Rows that share a doc_id, or have none, are packed one by one. Other columns are ignored; an empty table gives an
-    empty result. `limits` are those of `plan_bins`.
+    empty result. `limits` are those of `plan_bins`. A very long text is tokenized whole by one task, which needs about 100
+    bytes a token of it. Bins that leave the same score are alike, and the first made of them takes the piece.
     """
     pieces = written(tokenize(docs, vocabulary_file, capacity, end_id), "token-pieces")
     return pack_pieces(pieces, capacity=capacity, **limits)
