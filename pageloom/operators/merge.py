@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.core import let
 from ..functions.text import comparable_code_language, normalize_for_compare
-from ..kernels import ship_by_value
 from ..schema import BLOCK
 
-ship_by_value(__name__)
-
 # Fixed values.
 REPLACEABLE = [
     "paragraph", "divider", "heading", "quote", "list", "image", "code", "table", "simple-tweet", "image-gallery", "embed",
@@ -51,84 +47,91 @@ def block_equivalence_key(b: Column) -> Column:
     return F.when(body.isNotNull(), F.sha2(F.concat(t, F.lit("|"), body), 256))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _greedy(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Position of the clean block each primary block takes, -1 for none; the cursor only moves on."""
-    for primary, clean in batches:
-        out = []
-        for left, right in zip(primary, clean):
-            places: dict[str, list[int]] = {}
-            for pos, key in enumerate(right if right is not None else []):
-                places.setdefault(key, []).append(pos)
-            used = dict.fromkeys(places, 0)
-            cursor, taken = 0, []
-            for key in left:
-                spots = places.get(key, []) if key is not None else []
-                k = used.get(key, 0)
-                while k < len(spots) and spots[k] < cursor:
-                    k += 1
-                if key is not None and key in used:
-                    used[key] = k
-                hit = spots[k] if k < len(spots) else -1
-                if hit >= 0:
-                    cursor = hit + 1
-                taken.append(hit)
-            out.append(taken)
-        yield pd.Series(out)
+SEARCH_STEPS = 24  # halvings of a binary search: articles of up to sixteen million blocks
+ROW = f"struct<order:struct<p:int,s:int,c:int>,block_id:string,block:{BLOCK}>"
 
 
-def merge_extractions(primary: DataFrame, clean: DataFrame, key: str = "article_id") -> tuple[DataFrame, DataFrame]:
-    """A5: (merged blocks, stats). Inputs: key, block_pos (dense from 0), block_id, block.
+def lower_bound(items: Column, less: Callable[[Column], Column]) -> Column:
+    """How many items from the front are `less`; they all stand before those that are not."""
+    def step(at: Column, width: Column) -> Column:
+        ahead = (at + width <= F.size(items)) & less(F.get(items, at + width - 1))
+        return F.when(F.coalesce(ahead, F.lit(False)), at + width).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(SEARCH_STEPS))]), F.lit(0), step)
+
+
+def _side(df: DataFrame, key: str, name: str, eq: Column) -> DataFrame:
+    """One row per article: its blocks in order."""
+    by_place = lambda a, b: (a["block_pos"] - b["block_pos"]).cast("int")
+    entry = F.struct("block_pos", "block_id", F.col("block").cast(BLOCK).alias("block"), eq.alias("eq"))
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(entry), by_place).alias(name))
+
 
-    Only the equivalence keys of an article go through the ordered kernel. The
-    blocks themselves stay in Spark and are joined back by position. An article
-    without primary blocks keeps its clean ones as they are, with a stats row of
-    zeros.
+def matched_articles(primary: DataFrame, clean: DataFrame, key: str = "article_id") -> DataFrame:
+    """One row per article: both sides in order, and for each primary block the place of the clean block it takes (-1: none).
+
+    A fold over the primary blocks keeps a cursor into the clean ones. What a block may take lies next to (its key, cursor)
+    in the sorted list of (key, place), found by halving, so an article costs its blocks times the logarithm of their
+    number. Each side moves once.
     """
-    t = F.col("block.type")
-    known = primary.select(key).distinct()
-    alone, clean = clean.join(known, key, "left_anti"), clean.join(known, key, "left_semi")
-    replaceable = t.isin(*REPLACEABLE)
-    p = primary.withColumn("eq", F.when(replaceable, block_equivalence_key(F.col("block"))))
-    c = clean.withColumn("eq", block_equivalence_key(F.col("block")))
-    ordered = lambda df, name: df.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("block_pos", "eq"))), lambda x: x["eq"]).alias(name)
-    )
-    # every position counts, also those without a key
-    keys = ordered(p, "left_keys").join(ordered(c, "right_keys"), key, "left")
-    matched = keys.select(key, F.posexplode_outer(_greedy("left_keys", "right_keys")).alias("block_pos", "clean_pos"))
-    p = p.join(matched, [key, "block_pos"])
-    content = c.select(key, F.col("block_pos").alias("clean_pos"), F.col("block").alias("clean_block"))
-    joined = p.join(content, [key, "clean_pos"], "left")
-    own, new = F.col("block"), F.col("clean_block")
+    replaceable = F.col("block.type").isin(*REPLACEABLE)
+    own = _side(primary, key, "own", F.when(replaceable, block_equivalence_key(F.col("block"))))
+    sides = own.join(_side(clean, key, "new", block_equivalence_key(F.col("block"))), key, "full_outer")
+    places = F.transform("new", lambda b, i: F.struct(b["eq"].alias("eq"), i.alias("at")))
+    sides = sides.withColumn("finder", F.array_sort(F.coalesce(F.filter(places, lambda x: x["eq"].isNotNull()), F.expr("cast(array() as array<struct<eq:string,at:int>>)"))))
+    finder = F.col("finder")
+
+    def take(state: Column, block: Column) -> Column:
+        wanted = F.struct(block["eq"].alias("eq"), state["cursor"].alias("at"))
+        found = let(lower_bound(finder, lambda x: x < wanted), lambda i: F.get(finder, i))
+        hit = let(found, lambda x: F.when(x["eq"] == block["eq"], x["at"]).otherwise(-1))
+        return let(F.coalesce(hit, F.lit(-1)), lambda at: F.struct(
+            F.when(at >= 0, at + 1).otherwise(state["cursor"]).alias("cursor"), F.concat(state["taken"], F.array(at)).alias("taken")))
+
+    start = F.struct(F.lit(0).alias("cursor"), F.expr("cast(array() as array<int>)").alias("taken"))
+    return sides.withColumn("taken", F.aggregate("own", start, take, lambda s: s["taken"])).drop("finder")
+
+
+def _merged(own: Column, new: Column) -> Column:
+    """A replaced block has the clean one's content; captions keep their role and both styles."""
+    no_style = F.expr("cast(map() as map<string,string>)")
     caption = (F.coalesce(own["role"], F.lit("")) == "caption") | (F.coalesce(new["role"], F.lit("")) == "caption")
-    old_style = F.coalesce(own["text_style"], F.expr("cast(map() as map<string,string>)"))
-    new_style = F.map_filter(
-        F.coalesce(new["text_style"], F.expr("cast(map() as map<string,string>)")), lambda k, v: ~F.map_contains_key(old_style, k)
-    )
+    old_style = F.coalesce(own["text_style"], no_style)
+    new_style = F.map_filter(F.coalesce(new["text_style"], no_style), lambda k, v: ~F.map_contains_key(old_style, k))
     restyled = new.withField("role", F.lit("caption")).withField("text_style", F.map_concat(new_style, old_style)).cast(BLOCK)
-    merged = F.when(new.isNull(), own).when((t == "paragraph") & caption, restyled).otherwise(new)
-    kept = joined.select(
-        key, F.struct(F.col("block_pos").alias("p"), F.lit(1).alias("s"), F.lit(0).alias("c")).alias("order"), "block_id", merged.alias("block")
-    )
+    return F.when(new.isNull(), own).when((own["type"] == "paragraph") & caption, restyled).otherwise(new)
+
+
+def merge_extractions(primary: DataFrame, clean: DataFrame, key: str = "article_id") -> tuple[DataFrame, DataFrame]:
+    """A5: (merged blocks, stats). Inputs: key, block_pos, block_id, block.
+
+    Column expressions over one row per article (`matched_articles`). An article without primary blocks keeps its clean ones
+    as they are, with a stats row of zeros.
+    """
+    matched = matched_articles(primary, clean, key)
+    place = lambda p, s, c: F.struct(p.cast("int").alias("p"), F.lit(s).alias("s"), c.cast("int").alias("c"))
+    row = lambda order, block_id, block: F.struct(order.alias("order"), block_id.alias("block_id"), block.alias("block")).cast(ROW)
+    kept = F.transform("own", lambda b, i: row(
+        place(b["block_pos"], 1, F.lit(0)), b["block_id"],
+        let(F.get("new", F.nullif(F.get("taken", i), F.lit(-1))), lambda c: _merged(b["block"], c["block"]))))
+    passed = F.transform("new", lambda b: row(place(b["block_pos"], 1, F.lit(0)), b["block_id"], b["block"]))
     # clean-only dividers stand before the primary block whose match follows them
-    spans = matched.filter("clean_pos >= 0").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("clean_pos", "block_pos"))).alias("hits"))
-    taken = matched.filter("clean_pos >= 0").select(key, F.col("clean_pos").alias("block_pos"))
-    loose = c.filter(t == "divider").join(taken, [key, "block_pos"], "left_anti").join(spans, key, "left")
-    nxt = F.get(F.filter("hits", lambda h: h["clean_pos"] > F.col("block_pos")), F.lit(0))["block_pos"]
-    extra = loose.select(
-        key, F.struct(F.coalesce(nxt, F.lit((1 << 31) - 1)).cast("int").alias("p"), F.lit(0).alias("s"), F.col("block_pos").cast("int").alias("c")).alias("order"),
-        "block_id", "block",
-    )
-    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
-    stats = p.groupBy(key).agg(
-        count(F.col("clean_pos") >= 0).alias("replaced"),
-        count(replaceable & (F.col("clean_pos") < 0)).alias("fallback"),
-        count(t.isin(*HIGH_RISK)).alias("high_risk"), count(t.isin(*KEPT_FROM_PRIMARY)).alias("primary_only"),
-    )
-    order_type = "struct<p:int,s:int,c:int>"
-    cast = lambda df: df.withColumn("order", F.col("order").cast(order_type)).withColumn("block", F.col("block").cast(BLOCK))
-    passed = alone.select(
-        key, F.struct(F.col("block_pos").cast("int").alias("p"), F.lit(1).alias("s"), F.lit(0).alias("c")).alias("order"), "block_id", "block")
-    nothing = alone.select(key).distinct().select(key, *[F.lit(0).cast("bigint").alias(c) for c in stats.columns if c != key])
-    return cast(kept).unionByName(cast(extra)).unionByName(cast(passed)), stats.unionByName(nothing)
+    hits = F.filter(F.transform("own", lambda b, i: F.struct(F.get("taken", i).alias("at"), b["block_pos"].alias("block_pos"))), lambda h: h["at"] >= 0)
+    staged = matched.withColumn("hits", hits)
+    loose = F.filter(F.transform("new", lambda b, i: F.struct(
+        b.alias("b"), F.get("hits", lower_bound(F.col("hits"), lambda h: h["at"] < i)).alias("next"), i.alias("at"))),
+        lambda x: (x["b"]["block"]["type"] == "divider") & ~F.coalesce(x["next"]["at"] == x["at"], F.lit(False)))
+    extra = F.transform(loose, lambda x: row(
+        place(F.coalesce(x["next"]["block_pos"], F.lit((1 << 31) - 1)), 0, x["b"]["block_pos"]), x["b"]["block_id"], x["b"]["block"]))
+    rows = F.when(F.col("own").isNull(), passed).otherwise(F.concat(kept, F.coalesce(extra, F.expr(f"cast(array() as array<{ROW}>)"))))
+    merged = staged.withColumn("rows", rows).select(key, F.inline_outer("rows"))
+
+    def count(test: Callable[[Column, Column], Column]) -> Column:
+        return F.coalesce(F.size(F.filter("own", lambda b, i: test(b["block"]["type"], F.get("taken", i)))), F.lit(0)).cast("bigint")
+
+    none = F.col("own").isNull()
+    stats = matched.select(key, *[F.when(none, 0).otherwise(c).cast("bigint").alias(name) for name, c in {
+        "replaced": count(lambda t, at: at >= 0), "fallback": count(lambda t, at: t.isin(*REPLACEABLE) & (at < 0)),
+        "high_risk": count(lambda t, at: t.isin(*HIGH_RISK)), "primary_only": count(lambda t, at: t.isin(*KEPT_FROM_PRIMARY)),
+    }.items()])
+    return merged, stats
