@@ -255,8 +255,8 @@ def special_blocks(n: Column, sub: Column, handlers: dict[str, Handler], adapter
     return block
 
 
-def finish_blocks(parts: DataFrame) -> DataFrame:
-    """Adds `block` (null when the candidate makes none) and what it uses up.
+def finish_blocks(parts: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `block` (null when the candidate makes none) and what it uses up; keeps the columns named in `carry`.
 
     Rows without a block are dropped after the first window: a filter here would
     be pushed through every projection above and copy their expressions.
@@ -303,7 +303,7 @@ def finish_blocks(parts: DataFrame) -> DataFrame:
         F.when(~is_special & made & (fam == "embed"), end).alias("embed_end"),
         F.when(F.col("platform") == "x", within(n, "photo")).otherwise(n["tag"] == "img").alias("in_media"),
         n["tag"].isin("iframe", "embed").alias("is_frame"),
-        F.coalesce(special, F.when(made, plain)).alias("block"),
+        F.coalesce(special, F.when(made, plain)).alias("block"), *carry,
     )
 
 

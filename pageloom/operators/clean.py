@@ -362,20 +362,20 @@ SNAPSHOT = {
 }
 
 
-def clean_snapshot(clean: DataFrame, adapters: list[Adapter]) -> DataFrame:
-    """H9: how many titles, paragraphs, quotes, ... the clean tree has, one row per page."""
+def with_snapshot(clean: DataFrame, adapters: list[Adapter]) -> DataFrame:
+    """H9: adds `snapshot`, how many titles, paragraphs, quotes, ... the clean tree has."""
     root = F.col("content_root")
     tree = Tree(F.col("nodes"), F.col("texts"), root["node_id"], cleaned=True)
     count = lambda s: F.size(tree.all(root, s)).cast("bigint")
     titles = per_adapter(adapters, lambda a: count(a.title_selector) if a.title_selector else F.lit(0).cast("bigint"))
     own_class = F.when(attr(tree.at(root["node_id"]), "class").isNotNull(), 1).otherwise(0)
-    return clean.select(
-        "page_id",
-        titles.alias("titles"),
-        *[count(s).alias(name) for name, s in SNAPSHOT.items()],
-        (count("[class]") + own_class).alias("class_attrs"),
-        "clean_stats.*",
-    )
+    return clean.withColumn("snapshot", F.struct(
+        titles.alias("titles"), *[count(s).alias(name) for name, s in SNAPSHOT.items()], (count("[class]") + own_class).alias("class_attrs")))
+
+
+def clean_snapshot(clean: DataFrame, adapters: list[Adapter]) -> DataFrame:
+    """H9: the counts of the clean tree, one row per page."""
+    return with_snapshot(clean, adapters).select("page_id", "snapshot.*", "clean_stats.*")
 
 
 def selector_inventory(parsed: DataFrame, selectors: dict[str, str]) -> DataFrame:

@@ -117,7 +117,7 @@ def resolve_title(located: DataFrame, adapters: list[Adapter]) -> DataFrame:
 
 
 def readiness(titled: DataFrame, adapters: list[Adapter]) -> DataFrame:
-    """H4: adds `block_count`, `text_length`, `not_ready` (first failing reason, null when ready)."""
+    """H4: adds `block_count`, `text_length`, `not_ready` (first failing reason, null when ready), `root_found`, `body_found`."""
     tree, content = _page_tree(titled, adapters), F.col("content_root")
 
     def missing_required(a: Adapter) -> Column:
@@ -144,7 +144,9 @@ def readiness(titled: DataFrame, adapters: list[Adapter]) -> DataFrame:
         .when(per_adapter(adapters, missing_required), "missing_required_selector")
         .when(per_adapter(adapters, limits), "content_not_stable")
     )
-    return counted.withColumn("not_ready", reason)
+    return counted.withColumns({
+        "not_ready": reason, "root_found": F.col("article_root").isNotNull(), "body_found": content.isNotNull(),
+    })
 
 
 def detect_post_article(parsed: DataFrame, adapter: Adapter, rich_view: str, block: str = '[data-block="true"]') -> DataFrame:

@@ -58,6 +58,44 @@ def diff_counts(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("pag
     return filled.filter("n_left <> n_right")
 
 
+LIST_FIX = "normalize-handwritten-ordered-list"
+
+
+def side_counts(blocks: DataFrame) -> DataFrame:
+    """Counts of one extraction's blocks (page_id, block) that a report names, one row per page."""
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+    kind = F.col("block.type")
+    own = F.coalesce(F.size(F.filter("block.annotations", lambda r: r["href"].isNotNull())), F.lit(0))
+    items = F.flatten(F.transform("block.items", lambda i: F.coalesce(i["annotations"], F.slice("block.annotations", 1, 0))))
+    of_items = F.coalesce(F.size(F.filter(items, lambda r: r["href"].isNotNull())), F.lit(0))
+    return blocks.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("blocks"), count(kind == "list").alias("n_lists"), count(kind == "simple-tweet").alias("n_posts"),
+        count(kind == "link").alias("n_links"), F.sum(F.greatest(own, F.lit(0)) + F.greatest(of_items, F.lit(0))).cast("bigint").alias("link_ranges"),
+    )
+
+
+def page_report(rows: DataFrame, second: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row per page from both extractions (`extract_merged`): page facts, counts of either side, differing counts of
+    low-risk types, counts of the merge, what the list fix changed and how many quotes the clean tree holds."""
+    of_types = lambda blocks: blocks.groupBy("page_id", F.col("block.type").alias("type")).agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("type").isin(*LOW_RISK))
+    clean = rows.filter("block_pos >= 0").select("page_id", "block")
+    diffs = diff_counts(of_types(second), of_types(clean)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_count_diffs"))
+    primary = side_counts(second).withColumnRenamed("blocks", "primary_blocks")
+    cleaned = clean.groupBy("page_id").agg(F.count(F.lit(1)).alias("clean_blocks"))
+    fix = F.get(F.filter("page.fixes", lambda f: f["id"] == LIST_FIX), F.lit(0))["changed"]
+    facts = rows.filter("block_pos < 0").select(
+        "page_id", "page.url", "page.title", "page.root_found", "page.body_found", F.coalesce(fix, F.lit(0)).cast("bigint").alias("list_fix_changed"),
+        F.coalesce("page.snapshot.quotes", F.lit(0)).alias("snapshot_quotes"))
+    counted = extraction_report(facts, primary, cleaned, diffs, stats)
+    # a page without a part of the article has no extraction to report
+    numbers = [c for c, kind in counted.dtypes if kind == "bigint" and c != "page_id"]
+    whole = F.col("root_found") & F.col("body_found") & (F.coalesce("title", F.lit("")) != "")
+    return counted.select("page_id", *[
+        F.when(whole, F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(c) if c in numbers else F.col(c)
+        for c in counted.columns if c != "page_id"])
+
+
 def flag_issues(report: DataFrame) -> DataFrame:
     """Adds `issues`. Needs the columns it names; a missing page part ends the check there."""
     missing = F.array_compact(F.array(

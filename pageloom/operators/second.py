@@ -54,8 +54,8 @@ def player_of(sub: Column) -> Column:
     return let(photo, build)
 
 
-def second_blocks(parts: DataFrame) -> DataFrame:
-    """Candidate rows after `with_parts` to (page_id, node_id, marked, is_item, block).
+def with_second(parts: DataFrame) -> DataFrame:
+    """Adds `second`: a candidate's marked, is_item and block as the second extraction sees it.
 
     `block` is null where nothing is made. A blob player needs a capture:
     `attach_captures` fills or drops its video block.
@@ -101,10 +101,14 @@ def second_blocks(parts: DataFrame) -> DataFrame:
         F.when(with_text & F.col("second_level").isNotNull(), spoken("heading", level=F.col("second_level"))),
         F.when(with_text, spoken("paragraph", role=F.when(caption, "caption"))),
     )
-    return staged.select(
-        "page_id", n["node_id"].alias("node_id"), F.coalesce(is_(n, "data_block"), F.lit(False)).alias("marked"),
-        F.col("second_kind").isNotNull().alias("is_item"), block.alias("block"),
-    )
+    return staged.withColumn("second", F.struct(
+        F.coalesce(is_(n, "data_block"), F.lit(False)).alias("marked"), F.col("second_kind").isNotNull().alias("is_item"), block.alias("block"),
+    ))
+
+
+def second_blocks(parts: DataFrame) -> DataFrame:
+    """Candidate rows after `with_parts` to (page_id, node_id, marked, is_item, block)."""
+    return with_second(parts).select("page_id", F.col("n.node_id").alias("node_id"), "second.*")
 
 
 def second_extraction(blocks: DataFrame) -> DataFrame:

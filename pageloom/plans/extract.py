@@ -7,7 +7,7 @@ route -> one exchange on page_id
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +22,14 @@ from ..operators.blocks import (
     with_family,
     with_parts,
 )
-from ..operators.clean import platform_fixes, sanitize
+from ..operators.clean import platform_fixes, sanitize, with_snapshot
 from ..operators.handlers import HANDLERS
 from ..operators.marks import explode_candidates, mark_nodes
 from ..operators.locate import header_meta, locate_roots, page_selectors, readiness, resolve_title
 from ..operators.routing import route
-from ..operators.second import second_blocks, second_extraction
-from ..session import dealt
+from ..operators.merge import merge_extractions
+from ..operators.second import second_blocks, second_extraction, with_second
+from ..session import dealt, written
 from ..sources.adapters import CORPUS, Adapter
 from ..sources.html import parse_nodes
 
@@ -75,6 +76,41 @@ def extract_twice(pages: DataFrame, adapters: list[Adapter], handlers: dict | No
     return second_extraction(second_blocks(parts))
 
 
+SECOND = "#second"
+
+
+@dataclass
+class Merged:
+    """Block and head rows of the first extraction, blocks of the second, and both merged, with the counts of the merge."""
+
+    rows: DataFrame
+    second: DataFrame
+    blocks: DataFrame
+    stats: DataFrame
+
+
+def extract_merged(pages: DataFrame, adapters: list[Adapter], handlers: dict | None = None) -> Merged:
+    """Both extractions and their merge from one parse of each page.
+
+    A page is located and fixed once and then cleaned in two ways, the second keeping the attributes that the second
+    extraction reads. The candidates of both are written once; what follows reads that table.
+    """
+    rules = [*adapters, *[replace(a, id=a.id + SECOND, preserve=[*a.preserve, *UNCLEANED_ATTRS]) for a in adapters]]
+    fixed = platform_fixes(header_meta(ready_pages(parsed_pages(pages, adapters), adapters), adapters), adapters)
+    twice = fixed.withColumn("adapter_id", F.explode_outer(F.array("adapter_id", F.concat("adapter_id", F.lit(SECOND)))))
+    clean = with_snapshot(sanitize(twice, rules), rules)
+    typed = with_family(with_facts(explode_candidates(mark_nodes(clean, rules))))
+    parts = with_second(with_parts(typed, HANDLERS if handlers is None else handlers, rules))
+    both = written(finish_blocks(parts, carry=("second",)), "candidates")
+    is_second = F.endswith("adapter_id", F.lit(SECOND))
+    rows = number_blocks(group_lists(suppress_consumed(both.filter(~is_second).drop("second"))))
+    second = second_extraction(both.filter(is_second & (F.col("node_id") >= 0)).select("page_id", "node_id", "second.*"))
+    clean_side = rows.filter("block_pos >= 0").select("page_id", "block_pos", "block_id", "block")
+    blocks, stats = merge_extractions(second, clean_side, "page_id")
+    heads = rows.filter("block_pos < 0").select("page_id", "adapter_id")
+    return Merged(rows, second, blocks, heads.join(stats, "page_id", "left").na.fill(0))
+
+
 def blocks_of(rows: DataFrame) -> DataFrame:
     """The `blocks` table."""
     return rows.filter("block_pos >= 0").select("page_id", "adapter_id", "block_pos", "block_id", "node_id", "block.*")

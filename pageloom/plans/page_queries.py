@@ -3,10 +3,17 @@ blocks make of markup that the given pages do not contain."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import articles as art
+from ..operators import reports as rep
+from ..sources.adapters import X_ARTICLE
 from ..sources.html import parse_nodes
+from .extract import extract_merged
 from .more_queries import query
 from .queries import table
 
@@ -65,3 +72,173 @@ def h1_misnested_markup(spark, d):
         t["texts"].alias("text")))
     rows = parsed.select("page_id", F.posexplode(placed).alias("text_seq", "t"))
     return rows.select("page_id", F.col("text_seq").cast("bigint").alias("text_seq"), "t.path", "t.text")
+
+
+# ---- articles with marked blocks: both extractions, their merge and the reports on them ----------
+POST_RULES = [replace(X_ARTICLE, min_blocks=None, min_text=None, required=[], validation=None)]
+
+
+def _marked(inner: str, more: str = "") -> str:
+    return f'<div data-block="true"{more}>{inner}</div>'
+
+
+def _said(text: str) -> str:
+    return f'<span data-text="true">{text}</span>'
+
+
+def _post(body: str) -> str:
+    return ('<div data-testid="twitterArticleReadView"><div data-testid="twitter-article-title">Title {x}</div>'
+            f'<div data-testid="longformRichTextComponent">{body}</div></div>')
+
+
+_LINK = '<a href="https://l.test/{x}">' + _said("link") + "</a>"
+_ITEM = ' data-block="true" class="public-DraftStyleDefault-orderedListItem"'
+#: Markup of a kind of page. Per kind: what the first and the second extraction make (type, text, link, target), the merge, and
+#: the changes of the list fix, quotes of the clean tree, differing low-risk counts and issues.
+ARTICLES = [
+    dict(html="<div>{x}</div>", first=[], second=[], merge=[], issues="missing-readView,missing-longform,missing-title", whole=0),
+    dict(html='<div data-testid="twitterArticleReadView"><div data-testid="twitter-article-title">Title {x}</div></div>',
+         first=[], second=[], merge=[], issues="missing-longform", whole=0),
+    dict(html=_post(_marked(_said("{x}") + _LINK) + _marked(_said("{y}"))), first=["paragraph:{x}link", "paragraph:{y}"],
+         second=["paragraph:{x}link", "paragraph:{y}"], merge=["c0", "c1"], ranges=1),
+    dict(html=_post(_marked(_said("{x}")) + _marked(_said("{y}"), ' class="longform-header-one"')), first=["paragraph:{x}", "heading:{y}"],
+         second=["paragraph:{x}", "heading:{y}"], merge=["c0", "c1"], fix=1, issues="no-link-semantics"),
+    dict(html=_post(f"<ol><li{_ITEM}>" + _said("{x}") + f"</li><li{_ITEM}>" + _said("{y}") + "</li></ol>" + _marked(_said("{z}") + _LINK)),
+         first=["list:{x}/{y}", "paragraph:{z}link"], second=["list:{x}/{y}", "paragraph:{z}link"], merge=["c0", "c1"], fix=2, lists=1, ranges=1),
+    dict(html=_post('<ol><li data-block="true">' + _said("{x}") + '</li><li data-block="true">' + _said("{y}") + "</li></ol>" + _marked(_said("{z}") + _LINK)),
+         first=["paragraph:{x}", "paragraph:{y}", "paragraph:{z}link"], second=["list:{x}/{y}", "paragraph:{z}link"], merge=["p0", "c2"], lists=1, ranges=1,
+         diffs=2, issues="fallback-blocks:1,low-risk-count-diff,list-fix-noop"),
+    dict(html=_post(_marked("iv) {x}") + _marked(_said("{z}") + _LINK)), first=["paragraph:iv) {x}", "paragraph:{z}link"],
+         second=["list:iv) {x}", "paragraph:{z}link"], merge=["p0", "c1"], lists=1, ranges=1, diffs=2,
+         issues="fallback-blocks:1,low-risk-count-diff,list-fix-noop"),
+    dict(html=_post(_marked('<a href="https://l.test/{y}" target="_blank">{x}</a>') + _marked(
+        '<div data-testid="tweetPhoto"><div data-testid="videoPlayer"><video src="https://v.test/{x}.mp4"></video></div></div>') + _marked(_said("{y}"))),
+         first=["paragraph:{x}", "paragraph:{y}"], second=["link:{x}", "gif:", "paragraph:{y}"], merge=["p0", "p1", "c1"], links=1, high=1, only=1, diffs=1),
+    dict(html=_post(_marked('<div data-testid="simpleTweet"><div data-testid="tweet"><div data-testid="User-Name"><span>{x}</span><span>@{x}</span></div>'
+                            '<a href="/{x}/status/9">s</a><div data-testid="tweetText">{y}</div></div></div>') + _marked(_said("{z}") + _LINK)),
+         first=["simple-tweet:", "paragraph:{z}link"], second=["simple-tweet:", "paragraph:{z}link"], merge=["c0", "c1"], posts=1, quotes=2, ranges=1),
+    dict(html=_post(_marked(_said("{x}") + _LINK) + _marked('<div role="separator"></div>') + _marked(_said("{y}"))),
+         first=["paragraph:{x}link", "divider:", "paragraph:{y}"], second=["paragraph:{x}link", "paragraph:{y}"], merge=["c0", "c1", "c2"], ranges=1),
+]
+ARTICLE_HTML = cases("page_id", *[joined(a["html"]) for a in ARTICLES])
+
+
+def _values(rows: list[tuple]) -> str:
+    show = lambda v: "null" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+
+
+def _filled(text: str) -> str:
+    return f"replace(replace(replace({text}, '{{x}}', x), '{{y}}', y), '{{z}}', z)"
+
+
+def _blocks_twin(side: str) -> str:
+    rows = [(k, n, *b.split(":", 1)) for k, a in enumerate(ARTICLES) for n, b in enumerate(a[side])]
+    return f"""
+        with {SPELLED}, b(kind, block_pos, type, t) as (values {_values(rows)})
+        select page_id, block_pos::bigint as block_pos, type, {_filled('t')} as text from p join b on kind = page_id % {len(ARTICLES)}"""
+
+
+@lru_cache(maxsize=4)
+def merged_articles(spark, d):
+    pages = spelled(spark, d, ARTICLE_HTML).withColumn("url", F.concat(F.lit("https://x.com/u/article/"), "page_id"))
+    return extract_merged(pages, POST_RULES)
+
+
+def shown() -> Column:
+    return F.coalesce(F.array_join(F.transform("block.items", lambda i: i["text"]), "/"), "block.text", F.lit("")).alias("text")
+
+
+@query(_blocks_twin("second"))
+def b23_second_extraction(spark, d):
+    blocks = merged_articles(spark, d).second
+    return blocks.select("page_id", F.col("block_pos").cast("bigint").alias("block_pos"), F.col("block.type").alias("type"), shown())
+
+
+@query(_blocks_twin("first"))
+def b2_marked_blocks(spark, d):
+    rows = merged_articles(spark, d).rows.filter("block_pos >= 0")
+    return rows.select("page_id", F.col("block_pos").cast("bigint").alias("block_pos"), F.col("block.type").alias("type"), shown())
+
+
+def _merge_twin() -> str:
+    rows = []
+    for k, a in enumerate(ARTICLES):
+        for n, source in enumerate(a["merge"]):
+            side, i = a["first" if source[0] == "c" else "second"], int(source[1:])
+            rows.append((k, n, *side[i].split(":", 1)))
+    return f"""
+        with {SPELLED}, b(kind, place, type, t) as (values {_values(rows)})
+        select page_id, place::bigint as place, type, {_filled('t')} as text from p join b on kind = page_id % {len(ARTICLES)}"""
+
+
+@query(_merge_twin())
+def a5_merge_of_both(spark, d):
+    """What the merge of both extractions holds, in order."""
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("order")) - 1
+    return merged_articles(spark, d).blocks.select("page_id", place.cast("bigint").alias("place"), F.col("block.type").alias("type"), shown())
+
+
+def _facts() -> str:
+    """Per kind of page: counts that follow from the blocks above, and those that are stated."""
+    rows = []
+    for k, a in enumerate(ARTICLES):
+        kept = a["merge"]
+        replaced = sum(s[0] == "c" and not a["first"][int(s[1:])].startswith("divider") for s in kept)
+        aside = a.get("high", 0) + a.get("only", 0)
+        fallback = sum(s[0] == "p" for s in kept) - aside
+        rows.append((k, len(a["second"]), len(a["first"]), a.get("lists", 0), a.get("posts", 0), a.get("links", 0), a.get("ranges", 0), a.get("diffs", 0),
+                     replaced, fallback, a.get("high", 0), a.get("only", 0), a.get("fix", 0), a.get("quotes", 0), a.get("issues", "")))
+    return ("f(kind, primary_blocks, clean_blocks, n_lists, n_posts, n_links, link_ranges, n_count_diffs, replaced, fallback, high_risk, primary_only, "
+            f"list_fix_changed, snapshot_quotes, issues) as (values {_values(rows)})")
+
+
+NUMBERS = ["primary_blocks", "clean_blocks", "n_lists", "n_posts", "n_links", "link_ranges", "n_count_diffs", "replaced", "fallback", "high_risk",
+           "primary_only", "list_fix_changed", "snapshot_quotes"]
+REPORT = f"with {SPELLED}, {_facts()}, r as (select * from p join f on kind = page_id % {len(ARTICLES)})"
+
+
+def article_report(spark, d) -> DataFrame:
+    m = merged_articles(spark, d)
+    return rep.page_report(m.rows, m.second, m.stats.drop("adapter_id"))
+
+
+@query(f"{REPORT} select page_id, case when kind > 0 then 'Title ' || x else '' end as title, {', '.join(f'{n}::bigint as {n}' for n in NUMBERS)} from r")
+def g7_article_report(spark, d):
+    return article_report(spark, d).select("page_id", "title", *NUMBERS)
+
+
+@query(f"{REPORT} select page_id, issues from r")
+def g4_article_issues(spark, d):
+    return rep.flag_issues(article_report(spark, d)).select("page_id", F.array_join("issues", ",").alias("issues"))
+
+
+@query(f"""{REPORT} select kind::bigint as kind, count(*) as samples, count(*) filter (issues <> '') as with_issues, count(*) filter (fallback > 0) as with_fallback,
+    count(*) filter (issues like 'missing-%') as missing_selectors, sum(primary_blocks)::bigint as primary_blocks, sum(clean_blocks)::bigint as clean_blocks
+    from r group by kind""")
+def g5_article_rollup(spark, d):
+    flagged = rep.flag_issues(article_report(spark, d)).withColumn("kind", F.col("page_id") % len(ARTICLES))
+    return rep.corpus_rollup(flagged, "kind")
+
+
+@query(f"{REPORT} select page_id, 'x.article' as adapter_id, 'x' as platform, replaced::bigint as replaced, fallback::bigint as fallback, high_risk::bigint as high_risk, primary_only::bigint as primary_only from r")
+def a7_extraction_diagnostics(spark, d):
+    return art.extraction_diagnostics(merged_articles(spark, d).stats, POST_RULES)
+
+
+@query(f"""{REPORT}, fixes(id, own) as (values ('expand-folded-tweet-text', 0), ('normalize-handwritten-ordered-list', 1), ('preserve-svg-emoji', 0),
+      ('capture-x-video-hls', 0), ('preserve-x-media-caption', 0), ('preserve-x-media-layout', 0))
+    select page_id, id as fix, true as applied, case when own = 1 then list_fix_changed when id = 'capture-x-video-hls' and kind = 7 then 1
+      when id = 'expand-folded-tweet-text' and kind = 8 then 1 else 0 end::bigint as changed from r, fixes""")
+def h5_platform_fixes(spark, d):
+    heads = merged_articles(spark, d).rows.filter("block_pos < 0")
+    found = heads.select("page_id", F.explode("page.fixes").alias("f"))
+    return found.select("page_id", F.col("f.id").alias("fix"), "f.applied", F.col("f.changed").cast("bigint").alias("changed"))
+
+
+@query(f"""{REPORT} select page_id, 'link' as type, x as text, 'https://l.test/' || y as href, '_blank' as target, null as src from r where kind = 7
+    union all select page_id, 'gif', null, null, null, 'https://v.test/' || x || '.mp4' from r where kind = 7""")
+def b13_links_and_gifs(spark, d):
+    """An element that is one link, and a player with a source of its own."""
+    found = merged_articles(spark, d).second.filter("block.type in ('link', 'gif')")
+    return found.select("page_id", "block.type", "block.text", "block.href", "block.target", F.col("block.video.src").alias("src"))

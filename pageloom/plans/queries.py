@@ -36,7 +36,7 @@ from ..sources.pages import read_pages
 from ..session import dealt
 from ..streaming import progress as prog
 from ..streaming import stability as stab
-from .extract import blocks_of, extract, pages_of, parsed_pages, ready_pages
+from .extract import Merged, blocks_of, extract, extract_merged, pages_of, parsed_pages, ready_pages
 
 SITES = [EXAMPLE_ARTICLE]
 # The navigation of the same pages, read as an article of its own.
@@ -504,27 +504,14 @@ def g3_diff_counts(spark, d):
     return rep.diff_counts(nodes, tokens)
 
 
+@lru_cache(maxsize=4)
+def merged_of(spark: SparkSession, sf_dir: str) -> Merged:
+    return extract_merged(pages(spark, sf_dir), SITES)
+
+
 def _report(spark, d) -> DataFrame:
-    """Page facts, block counts and selector counts in one pass over the block rows."""
-    rows = rows_of(spark, d)
-    is_block = F.col("block_pos") >= 0
-    count = lambda cond: big(F.sum(F.when(cond, 1).otherwise(0)))
-    kind = F.col("block.type")
-    links = F.size(F.filter("block.annotations", lambda r: r["href"].isNotNull()))
-    page = rows.groupBy("page_id").agg(
-        F.first("page", ignorenulls=True).alias("page"), count(is_block).alias("clean_blocks"),
-        count(kind == "list").alias("n_lists"), count(kind == "simple-tweet").alias("n_posts"),
-        count(kind == "link").alias("n_links"),
-        big(F.sum(F.greatest(F.coalesce(links, F.lit(0)), F.lit(0)))).alias("link_ranges"),
-    )
-    return page.select(
-        "page_id", "page.url", "page.title", (F.col("page.not_ready") != "missing_article_root").alias("has_root"),
-        *[c for c in page.columns if c not in ("page_id", "page")],
-    ).withColumns({
-        "root_found": F.coalesce("has_root", F.lit(True)), "body_found": F.coalesce("has_root", F.lit(True)),
-        "fallback": F.lit(0).cast("bigint"), "n_count_diffs": F.lit(0), "list_fix_changed": F.lit(0), "snapshot_quotes": F.lit(0),
-        "primary_blocks": F.col("clean_blocks"),
-    })
+    m = merged_of(spark, d)
+    return rep.page_report(m.rows, m.second, m.stats.drop("adapter_id"))
 
 
 @query
@@ -541,7 +528,7 @@ def g5_corpus_rollup(spark, d):
 
 @query
 def g7_extraction_report(spark, d):
-    return _report(spark, d).select("page_id", "title", "clean_blocks", "n_lists", "link_ranges")
+    return _report(spark, d).select("page_id", "title", "clean_blocks", "primary_blocks", "fallback", "n_lists", "link_ranges", "snapshot_quotes")
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +71,10 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="pageloom-local-")
     return _local_folders[app]
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a written table of the shared folder: computed once, whatever reads it, and not lost with an executor."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
