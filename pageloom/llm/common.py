@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, written  # noqa: F401
+
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXTS_PER_BATCH = "2000"
@@ -24,27 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_local_folders: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local session that names none gets a temporary one; a cluster must name it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="pageloom-local-")
-    return _local_folders[app]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a written Parquet table of the shared folder: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def drop_written(df: DataFrame) -> None:
+    """Deletes a table that `written` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/".removeprefix("file:")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.search(re.escape(root) + r"[\w-]+-[0-9a-f]{32}$", folder):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -6,7 +6,8 @@
    of their prefixes, e growing with the set. Prefixes are dealt out by shingle and sorted; a class stays only if enough
    of its prefix occurs in other classes too. Passages that many documents share do not keep them.
 3. Classes that share a prefix shingle meet at that shingle's smallest class, their leader. A class goes to few leaders,
-   as near copies share most shingles. Groups beyond `chunk` members are dealt out as pairs of chunks.
+   as near copies share most shingles. In groups beyond `chunk` members each chunk meets the group's smallest class first,
+   and only what is not connected with that meets the other chunks.
 4. In each group signature trees hold OR-combined bitmaps and size ranges; a dual traversal skips node pairs whose
    greatest possible overlap is too small, and classes that are already connected. What is left may link; its connected
    components are the candidate groups.
@@ -39,6 +40,7 @@ FANOUT = 8
 BATCH_TOKENS = 1 << 21
 COMMON_SHARE = 1_000  # a shingle in one of so many documents counts as common
 MAX_SEEN = 1 << 18  # fingerprints a task remembers so as not to send a copy's prefix twice
+BROADCAST_IDS = 1 << 20  # so many ids at most are broadcast
 MAX_COMMON = 1 << 16  # so many of the most common ones are put last; the order changes no result
 
 
@@ -338,12 +340,50 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], np.array([r["n"].bit_length() for r in rows], np.int64)[order]
 
 
-def dealt(members: DataFrame, group: str, chunk: int) -> DataFrame:
-    """Adds chunk, one, two to (group, rep): a group beyond `chunk` members becomes pairs of chunks that meet."""
-    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    met = members.join(sizes, group).withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return met.select(group, "rep", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk")
+def of_wanted(df: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """Rows of df whose `rep` is wanted (one row per rep). Few reps are broadcast, so df stays where it is; more are joined."""
+    return df.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted.hint("shuffle_merge"), "rep", "left_semi")
+
+
+def meet(rows: DataFrame, group: str, percent: int) -> DataFrame:
+    """Edges from the rows (group, one, two, chunk, rep, ...) that meet."""
+    return rows.groupBy(group, "one", "two").applyInArrow(lambda key, own: group_edges(key, own, percent), "a long, b long")
+
+
+def group_links(members: DataFrame, payload: DataFrame, group: str, percent: int, chunk: int) -> DataFrame:
+    """Edges that connect all members (group, rep) of each group that link. payload: what is compared, a row per rep.
+
+    A group of up to `chunk` members meets in one task. Of a larger one each chunk meets by itself first, together with the
+    group's root (its smallest rep), so members like the root are connected after moving once. Only members that are not
+    connected with the root then meet the other chunks, in chunks of their own.
+    """
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("root"))
+    great = written(sizes.filter(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")), "great-groups")
+    zero = F.lit(0)
+    if not great.head(1):
+        return meet(members.select(group, "rep", zero.alias("one"), zero.alias("two"), zero.alias("chunk")).join(payload, "rep"), group, percent)
+    payload = written(payload, "compared")
+    few = F.broadcast if great.count() <= BROADCAST_IDS else (lambda df: df)
+    known = great.select(group, "root", "chunks")
+    small = members.join(few(known), group, "left_anti").select(group, "rep", zero.alias("chunk"))
+    chunk_of = F.pmod(F.xxhash64("rep", zero), F.col("chunks")).cast("int")
+    parts = members.join(few(known), group).select(group, "rep", "chunks", chunk_of.alias("chunk"))
+    roots = known.select(group, F.col("root").alias("rep"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"))
+    alone = small.unionByName(parts.select(group, "rep", "chunk")).unionByName(roots).distinct()
+    alone = alone.select(group, "rep", F.col("chunk").alias("one"), F.col("chunk").alias("two"), "chunk")
+    first = written(meet(alone.join(payload, "rep"), group, percent), "group-edges")
+
+    found = connected_components(first, "a", "b")
+    homes = known.join(found, found["node"] == known["root"], "left").select(group, F.coalesce("component", "root").alias("root_in"))
+    placed = parts.join(few(homes), group).join(found, found["node"] == parts["rep"], "left")
+    rest = written(placed.filter(F.coalesce("component", "rep") != F.col("root_in")).select(group, "rep", "chunks"), "unconnected")
+    counts = rest.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("rest_chunks"))
+    mine = rest.join(few(counts), group).withColumn("chunk", -1 - F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rest_chunks")).cast("int"))
+    mine = mine.select(group, "rep", F.col("chunk").alias("one"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("two"), "chunk")
+    others = parts.join(few(counts), group).select(
+        group, "rep", F.explode(F.sequence(-F.col("rest_chunks"), F.lit(-1))).alias("one"), F.col("chunk").alias("two"), "chunk")
+    second = meet(mine.unionByName(others).join(payload, "rep"), group, percent)
+    return first.unionByName(second)
 
 
 def candidate_groups(docs: DataFrame, digest: DataFrame, *, k: int, percent: int, chunk: int) -> DataFrame:
@@ -360,11 +400,11 @@ def candidate_groups(docs: DataFrame, digest: DataFrame, *, k: int, percent: int
     members = written(met.filter(enough).select("rep", F.explode("leaders").alias("leader")), "leader-members")
     several = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leader")
     members = members.join(several, "leader")
-    bits = digest.select(F.col("doc_id").alias("rep"), "fp1", "n_shingles", "bits").join(classes.select("rep", "fp1"), ["rep", "fp1"])
-    wanted = bits.join(members.select("rep").distinct(), "rep").dropDuplicates(["rep", "fp1"])
-    rows = dealt(members, "leader", chunk).join(wanted.drop("fp1"), "rep")
-    return connected_components(
-        rows.groupBy("leader", "one", "two").applyInArrow(lambda key, own: group_edges(key, own, percent), "a long, b long"), "a", "b")
+    members = written(members, "leader-groups")
+    wanted = members.select("rep").distinct()
+    bits = of_wanted(digest.select(F.col("doc_id").alias("rep"), "fp1", "n_shingles", "bits"), wanted, wanted.count())
+    bits = bits.join(classes.select("rep", "fp1"), ["rep", "fp1"]).dropDuplicates(["rep", "fp1"]).drop("fp1")
+    return connected_components(group_links(members, bits, "leader", percent, chunk), "a", "b")
 
 
 def link_edges(docs: DataFrame, digest: DataFrame, *, k: int, percent: int, chunk: int) -> DataFrame:
@@ -372,12 +412,10 @@ def link_edges(docs: DataFrame, digest: DataFrame, *, k: int, percent: int, chun
     found = candidate_groups(docs, digest, k=k, percent=percent, chunk=chunk)
     members = found.select(F.col("component").alias("home"), F.col("node").alias("rep")).unionByName(
         found.select(F.col("component").alias("home"), F.col("component").alias("rep")).distinct())
-    visits = dealt(members, "home", chunk).groupBy("rep").agg(F.collect_list(F.struct("home", "one", "two", "chunk")).alias("visits"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(visits, "rep").select("text", "rep", "visits")
-    kind = texts.schema["visits"].dataType.simpleString()
-    sets = texts.mapInArrow(lambda batches: set_batches(batches, k), f"rep long, visits {kind}, tokens binary")
-    met = sets.filter(F.length("tokens") > 0).select("rep", "tokens", F.inline("visits"))
-    return met.groupBy("home", "one", "two").applyInArrow(lambda key, rows: group_edges(key, rows, percent), "a long, b long")
+    members = written(members, "candidate-groups")  # a class is in one of them
+    texts = of_wanted(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), members.select("rep"), members.count())
+    sets = texts.select("text", "rep").mapInArrow(lambda batches: set_batches(batches, k), "rep long, tokens binary")
+    return group_links(members, sets.filter(F.length("tokens") > 0), "home", percent, chunk)
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
