@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..sources.keyed_store import KeyedStore
+from ..sources.pages import dump_stages, read_stage
 from ..streaming import captures as cap
 from ..streaming import progress as prog
 from .more_queries import REQUEST, SQL_SLOTS, query, sql_events
@@ -110,3 +111,16 @@ def st5_stream_progress(spark, d):
     store = store_of(spark, "reader_id bigint, article_id bigint, event_id bigint, unit_id string, updated_at bigint", keys, order)
     latest = prog.latest_progress(prog.parse_progress(raw).drop("focus_index"), keys, order)
     return run_into(latest, store).select("reader_id", "article_id", "unit_id", "updated_at")
+
+
+@query("""
+    select page_id, 'pages' as stage, url as value from pages union all select page_id, 'sizes', length(html)::varchar from pages where page_id % 2 = 0""")
+def s7_stage_dumps(spark, d):
+    """Two stages of a run dumped twice, the second time another choice of rows for one of them."""
+    p, path = table(spark, d, "pages"), f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
+    sizes = p.select("page_id", F.length("html").cast("string").alias("value"))
+    dump_stages(path, "first", pages=p.select("page_id", F.col("url").alias("value")), sizes=sizes)
+    dump_stages(path, "second", sizes=sizes)
+    dump_stages(path, "first", sizes=sizes.filter("page_id % 2 = 0"))
+    dumped = [read_stage(spark, path, s, "first").withColumn("stage", F.lit(s)) for s in ("pages", "sizes")]
+    return dumped[0].unionByName(dumped[1]).select("page_id", "stage", F.get_json_object("row", "$.value").alias("value"))

@@ -8,9 +8,10 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions.text import ASCII_MARKS, CJK_MARKS, WS
+from ..functions.udtf import register_table_functions
 from ..operators import units as un
 from .more_queries import query
-from .oracles import OCTET, WIDE, norm, protected_twin
+from .oracles import OCTET, ORACLES, SOLID, WIDE, norm, protected_twin
 from .queries import documents, table
 
 #: The documents as they are, and with their signs of junk spelled as marks, brackets and wide characters.
@@ -145,3 +146,39 @@ MARKED = """concat('see https://a.test/', cast(doc_id as varchar(20)), '?x=(1) o
 def r2_spans_of_every_kind(spark, d):
     marked = table(spark, d, "documents").select("doc_id", F.expr(MARKED).alias("text"))
     return un.protected_spans(marked, "text").groupBy("doc_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- table functions in SQL ---------------------------------------------------
+def sql_tables(spark, d, *names: str) -> None:
+    register_table_functions(spark)
+    for name in names:
+        table(spark, d, name).createOrReplaceTempView(f"given_{name}")
+
+
+@query(ORACLES["h1_parse_nodes"])
+def f4_parse_pages(spark, d):
+    """Elements per tag by the table function over a partitioned table."""
+    sql_tables(spark, d, "pages")
+    return spark.sql("""
+        select id as page_id, tag, count(*) as n
+        from parse_pages(table(select page_id as id, html from given_pages) partition by id) group by id, tag""")
+
+
+@query(f"""
+    select doc_id, length({SOLID.format('text')})::bigint as n_solid, length({norm('text')})::bigint as last_end from documents where {norm('text')} <> ''""")
+def f4_split_texts(spark, d):
+    sql_tables(spark, d, "documents")
+    return spark.sql(f"""
+        select id as doc_id, sum(length(regexp_replace(text, '[{WS}]+', ''))) as n_solid, cast(max(end) as bigint) as last_end
+        from split_texts(table(select doc_id as id, text from given_documents) partition by id) group by id""")
+
+
+@query(f"""
+    select conv_id, turn, length({SOLID.format('text')})::bigint as n_solid, length({norm('text')})::bigint as last_end from conversations
+    where {norm('text')} <> ''""")
+def f4_split_turns(spark, d):
+    """The function of one value, joined laterally to each turn."""
+    sql_tables(spark, d, "conversations")
+    return spark.sql(f"""
+        select c.conv_id, c.turn, sum(length(regexp_replace(u.text, '[{WS}]+', ''))) as n_solid, cast(max(u.end) as bigint) as last_end
+        from given_conversations c, lateral split_units(c.text) u group by c.conv_id, c.turn""")

@@ -21,9 +21,15 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path).select("page_id", "url", "html")
 
 
-def dump_stages(path: str, **stages: DataFrame) -> None:
-    """One table per stage name, partitioned by it, each row as JSON next to its page."""
+def dump_stages(path: str, run: str, **stages: DataFrame) -> None:
+    """Rows of each stage as JSON next to their page, partitioned by stage and run. A run that is repeated replaces its own
+    stages and no others."""
     for name, df in stages.items():
         rest = [c for c in df.columns if c != "page_id"]
-        row = df.select("page_id", F.lit(name).alias("stage"), F.to_json(F.struct(*rest)).alias("row"))
-        row.write.mode("append").partitionBy("stage").parquet(path)
+        row = df.select("page_id", F.to_json(F.struct(*rest)).alias("row"), F.lit(name).alias("stage"), F.lit(run).alias("run"))
+        row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "run").parquet(path)
+
+
+def read_stage(spark: SparkSession, path: str, stage: str, run: str) -> DataFrame:
+    """The rows (page_id, row) that a run dumped of a stage."""
+    return spark.read.parquet(path).filter((F.col("stage") == stage) & (F.col("run") == run)).select("page_id", "row")
