@@ -24,12 +24,12 @@ from ..functions.numbers import (
     positive_number,
     round_half_up,
 )
-from ..functions.text import normalize_prewrap, normalize_text
+from ..functions.text import normalize_text
 from ..functions.urls import absolute_post_url, safe_url
 from ..schema import COVER, EMBED, ITEM, MEDIA, METRICS, PHOTO, PREVIEW, QUOTED, QUOTED_ITEM, TWEET, VIDEO
 from .blocks import first_tag, make_block, under
 from .marks import is_
-from .richtext import component_annotations, shift_ranges
+from .richtext import component_annotations, emoji_text, shift_ranges
 from .tree import attr, first_of, let, make_struct
 
 HANDLERS: dict = {}
@@ -294,8 +294,10 @@ def _items(sub: Column, quotes: Column, ddl: str) -> Column:
 
     def build(own: Column) -> Column:
         text = _pick(own, lambda m: _named(m, "tweetText"))
-        text_item = let(normalize_prewrap(text["text"]), lambda t: F.when(t != "", make_struct(
-            ddl, node_id=text["node_id"], type=F.lit("text"), text=t)))
+        # emoji drawn as images read as their alt texts, and stay marked
+        written = let(text, lambda n: emoji_text(n, F.filter(own, lambda m: _inside(m, n)), F.col("own_texts")))
+        text_item = let(written, lambda t: F.when(t["text"] != "", make_struct(
+            ddl, node_id=text["node_id"], type=F.lit("text"), text=t["text"], annotations=t["annotations"])))
         cover = _pick(own, lambda m: _named(m, "article-cover-image"))
         picture = _pick(own, lambda m: (m["tag"] == "img") & _inside(m, cover))
         after = F.transform(F.filter(own, lambda m: (m["tag"] == "div") & F.coalesce(attr(m, "dir") == "auto", F.lit(False)) & (

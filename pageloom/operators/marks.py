@@ -261,6 +261,9 @@ def explode_candidates(marked: DataFrame) -> DataFrame:
             F.get(nodes, n["photo_id"])["photo"].alias("outer_photo"),
             let(kids, lambda k: (F.size(k) == 1) & is_(F.get(k, F.lit(0)), "divider")).alias("lone_divider"),
             F.when(is_(n, "ordered", "unordered", "data_block"), F.size(F.filter(inner, lambda m: m["live"]))).alias("live_below"),
+            F.when((n["special"] >= 0) | F.exists(inner, lambda m: m["special"] >= 0), F.transform(
+                F.slice("texts", n["text_from"] + 1, n["text_to"] - n["text_from"]),
+                lambda t, k: F.struct((k + n["text_from"]).alias("k"), t.alias("text")))).alias("own_texts"),
         )
 
     staged = marked.withColumn("rows", F.when(F.col("not_ready").isNull(), F.transform(found, row)))

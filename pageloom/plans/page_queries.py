@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators import articles as art
 from ..operators import reports as rep
-from ..sources.adapters import X_ARTICLE
+from ..session import written
+from ..sources.adapters import EXAMPLE_ARTICLE, SUBSTACK_ARTICLE, X_ARTICLE
 from ..sources.html import parse_nodes
-from .extract import extract_merged
+from .extract import blocks_of, extract, extract_merged
 from .more_queries import query
 from .queries import table
 
@@ -242,3 +243,137 @@ def b13_links_and_gifs(spark, d):
     """An element that is one link, and a player with a source of its own."""
     found = merged_articles(spark, d).second.filter("block.type in ('link', 'gif')")
     return found.select("page_id", "block.type", "block.text", "block.href", "block.target", F.col("block.video.src").alias("src"))
+
+
+# ---- blocks of every family ----------------------------------------------------------------------
+_FREE = dict(min_blocks=None, min_text=None, required=[], validation=None)
+GENERIC = replace(
+    EXAMPLE_ARTICLE, id="generic.article", platform="generic", hosts=["generic.test"], url_patterns=[], root_selector="[data-article-root]",
+    title_selector="[data-title]", content_selector="[data-content]", remove=["script", ".ad"], semantic={}, preserve=["width", "height", "colspan"], **_FREE)
+FAMILY_RULES = [GENERIC, replace(X_ARTICLE, **_FREE), replace(SUBSTACK_ARTICLE, **_FREE)]
+
+
+def _plain(body: str) -> tuple[str, str]:
+    return "https://generic.test/1", f"<article data-article-root><h1 data-title>T</h1><section data-content>{body}</section></article>"
+
+
+def _letter(body: str) -> tuple[str, str]:
+    return "https://substack.com/inbox/post/1", (
+        '<article class="newsletter-post post-viewer-post"><div><a href="/p/t">News</a></div>'
+        f'<div class="available-content"><div class="body markup">{body}</div></div></article>')
+
+
+def _thread(body: str) -> tuple[str, str]:
+    return "https://x.com/u/article/1", _post(body).replace("Title {x}", "T")
+
+
+_EMOJI = '<img alt="{0}" src="https://abs.twimg.com/emoji/v2/svg/{1}.svg">'
+_CARD = (
+    '<div data-block="true"><div data-testid="simpleTweet"><div data-testid="tweet"><div data-testid="User-Name"><span>{x}</span><span>@{x}</span></div>'
+    '<time datetime="2024-01-05">Jan 5</time><a href="/{x}/status/9">s</a><div data-testid="tweetText">%s</div>%s</div></div></div>')
+#: Queries, and for each its kinds of pages: markup and the lines of its blocks.
+FAMILIES: dict[str, list[tuple[tuple[str, str], list[str]]]] = {
+    "b7_code_and_tables": [
+        (_plain('<pre><code class="language-js">let {x} = 1;\n</code></pre><pre>{y}</pre><code>{z}</code>'),
+         ["code|let {x} = 1;|js", "code|{y}|", "code|{z}|"]),
+        (_plain('<table><tr><th>{x}</th><th colspan=2>{y}</th></tr><tr><td>1</td><td style="text-align: right">{z}</td><td></td></tr></table>'),
+         ["table|{x},th/{y},th,2//1/{z},right/"]),
+    ],
+    "b9_images_and_galleries": [
+        (_plain('<a href="/i/{x}"><picture><source srcset="{y}.png 1x"><img data-src="{x}.png" width="1600" height="900" alt="{z}"></picture></a><img src="{y}.jpg">'),
+         ["image|{x}.png,{y}.png 1x,{z},/i/{x},1.7778", "image|{y}.jpg"]),
+        (_plain('<figure><img src="{x}.png"><img src="{y}.png"><img src="{x}.png"><figcaption>{z}</figcaption></figure>'),
+         ["image-gallery|{x}.png/{y}.png", "paragraph|caption|{z}"]),
+        (_thread('<div data-block="true"><div data-testid="tweetPhoto"><img src="https://pbs.twimg.com/media/{x}?name=small" alt="{y}"></div></div>'
+                 '<div data-block="true"><span data-text="true" style="font-weight: bold">{x}</span> <span data-text="true">{z}</span></div>'),
+         ["image|https://pbs.twimg.com/media/{x}?name=small,{y}"] * 2 + ["paragraph|{x} {z}|bold"]),
+    ],
+    "b11_embeds_and_dividers": [
+        (_plain('<iframe src="https://www.youtube.com/embed/{x}" data-poster="{y}.png" title="{z}"></iframe><iframe data-src="https://vimeo.com/{y}"></iframe>'),
+         ["embed|youtube,YouTube,https://www.youtube.com/embed/{x},{z},{z},{y}.png", "embed|generic,Embed,https://vimeo.com/{y},Embed,Embed,"]),
+        (_plain('<p>{x}</p><hr><div role="separator"></div><p>{y}</p>'), ["paragraph|{x}", "divider|", "divider|", "paragraph|{y}"]),
+    ],
+    "b6_headings_quotes_and_lists": [
+        (_plain('<h3>{x}</h3><blockquote>{y}</blockquote><ol><li>1. {x}</li><li>{y}</li></ol><ul><li>{z}</li></ul>'),
+         ["heading|3|{x}", "quote|{y}", "list|ordered|{x}/{y}", "list|unordered|{z}"]),
+        (_plain('<p>{x} <a href="/l/{y}">{y}</a> <strong>{z}</strong></p>'), ["paragraph|{x} {y} {z}|/l/{y}/bold"]),
+    ],
+    "b14_site_components": [
+        (_letter("<p>{x}</p><a data-component-name=\"Twitter2ToDOM\" data-attrs='[\"full_text\":\"{y}\",\"username\":\"@{z}\",\"like_count\":1,"
+                 "\"date\":\"2024-01-05T16:05:00Z\"]' href=\"https://x.com/a/status/1\">t</a>"),
+         ["paragraph|{x}", "embed|x,X,https://x.com/a/status/1,{y},@{z},12:05 AM · Jan 6, 2024,1 Like,"]),
+        (_letter('<div data-component-name="Youtube2ToDOM"><iframe src="https://www.youtube-nocookie.com/embed/{x}"></iframe></div>'
+                 '<div data-component-name="VideoEmbedPlayer"><video src="blob:{x}" poster="/{y}.png"></video></div>'),
+         ["embed|youtube,YouTube,https://www.youtube-nocookie.com/embed/{x},YouTube video,YouTube video,",
+          "embed|substack,Substack,Substack video,Substack video,https://substack.com/{y}.png"]),
+        (_letter('<div data-component-name="FootnoteToDOM"><a class="footnote-number">2</a><div class="footnote-content">{x} <em>{y}</em></div></div>'
+                 '<div data-component-name="SubscribeWidget"><button data-href="https://s.test/{x}">{z}</button></div>'),
+         ["paragraph|Footnote 2: {x} {y}", "embed|substack,Substack,cta,https://s.test/{x},{z},{z},"]),
+        (_letter('<audio src="https://a.test/{x}.mp3"></audio><div data-component-name="Paywall"><h2>{y}</h2><a href="https://s.test/{z}">Upgrade</a></div><p>{z}</p>'),
+         ["embed|substack,Substack,https://a.test/{x}.mp3,Substack audio,Substack audio,", "embed|substack,Substack,https://s.test/{z},{y},{y}Upgrade,",
+          "paragraph|{z}"]),
+    ],
+    "b18_post_cards": [
+        (_thread(_CARD % ("{y}", '<div data-testid="tweetPhoto"><img src="https://pbs.twimg.com/media/{x}"></div>'
+                          '<div data-testid="tweetPhoto"><img src="https://pbs.twimg.com/media/{y}"></div>'
+                          '<div role="link"><div data-testid="User-Name"><span>{z}</span></div><div data-testid="tweetText">{z}q</div></div>')),
+         ["simple-tweet|{x} · @{x} · Jan 5,{y},https://x.com/{x}/status/9,text:{y}/photo-group:https://pbs.twimg.com/media/{x}+https://pbs.twimg.com/media/{y}/"
+          "quoted-tweet:{z}:{z}q"]),
+        (_thread(_CARD % ("  {y} " + _EMOJI.format("😀", "1f600") + "  and   " + _EMOJI.format("🎉", "1f389") + "{z} ", "")),
+         ["simple-tweet|{x} · @{x} · Jan 5,{y} 😀  and   🎉{z},https://x.com/{x}/status/9,text:{y} 😀  and   🎉{z}:1f600=😀+1f389=🎉"]),
+    ],
+}
+FAMILY_CASES = [case for kinds in FAMILIES.values() for case in kinds]
+
+
+def _line() -> Column:
+    """A block as one line: its type and what its family holds."""
+    img = lambda i: F.concat_ws(",", i["src"], i["srcset"], i["alt"], i["href"], i["aspect_ratio"].cast("string"))
+    each = lambda c, f, sep="/": F.array_join(F.transform(c, f), sep)
+    ranges = F.filter("annotations", lambda a: a["bold"] | a["href"].isNotNull())
+    cell = lambda c: F.concat_ws(",", c["text"], F.when(c["header"], "th"), c["col_span"].cast("string"), c["style"]["text-align"])
+    emoji = lambda i: F.array_join(F.transform(F.filter(i["annotations"], lambda a: a["emoji"].isNotNull()), lambda a: F.concat(
+        F.regexp_extract(a["emoji"], "([0-9a-f]+)\\.svg$", 1), F.lit("="), F.substring(i["text"], a["start"] + 1, a["end"] - a["start"]))), "+")
+    item = lambda i: F.concat_ws(":", i["type"], i["text"], F.nullif(emoji(i), F.lit("")), F.nullif(each(i["photos"], lambda p: p["src"], "+"), F.lit("")),
+                                 i["quoted"]["title"], i["quoted"]["excerpt"])
+    parts = {
+        "code": F.concat_ws("|", "text", F.coalesce("code.language", F.lit(""))), "image": img(F.col("image")), "image-gallery": each("gallery.items", img),
+        "table": each("table.rows", lambda r: each(r, cell), "//"), "list": F.concat_ws("|", "kind", each("items", lambda i: i["text"])),
+        "heading": F.concat_ws("|", F.col("level").cast("string"), "text"),
+        "embed": F.concat_ws(",", "embed.provider", "embed.label", "embed.presentation", "embed.href", "embed.title", "embed.text", "embed.author_handle", "embed.published_at_text", "embed.metrics.likes",
+            F.coalesce(each("embed.media", lambda m: m["src"]), F.lit(""))),
+        "simple-tweet": F.concat_ws(",", "tweet.title", "tweet.excerpt", "tweet.href", each("tweet.items", item)),
+    }
+    spoken = F.concat_ws("|", "role", "text", F.nullif(each(ranges, lambda a: F.coalesce(a["href"], F.lit("bold"))), F.lit("")))
+    shown_as = F.coalesce(*[F.when(F.col("type") == t, c) for t, c in parts.items()], F.when(F.col("type") == "divider", ""), spoken)
+    return F.concat(F.col("type"), F.lit("|"), shown_as)
+
+
+@lru_cache(maxsize=4)
+def family_blocks(spark, d) -> DataFrame:
+    """Blocks of all kinds of pages, extracted in one run."""
+    html = cases("page_id", *[joined(markup) for (_, markup), _ in FAMILY_CASES])
+    url = cases("page_id", *[f"'{u}'" for (u, _), _ in FAMILY_CASES])
+    pages = spelled(spark, d, html).withColumn("url", F.expr(url))
+    # braces of JSON, which the templates cannot hold
+    pages = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "data-attrs='\\[", "data-attrs='{"), "\\]' href", "}' href"))
+    return written(blocks_of(extract(pages, FAMILY_RULES)).select("page_id", "block_pos", _line().alias("line")), "family-blocks")
+
+
+def _family(name: str, first: int, kinds: list) -> None:
+    rows = [(first + k, n, line) for k, (_, lines) in enumerate(kinds) for n, line in enumerate(lines)]
+    sql = f"""
+        with {SPELLED}, b(kind, block_pos, t) as (values {_values(rows)})
+        select page_id, block_pos::bigint as block_pos, {_filled('t')} as line from p join b on kind = page_id % {len(FAMILY_CASES)}"""
+
+    def run(spark, d):
+        own = F.col("page_id") % len(FAMILY_CASES)
+        found = family_blocks(spark, d).filter((own >= first) & (own < first + len(kinds)))
+        return found.select("page_id", F.col("block_pos").cast("bigint").alias("block_pos"), "line")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+for _name, _kinds in FAMILIES.items():
+    _family(_name, FAMILY_CASES.index(_kinds[0]), _kinds)
