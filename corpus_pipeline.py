@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import jaccard_join, language_id, packing, substring_dedup, toxicity
-from pageloom.llm.common import shared_dir, short_batches, table
+from pageloom.llm.common import shared_dir, short_batches, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose text is clearly of another language than it claims goes; this is how clearly.
@@ -32,12 +32,28 @@ def languages_right(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return language_id.without_wrong_language(documents(docs), WRONG_LANGUAGE)
 
 
+def single_rows(docs: DataFrame) -> DataFrame:
+    """One row of each (doc_id, text), a missing id being one like others. Only rows whose id occurs again are moved."""
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("again"))
+    again = written(again, "repeated-ids")
+    n = again.count()
+    if not n:
+        return docs
+    marked = docs.join(F.broadcast(again) if n <= jaccard_join.BROADCAST_IDS else again, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    once = marked.filter("again is null").select(*COLUMNS)
+    return once.unionByName(marked.filter("again").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
+
+
 def near_copies_gone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7 on shingles of five words and a similarity of 0.8: of each group the document with the smallest id stays.
-    Documents that link with nothing, and rows without doc_id, stay."""
-    docs = documents(docs)
+
+    Rows that share a doc_id are one document, which goes or stays with all its texts; of repeated rows one stays. Documents
+    that link with nothing stay, and so do rows without doc_id, of which only repeats go. An empty table stays empty."""
+    docs = single_rows(documents(docs))
     near = jaccard_join.jaccard_components(docs, shingle=5, percent=80).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(near, "doc_id", "left_anti").select(*COLUMNS)
+    near = written(near, "near-copies")
+    gone = F.broadcast(near) if near.count() <= jaccard_join.BROADCAST_IDS else near
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeats_gone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -337,3 +337,19 @@ def test_pipeline_on_the_smallest_tables(spark):
     first, second = (sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert first == second and first
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_stages_on_awkward_tables(spark, edge, empty, labels, no_labels, tmp_path):
+    """Empty tables, repeated rows, missing ids, nulls in every column: no stage fails, repeats are judged once."""
+    import corpus_pipeline
+
+    labels.write.parquet(str(tmp_path / "some" / "labels.parquet"))
+    no_labels.write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path / "none")).count() == 0
+        stage(spark, edge, str(tmp_path / "some")).collect()
+    rows = [(1, PLAIN), (1, PLAIN), (2, PLAIN), (None, PLAIN), (None, PLAIN), (3, None), (3, None), (4, OTHER), (4, "another text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_copies_gone(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(
+        [(1, PLAIN), (None, PLAIN), (3, None), (4, OTHER), (4, "another text")], key=repr)
