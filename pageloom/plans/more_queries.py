@@ -3,6 +3,8 @@ both engines read the same way."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +15,12 @@ from ..functions import text as txt
 from ..functions import urls
 from ..operators import articles as art
 from ..operators.blocks import make_block
-from ..operators.merge import merge_extractions
+from ..operators.merge import block_equivalence_key, merge_extractions
 from ..operators import media_links as links
 from ..operators import reports as rep
 from ..operators import units as un
+from ..session import shared_dir
+from ..sources.articles import read_articles
 from ..streaming import captures as cap
 from ..streaming import stability as stab
 from .queries import table
@@ -417,3 +421,65 @@ def a8_upgrade_posts(spark, d):
         F.when((k == 3) & (F.col("event_id") % 5 == 0), "https://i.test/c").alias("cover_url"), F.lit("t").alias("title"), F.lit("h").alias("href"),
         F.when(k == 0, kept).alias("items"))
     return art.upgrade_posts(posts).select("event_id", F.array_join(F.transform("items", lambda i: i["type"]), ",").alias("kinds"))
+
+
+# ---- code tokens, equivalence keys, stored articles ------------------------------------------------
+CODE = "concat('const a', cast(k as varchar(20)), ' = \"s', cast(k as varchar(20)), '\"; return ', cast(event_id as varchar(20)), '; // note ', cast(k as varchar(20)))"
+HTML = "concat('<div class=\"c', cast(k as varchar(20)), '\">t', cast(event_id as varchar(20)), '</div>')"
+NOTES = "concat('# Head ', cast(k as varchar(20)), chr(10), '- item', chr(10), 'plain ', cast(event_id as varchar(20)))"
+TOKEN_KINDS = [("ts", CODE), ("html", HTML), ("md", NOTES)]
+
+
+@query(f"""
+    with {sql_events()}, t as (select event_id, k, unnest(case event_id % 3
+        when 0 then ['keyword:const', 'string:"s' || k || '"', 'keyword:return', 'number:' || event_id, 'comment:// note ' || k]
+        when 1 then ['tag:<div', 'keyword:class', 'string:"c' || k || '"', 'punctuation:>', 'tag:</div', 'punctuation:>']
+        else ['punctuation:#', 'heading: Head ' || k, 'punctuation:-'] end) as token,
+        generate_subscripts(case event_id % 3 when 0 then [1,2,3,4,5] when 1 then [1,2,3,4,5,6] else [1,2,3] end, 1) - 1 as pos from e where k is not null)
+    select event_id, pos::bigint as pos, token from t""")
+def t9_code_tokens(spark, d):
+    pick = lambda i: F.coalesce(*[F.when(F.col("event_id") % 3 == n, c[i]) for n, c in enumerate(
+        [(F.lit(lang), F.expr(sql)) for lang, sql in TOKEN_KINDS])])
+    e = events(spark, d).filter("k is not null")
+    tokens = media.code_tokens(pick(1), pick(0))
+    rows = e.select("event_id", F.posexplode(tokens).alias("pos", "t"))
+    return rows.select("event_id", F.col("pos").cast("bigint").alias("pos"), F.concat_ws(":", "t.kind", "t.token").alias("token"))
+
+
+SQL_SAME = f"trim(regexp_replace(regexp_replace(line, '[{txt.WS}]+', ' ', 'g'), ' +([{txt.PUNCTUATION_AFTER_SPACE}])', '\\1', 'g'), ' ')"
+
+
+@query(f"""
+    with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from documents),
+    s as (select doc_id, n % 4 as kind, case when n % 4 = 1 then n % 3 + 1 end as level, case when n % 4 = 3 then null else {SQL_SAME} end as body from l)
+    select doc_id, count(*) as n_blocks, count(distinct (kind, level, body)) as n_different from s group by 1""")
+def a6_equivalence_keys(spark, d):
+    """Lines as paragraphs, headings, quotes and dividers in turn: how many blocks of a document say something of their own."""
+    lines = un.paragraphs_of(table(spark, d, "documents"))
+    text = F.col("text")
+    kinds = [make_block("paragraph", text=text), make_block("heading", text=text, level=(F.col("block_pos") % 3 + 1).cast("int")),
+             make_block("quote", text=text), make_block("divider")]
+    block = F.element_at(F.array(*kinds), (F.col("block_pos") % 4 + 1).cast("int"))
+    keyed = lines.select(F.col("page_id").alias("doc_id"), block_equivalence_key(block).alias("key"))
+    return keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.countDistinct("key").alias("n_different"))
+
+
+@query("""
+    select doc_id % 6 as kind, case doc_id % 6 when 1 then 'missing_title' when 2 then 'missing_blocks' when 3 then 'broken_block' when 4 then 'corrupt_record'
+        when 5 then 'missing_id' else 'good' end as outcome, count(*) as n from documents group by 1, 2""")
+def s2_read_articles(spark, d):
+    """Documents written as stored articles, one JSON object a line, most kinds of them broken in some way, and read again."""
+    kind = F.col("doc_id") % 6
+    some = lambda c, k: F.when(kind != k, c)
+    block = F.struct(F.lit("b").alias("id"), some(F.lit("paragraph"), 3).alias("type"), F.substring("text", 1, 200).alias("text"))
+    article = F.to_json(F.struct(some(F.col("doc_id").cast("string"), 5).alias("id"), some(F.col("lang"), 1).alias("title"),
+                                 F.col("doc_id").alias("extractedAt"), some(F.array(block), 2).alias("blocks")))
+    line = F.when(kind == 4, F.concat(F.lit('{"extractedAt":'), "doc_id")).otherwise(article)
+    path = f"{shared_dir(spark)}/articles-{uuid.uuid4().hex}"
+    table(spark, d, "documents").select(line.alias("value")).write.text(path)
+    good, bad = read_articles(spark, path)
+    # a broken line keeps nothing but its own text
+    number = F.coalesce("extractedAt", F.regexp_extract("corrupt", "([0-9]+)$", 1).try_cast("bigint")) % 6
+    seen = bad.select(number.alias("kind"), F.col("problem").alias("outcome"))
+    return good.select((F.col("extractedAt") % 6).alias("kind"), F.lit("good").alias("outcome")).unionByName(seen).groupBy("kind", "outcome").agg(
+        F.count(F.lit(1)).alias("n"))

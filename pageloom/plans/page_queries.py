@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..operators import articles as art
 from ..operators import reports as rep
+from ..operators.clean import platform_fixes, sanitize
+from ..operators.locate import cover_image, locate_roots, post_metadata
+from ..operators.routing import route
 from ..session import written
-from ..sources.adapters import EXAMPLE_ARTICLE, SUBSTACK_ARTICLE, X_ARTICLE
+from ..sources.adapters import CORPUS, EXAMPLE_ARTICLE, SUBSTACK_ARTICLE, X_ARTICLE, adapters_df
 from ..sources.html import parse_nodes
-from .extract import blocks_of, extract, extract_merged
+from .extract import blocks_of, extract, extract_merged, parsed_pages
 from .more_queries import query
 from .queries import table
 
@@ -377,3 +380,70 @@ def _family(name: str, first: int, kinds: list) -> None:
 
 for _name, _kinds in FAMILIES.items():
     _family(_name, FAMILY_CASES.index(_kinds[0]), _kinds)
+
+
+# ---- cleaning and heads ----------------------------------------------------------------------------
+_HEAD = (
+    '<div data-testid="twitterArticleReadView"><a href="/a/photo/{y}"><div data-testid="tweetPhoto"><img src="https://pbs.twimg.com/media/{x}" alt="{z}"></div></a>'
+    '<div data-testid="twitter-article-title">T</div><div><div itemprop="author"><meta itemprop="name" content="{x}"><meta itemprop="additionalName" content="{y}">'
+    '</div><time datetime="2024-01-05">{z}</time></div><div role="group" aria-label="12 replies, 3.4K views"><div data-testid="reply"><span>12</span></div>'
+    '<div data-testid="like" aria-label="7 Likes"></div></div><div data-testid="longformRichTextComponent">%s</div></div>')
+#: Pages of articles and letters, and what is left of the attributes of their elements.
+CLEANED: list[tuple[tuple[str, str], list[tuple[str, str, str]]]] = [
+    (("https://x.com/u/article/1", _HEAD % (
+        '<p style="color: red; font-weight: 700; position: absolute">{x}</p><a href="/{x}" style="color: blue; margin: 0" onclick="f()">{y}</a>'
+        '<pre style="white-space: pre; color: red">{z}</pre><span data-text="true" style="font-size: 12px; text-align: center; float: left">q</span>'
+        '<script>x</script><button class="b">{z}</button>')),
+     [("div", "data-testid", "longformRichTextComponent"), ("p", "style", "color: red; font-weight: 700"), ("a", "href", "/{x}"), ("a", "style", "color: blue"),
+      ("pre", "style", "white-space: pre; color: red"), ("span", "data-text", "true"), ("span", "style", "font-size: 12px; text-align: center")]),
+    (("https://x.com/u/article/1", _HEAD % (
+        '<ul><li class="public-DraftStyleDefault-unorderedListItem {x}">{x}</li></ul><div class="public-DraftStyleDefault-orderedListItem" id="{y}">{y}</div>')),
+     [("div", "data-testid", "longformRichTextComponent"), ("li", "data-pl-list-kind", "unordered"), ("div", "data-pl-list-kind", "ordered")]),
+    (_letter('<div data-component-name="VideoEmbedPlayer"><div style="padding-bottom: 56.25%"></div></div><div><div style="background-image: url(https://i.test/{x})"></div>'
+             '<audio src="https://a.test/{y}.mp3"></audio></div><p style="font-style: italic; float:left">{z}</p>'),
+     [("article", "class", "newsletter-post post-viewer-post"), ("a", "href", "/p/t"), ("div", "class", "available-content"), ("div", "class", "body markup"),
+      ("div", "data-component-name", "VideoEmbedPlayer"), ("div", "data-pl-media-ratio", "1.7778"), ("audio", "src", "https://a.test/{y}.mp3"),
+      ("audio", "data-pl-media-cover", "https://i.test/{x}"), ("p", "style", "font-style: italic")]),
+]
+
+
+def cleaned_pages(spark, d) -> DataFrame:
+    pages = spelled(spark, d, cases("page_id", *[joined(h) for (_, h), _ in CLEANED]))
+    return locate_roots(parsed_pages(pages.withColumn("url", F.expr(cases("page_id", *[f"'{u}'" for (u, _), _ in CLEANED]))), FAMILY_RULES), FAMILY_RULES)
+
+
+@query(f"""
+    with {SPELLED}, b(kind, tag, name, t) as (values {_values([(k, *a) for k, (_, kept) in enumerate(CLEANED) for a in kept])})
+    select page_id, tag, name, {_filled('t')} as value from p join b on kind = page_id % {len(CLEANED)}""")
+def h7_kept_attributes(spark, d):
+    """H6-H8: attributes that cleaning leaves or adds, styles by their context."""
+    clean = sanitize(platform_fixes(cleaned_pages(spark, d), FAMILY_RULES), FAMILY_RULES)
+    live = F.filter("nodes", lambda n: n["live"])
+    kept = F.flatten(F.transform(live, lambda n: F.transform(F.map_entries(n["attrs"]), lambda e: F.struct(
+        n["tag"].alias("tag"), e["key"].alias("name"), e["value"].alias("value")))))
+    return clean.select("page_id", F.explode(kept).alias("k")).select("page_id", "k.*")
+
+
+@query(f"""with {SPELLED} select page_id, 'https://pbs.twimg.com/media/' || x as cover_src, z as cover_alt, 'https://x.com/a/photo/' || y as cover_href
+    from p where page_id % {len(CLEANED)} < 2""")
+def b20_cover_image(spark, d):
+    return cover_image(cleaned_pages(spark, d)).filter("cover_src is not null")
+
+
+@query(f"""with {SPELLED} select page_id, x as author_name, '@' || y as author_handle, '2024-01-05' as published_at, z as published_at_text, '12' as replies, '7' as likes
+    from p where page_id % {len(CLEANED)} < 2""")
+def b22_post_metadata(spark, d):
+    meta = post_metadata(cleaned_pages(spark, d)).filter("author_name is not null")
+    return meta.select("page_id", "author_name", "author_handle", "published_at", "published_at_text", "metrics.replies", "metrics.likes")
+
+
+@query("""with p as (select page_id, url from pages) select regexp_extract(url, '^https?://[^/?#]*?([a-z]+)(?:[:/?#]|$)', 1) as tld, 'example' as platform, 'article' as content_type,
+    3::bigint as min_blocks, count(*) as n from p where regexp_matches(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '(^|\\.)example\\.(com|net|org)$')
+      and regexp_matches(regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1), '^/[a-z]{2}/[0-9]+') group by all""")
+def s6_rules_of_pages(spark, d):
+    """Routed pages beside the rule that took them, from the rule table."""
+    routed = route(table(spark, d, "pages").select("page_id", "url"), CORPUS)
+    rules = adapters_df(spark, CORPUS).select("adapter_id", "platform", "content_type", F.col("readiness.min_blocks").cast("bigint").alias("min_blocks"))
+    tld = F.regexp_extract("url", "^https?://[^/?#]*?([a-z]+)(?:[:/?#]|$)", 1)
+    own = routed.select("adapter_id", tld.alias("tld")).join(F.broadcast(rules), "adapter_id")
+    return own.groupBy("tld", "platform", "content_type", "min_blocks").agg(F.count(F.lit(1)).alias("n"))
