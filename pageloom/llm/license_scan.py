@@ -7,7 +7,11 @@ the number of edits and the span. Exact phrases are found beside it. Every text
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right
+
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -67,41 +71,70 @@ def matchers(notices: list[tuple[str, str, int]]) -> list[regex.Pattern]:
     return [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, special_only=True)}){{e<={k}}}(?![^ ])") for n, _, k in notices]
 
 
-def fuzzy_spans(words: str, notices, automaton, patterns) -> list[tuple[int, int, int, int]]:
-    """(notice, edits, start, end) in a text of words joined by single spaces, without overlaps of one notice: of
-    overlapping ones that with the fewest edits stays. In the order of notices, then of places."""
-    places: dict[int, list[tuple[int, int]]] = {}
+def candidate_places(words: str, notices, automaton) -> dict[int, list[tuple[int, int]]]:
+    """Per notice the short ranges in which a match must lie, by its seeds. Places that edits alone set apart are one."""
+    begins: dict[int, list[int]] = {}
     for last, (size, uses) in automaton.iter(words):
         for i, at in uses:
-            notice, _, edits = notices[i]
-            begin = last + 1 - size - at
-            places.setdefault(i, []).append((max(0, begin - edits - 1), min(len(words), begin + len(notice) + edits + 1)))
+            begins.setdefault(i, []).append(last + 1 - size - at)
+    places: dict[int, list[tuple[int, int]]] = {}
+    for i, found in begins.items():
+        notice, _, edits = notices[i]
+        found.sort()
+        first = found[0]
+        for begin, following in zip(found, [*found[1:], None], strict=True):
+            if following is None or following - first > edits:
+                places.setdefault(i, []).append((max(0, first - edits - 1), min(len(words), begin + len(notice) + edits + 1)))
+                first = following
+    return places
+
+
+def fuzzy_spans(words: str, notices, automaton, patterns) -> list[tuple[int, int, int, int]]:
+    """(notice, edits, start, end) in a text of words joined by single spaces, without overlaps of one notice: of
+    overlapping ones that with the fewest edits stays, then the one further in front. In the order of notices, then of places.
+
+    Every place is searched in its own short range; one that overlaps a better match is searched again beside it."""
     found = []
-    for i, ranges in sorted(places.items()):
-        ranges.sort()
-        joined = [list(ranges[0])]
-        for a, b in ranges[1:]:
-            if a <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], b)
-            else:
-                joined.append([a, b])
-        own, rest = [], [(a, b) for a, b in joined]
-        while rest:  # the best match of a range first, then what lies before and behind it
-            a, b = rest.pop()
+    for i, ranges in sorted(candidate_places(words, notices, automaton).items()):
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def look(a: int, b: int) -> None:
             if (m := patterns[i].search(words, a, b)) is not None and m.end() > m.start():
-                own.append((i, sum(m.fuzzy_counts), m.start(), m.end()))
-                rest += [(a, m.start()), (m.end(), b)]
-        found += sorted(own, key=lambda x: x[2])
+                heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        for a, b in ranges:
+            look(a, b)
+        starts: list[int] = []  # matches that stay, in order
+        ends: list[int] = []
+        edits: list[int] = []
+        while heap:
+            n, start, end, a, b = heapq.heappop(heap)
+            k = bisect_right(starts, start)
+            if k and ends[k - 1] > start:
+                k -= 1
+            if k < len(starts) and starts[k] < end and ends[k] > start:
+                look(a, min(b, starts[k]))
+                look(max(a, ends[k]), b)
+                continue
+            starts.insert(k, start)
+            ends.insert(k, end)
+            edits.insert(k, n)
+        found += [(i, n, start, end) for n, start, end in zip(edits, starts, ends, strict=True)]
     return found
 
 
+def word_starts(words: str) -> np.ndarray:
+    """Places of the spaces, so that the number of a word is how many lie before it."""
+    return np.flatnonzero(np.frombuffer(words.encode("utf-32-le"), np.uint32) == 32)
+
+
 def phrase_starts(words: str) -> list[tuple[int, str]]:
-    """(number of the first word, label) of every place of a phrase."""
+    """(place of the first word, label) of every place of a phrase."""
     framed, out = f" {words} ", []
     for phrase, label in PHRASES.items():
         at = framed.find(f" {phrase} ")
         while at >= 0:
-            out.append((framed.count(" ", 0, at), label))
+            out.append((at, label))
             at = framed.find(f" {phrase} ", at + 1)
     return out
 
@@ -115,7 +148,9 @@ def scan_batches(batches, notices: list[tuple[str, str, int]]):
             words = b" ".join(parts).decode()
             base = phrase_starts(words)
             fuzzy = fuzzy_spans(words, notices, automaton, patterns)
-            starts = [at for at, _ in base]
+            spaces = word_starts(words) if base or fuzzy else None
+            number = lambda at: int(np.searchsorted(spaces, at))  # noqa: B023, E731
+            starts = [number(at) for at, _ in base]
             base_labels = {label for _, label in base}
             rows.append({
                 "doc_id": doc_id, "n_words": len(parts), "n_base": len(base),
@@ -124,8 +159,8 @@ def scan_batches(batches, notices: list[tuple[str, str, int]]):
                 "labels": ",".join(sorted(base_labels | {notices[i][1] for i, *_ in fuzzy})),
                 "score": 1.0 if base else max((1 - e / (notices[i][2] + 1) for i, e, *_ in fuzzy), default=0.0),
                 "spans": [
-                    {"label": notices[i][1], "edits": e, "first_word": words.count(" ", 0, a + (words[a:a + 1] == " ")),
-                     "last_word": words.count(" ", 0, b - (words[b - 1:b] == " ")), "matched": words[a:b].strip()}
+                    {"label": notices[i][1], "edits": e, "first_word": number(a + (words[a:a + 1] == " ")),
+                     "last_word": number(b - (words[b - 1:b] == " ")), "matched": words[a:b].strip()}
                     for i, e, a, b in fuzzy
                 ],
             })
@@ -146,7 +181,8 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str, int]] | None = N
     1 - edits / (bound + 1) of the best notice, else 0) and spans: label, edits, first and last word, matched words.
 
     Null and empty texts have no words and no labels. Repeated rows and rows without doc_id are scanned like others. Other
-    columns are ignored; an empty table gives an empty result. Memory is that of one Arrow batch of texts.
+    columns are ignored; an empty table gives an empty result. Labels are sorted, and of notices that match with equally many
+    edits all are listed. Memory is that of one Arrow batch of texts; a long text costs its length and its notices.
     """
     notices = NOTICES if notices is None else notices
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
