@@ -59,10 +59,6 @@ def likeness(leaves: Column, others: Column) -> Column:
     return 2 * F.size(F.array_intersect(leaves, others)) / (F.size(leaves) + F.size(others))
 
 
-def root(fingerprint: Column) -> Column:
-    return F.substring(fingerprint, 2, 64)
-
-
 def differing_branches(one: Column, other: Column) -> Column:
     """Where two fingerprints differ, as array<struct<section, paragraph>> numbered from 0: only unequal sections are
     gone into, and of those only paragraphs with unequal digests are named. Missing branches differ."""
@@ -113,7 +109,8 @@ def fingerprints(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFram
 
     The edited text is the text with its last floor(n_chars / 4) code points replaced by the first as many (or all) of
     the next document's. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
-    near_next (`likeness` to the edited text's and to the next document's fingerprint).
+    near_next (`likeness` to the edited text's and to the next document's fingerprint), and differing, the paragraphs in which
+    both trees differ (`differing_branches`). A very long text is one row, whole in one task.
 
     Null texts are read as empty: one leaf, the empty run. A table of one document is its own successor; an empty table
     gives an empty result. Other columns are ignored. See `with_next_text` for repeated and missing ids."""
@@ -128,11 +125,13 @@ def fingerprints(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFram
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint_leaves"), F.col("edited_fingerprint_leaves")).alias("near_edited"),
         likeness(F.col("fingerprint_leaves"), F.col("next_leaves")).alias("near_next"),
+        differing_branches(F.col("fingerprint"), F.col("edited_fingerprint")).alias("differing"),
     )
 
 
 def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    branches = F.array_join(F.transform("differing", lambda b: F.concat_ws(".", b["section"], b["paragraph"])), ",")
+    return fingerprints(table(spark, sf_dir, "documents")).withColumn("differing", branches)
 
 
 def _sql_tree(text: str) -> str:
@@ -154,6 +153,13 @@ def _sql_near(a: str, b: str) -> str:
     return f"2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b}))"
 
 
+def _sql_differing(a: str, b: str) -> str:
+    """Section.paragraph wherever the runs differ."""
+    paragraphs = f"greatest(coalesce(len({a}[i + 1]), 0), coalesce(len({b}[i + 1]), 0))"
+    named = f"list_transform(range({paragraphs}), lambda j: case when {a}[i + 1][j + 1] is distinct from {b}[i + 1][j + 1] then i || '.' || j end)"
+    return f"array_to_string(list_filter(flatten(list_transform(range(greatest(len({a}), len({b}))), lambda i: {named})), lambda x: x is not null), ',')"
+
+
 SQL = rf"""
 with texts as (
     select doc_id, coalesce(text, '') as text from documents
@@ -169,6 +175,7 @@ with texts as (
     select *, list_distinct(flatten(flatten(t))) as tl, list_distinct(flatten(flatten(e))) as el, list_distinct(flatten(flatten(x))) as xl from trees
 )
 select doc_id, n_chars, sha256(edited) as edited_sha256, {_sql_fingerprint('t')} as fingerprint,
-    {_sql_fingerprint('e')} as edited_fingerprint, {_sql_near('tl', 'el')} as near_edited, {_sql_near('tl', 'xl')} as near_next
+    {_sql_fingerprint('e')} as edited_fingerprint, {_sql_near('tl', 'el')} as near_edited, {_sql_near('tl', 'xl')} as near_next,
+    {_sql_differing('t', 'e')} as differing
 from leaves
 """
