@@ -447,3 +447,21 @@ def s6_rules_of_pages(spark, d):
     tld = F.regexp_extract("url", "^https?://[^/?#]*?([a-z]+)(?:[:/?#]|$)", 1)
     own = routed.select("adapter_id", tld.alias("tld")).join(F.broadcast(rules), "adapter_id")
     return own.groupBy("tld", "platform", "content_type", "min_blocks").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RANGED = _plain('<p>{x} <a href="/l/{y}" target="_blank" style="color: red">{y}</a> <strong>{z}</strong> <em>q</em> <u>u</u> '
+                 '<span style="font-size: 12px; float: left">w</span> <a href="#{z}"><b>v</b></a></p>')
+
+
+@query(f"""
+    with {SPELLED}, s as (select page_id, x, y, z, length(x) + 1 as a, length(x) + length(y) + 2 as b, length(x) + length(y) + length(z) + 3 as c from p)
+    select page_id, a::bigint as "start", (a + length(y))::bigint as "end", false as bold, '/l/' || y as href, '_blank' as target, 'color=red' as style from s
+    union all select page_id, b, b + length(z), true, null, null, '' from s union all select page_id, c, c + 1, false, null, null, 'font-style=italic' from s
+    union all select page_id, c + 6, c + 7, false, '#' || z, null, '' from s""")
+def b5_ranges_of_every_kind(spark, d):
+    """Links with target and style, bold, italic, and a link around bold text."""
+    pages = spelled(spark, d, joined(_RANGED[1])).withColumn("url", F.lit(_RANGED[0]))
+    ranges = blocks_of(extract(pages, [GENERIC])).select("page_id", F.explode("annotations").alias("r"))
+    style = F.array_join(F.transform(F.map_entries("r.style"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return ranges.select("page_id", F.col("r.start").cast("bigint").alias("start"), F.col("r.end").cast("bigint").alias("end"), "r.bold", "r.href", "r.target",
+                         style.alias("style"))
