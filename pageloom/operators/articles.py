@@ -110,6 +110,17 @@ def validate_adapter(articles: DataFrame, adapters: list[Adapter]) -> DataFrame:
     return articles.withColumn("invalid", reason)
 
 
+HEAD_FIELDS = ["author_name", "author_handle", "author_avatar_url", "author_verified", "published_at", "published_at_text", "metrics",
+               "cover_src", "cover_alt", "cover_href"]
+
+
+def with_head(articles: DataFrame) -> DataFrame:
+    """Author, date, metrics and cover as columns of the article: of a post's head, else of the site's header."""
+    kinds = {f: dict(articles.select(f"{f}.*").dtypes) for f in ("post", "header") if f in articles.columns}
+    pick = lambda name: [F.col(f"{f}.{name}") for f, fields in kinds.items() if name in fields]
+    return articles.withColumns({name: F.coalesce(*pick(name)) for name in HEAD_FIELDS if pick(name)})
+
+
 def assemble_articles(rows: DataFrame, adapters: list[Adapter], extracted_at: int, with_blocks: bool = False) -> DataFrame:
     """A1+A4: one row per page; `rejected` names the first reason against it, null for good articles.
 
@@ -126,6 +137,7 @@ def assemble_articles(rows: DataFrame, adapters: list[Adapter], extracted_at: in
         "canonical_url": F.col("url"),
         "extracted_at": F.lit(extracted_at).cast("bigint"),
     })
+    articles = with_head(articles)
     checked = validate_adapter(articles, adapters)
     done = checked.withColumn("rejected", F.coalesce("not_ready", "invalid")).drop("invalid")
     if not with_blocks:

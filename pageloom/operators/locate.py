@@ -58,6 +58,7 @@ def page_selectors(adapters: list[Adapter]) -> list[str]:
     for a in adapters:
         asked += [a.root_selector, a.title_selector, a.content_selector, block_selector(a), *a.required, *a.header.values(), *a.remove, *a.unwrap]
         asked += FIX_SELECTORS if a.enabled_fixes else []
+        asked += [*POST_HEAD.values(), POST_PHOTO, VERIFIED_SELECTOR] if a.platform == "x" else []
     return list(dict.fromkeys(s for s in asked if s and not needs_scope(s) and "data-pl-" not in s))
 
 
@@ -208,9 +209,18 @@ def header_meta(located: DataFrame, adapters: list[Adapter]) -> DataFrame:
     return located.withColumn("header", per_adapter(adapters, build))
 
 
-def post_metadata(located: DataFrame) -> DataFrame:
-    """B22, marked-up form: author, date and metrics that follow the title outside the body."""
-    tree, root, body, title = _page_tree(), F.col("article_root"), F.col("content_root"), F.col("title_node")
+POST_PHOTO = '[data-testid="tweetPhoto"] img'
+# Where a post's head keeps author, counts and date.
+POST_HEAD = {
+    "author": '[itemprop="author"]', "group": '[role="group"][aria-label]', "name": 'meta[itemprop="name"]', "image": 'meta[itemprop="image"]',
+    "handle": 'meta[itemprop="additionalName"]', "views": 'a[href*="/analytics"]', "time": "time", "img": "img",
+    **{test_id: f'[data-testid="{test_id}"]' for test_id in ("reply", "retweet", "like", "bookmark")},
+}
+
+
+def with_post_parts(located: DataFrame, tree: Tree) -> DataFrame:
+    """Adds the author's element, the group of counts and the cover's image of a page, null where it has none."""
+    root, body, title = F.col("article_root"), F.col("content_root"), F.col("title_node")
 
     def after_title(selector: str) -> Column:
         def ok(n: Column) -> Column:
@@ -219,52 +229,71 @@ def post_metadata(located: DataFrame) -> DataFrame:
 
         return first_of(F.filter(tree.all(root, selector), ok))
 
-    staged = located.withColumns({
-        "author_root": after_title('[itemprop="author"]'),
-        "metric_group": after_title('[role="group"][aria-label]'),
+    return located.withColumns({
+        "author_root": after_title(POST_HEAD["author"]), "metric_group": after_title(POST_HEAD["group"]),
+        "cover_node": first_of(F.filter(tree.all(root, POST_PHOTO), lambda n: n["node_id"] < title["node_id"])),
     })
+
+
+def _post_columns(tree: Tree) -> dict[str, Column]:
     author, group = F.col("author_root"), F.col("metric_group")
 
-    def meta(prop: str) -> Column:
-        return F.nullif(normalize_text(attr(tree.first(author, f'meta[itemprop="{prop}"]'), "content")), F.lit(""))
+    def meta(part: str) -> Column:
+        return F.nullif(normalize_text(attr(tree.first(author, POST_HEAD[part]), "content")), F.lit(""))
 
     def metric(test_id: str) -> Column:
-        action = tree.first(group, f'[data-testid="{test_id}"]')
-        return let(action, lambda x: F.coalesce(
+        return let(tree.first(group, POST_HEAD[test_id]), lambda x: F.coalesce(
             F.nullif(normalize_text(tree.text(x)), F.lit("")),
             F.nullif(article_metric_label(attr(x, "aria-label")), F.lit("")),
         ))
 
-    views_link = normalize_text(tree.text(tree.first(group, 'a[href*="/analytics"]')))
     label = attr(group, "aria-label")
     views = F.coalesce(
-        F.nullif(views_link, F.lit("")),
+        F.nullif(normalize_text(tree.text(tree.first(group, POST_HEAD["views"]))), F.lit("")),
         F.when(F.regexp_like(label, F.lit(VIEW_HINT)), F.nullif(article_metric_label(label), F.lit(""))),
     )
-    handle = meta("additionalName")
-    when_node = tree.first(tree.at(author["parent_id"]), "time")
-    return staged.select(
-        "page_id",
-        meta("name").alias("author_name"),
-        F.when(handle.isNotNull(), F.concat(F.lit("@"), F.regexp_replace(handle, "^@", ""))).alias("author_handle"),
-        F.coalesce(trimmed(attr(tree.first(author, "img"), "src")), meta("image")).alias("author_avatar_url"),
-        tree.has(author, VERIFIED_SELECTOR).alias("author_verified"),
-        attr(when_node, "datetime").alias("published_at"),
-        F.nullif(normalize_text(tree.text(when_node)), F.lit("")).alias("published_at_text"),
-        F.struct(
+    handle = meta("handle")
+    moment = lambda build: let(tree.first(tree.at(author["parent_id"]), POST_HEAD["time"]), build)
+    return {
+        "author_name": meta("name"),
+        "author_handle": let(handle, lambda h: F.when(h.isNotNull(), F.concat(F.lit("@"), F.regexp_replace(h, "^@", "")))),
+        "author_avatar_url": F.coalesce(trimmed(attr(tree.first(author, POST_HEAD["img"]), "src")), meta("image")),
+        "author_verified": tree.has(author, VERIFIED_SELECTOR),
+        "published_at": moment(lambda t: attr(t, "datetime")),
+        "published_at_text": moment(lambda t: F.nullif(normalize_text(tree.text(t)), F.lit(""))),
+        "metrics": F.struct(
             metric("reply").alias("replies"), metric("retweet").alias("reposts"), metric("like").alias("likes"),
             views.alias("views"), metric("bookmark").alias("bookmarks"),
-        ).alias("metrics"),
-    )
+        ),
+    }
+
 
+def _cover_columns(tree: Tree) -> dict[str, Column]:
+    cover = F.col("cover_node")
+    return {
+        "cover_src": attr(cover, "src"), "cover_alt": F.nullif(attr(cover, "alt"), F.lit("")),
+        "cover_href": resolve_url(attr(tree.closest(cover, "a[href]"), "href"), F.lit("https://x.com/")),
+    }
 
-def cover_image(located: DataFrame, photo: str = '[data-testid="tweetPhoto"] img') -> DataFrame:
+
+def post_metadata(located: DataFrame) -> DataFrame:
+    """B22, marked-up form: author, date and metrics that follow the title outside the body."""
+    tree = _page_tree()
+    return with_post_parts(located, tree).select("page_id", *[c.alias(k) for k, c in _post_columns(tree).items()])
+
+
+def cover_image(located: DataFrame) -> DataFrame:
     """The first photo that stands before the title."""
-    tree, root, title = _page_tree(), F.col("article_root"), F.col("title_node")
-    before = F.filter(tree.all(root, photo), lambda n: n["node_id"] < title["node_id"])
-    return located.withColumn("cover", first_of(before)).select(
-        "page_id",
-        attr(F.col("cover"), "src").alias("cover_src"),
-        F.nullif(attr(F.col("cover"), "alt"), F.lit("")).alias("cover_alt"),
-        resolve_url(attr(tree.closest(F.col("cover"), "a[href]"), "href"), F.lit("https://x.com/")).alias("cover_href"),
-    )
+    tree = _page_tree()
+    return with_post_parts(located, tree).select("page_id", *[c.alias(k) for k, c in _cover_columns(tree).items()])
+
+
+def post_head(located: DataFrame, adapters: list[Adapter]) -> DataFrame:
+    """Adds `post` (author, date, metrics, cover) to pages of post sites, null elsewhere; no column without such a site."""
+    ids = [a.id for a in adapters if a.platform == "x"]
+    if not ids:
+        return located
+    tree = _page_tree(located, adapters)
+    parts = with_post_parts(located, tree)
+    post = F.struct(*[c.alias(k) for k, c in {**_post_columns(tree), **_cover_columns(tree)}.items()])
+    return parts.withColumn("post", F.when(F.col("adapter_id").isin(*ids), post)).drop("author_root", "metric_group", "cover_node")

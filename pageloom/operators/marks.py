@@ -236,7 +236,7 @@ def mark_nodes(clean: DataFrame, adapters: list[Adapter]) -> DataFrame:
 
 
 PAGE_FIELDS = [
-    "url", "title", "header", "not_ready", "root_found", "body_found", "block_count", "text_length", "fixes", "clean_stats", "snapshot",
+    "url", "title", "header", "post", "not_ready", "root_found", "body_found", "block_count", "text_length", "fixes", "clean_stats", "snapshot",
 ]
 
 

@@ -25,7 +25,7 @@ from ..operators.blocks import (
 from ..operators.clean import platform_fixes, sanitize, with_snapshot
 from ..operators.handlers import HANDLERS
 from ..operators.marks import explode_candidates, mark_nodes
-from ..operators.locate import header_meta, locate_roots, page_selectors, readiness, resolve_title
+from ..operators.locate import header_meta, locate_roots, page_selectors, post_head, readiness, resolve_title
 from ..operators.routing import route
 from ..operators.merge import merge_extractions
 from ..operators.second import second_blocks, second_extraction, with_second
@@ -45,9 +45,14 @@ def ready_pages(parsed: DataFrame, adapters: list[Adapter]) -> DataFrame:
     return readiness(resolve_title(locate_roots(parsed, adapters), adapters), adapters)
 
 
+def heads(ready: DataFrame, adapters: list[Adapter]) -> DataFrame:
+    """What stands above the article, of either kind of site."""
+    return post_head(header_meta(ready, adapters), adapters)
+
+
 def clean_pages(pages: DataFrame, adapters: list[Adapter]) -> DataFrame:
     ready = ready_pages(parsed_pages(pages, adapters), adapters)
-    return sanitize(platform_fixes(header_meta(ready, adapters), adapters), adapters)
+    return sanitize(platform_fixes(heads(ready, adapters), adapters), adapters)
 
 
 def extract(pages: DataFrame, adapters: list[Adapter] | None = None, handlers: dict | None = None, nested: str = "keep") -> DataFrame:
@@ -96,7 +101,7 @@ def extract_merged(pages: DataFrame, adapters: list[Adapter], handlers: dict | N
     extraction reads. The candidates of both are written once; what follows reads that table.
     """
     rules = [*adapters, *[replace(a, id=a.id + SECOND, preserve=[*a.preserve, *UNCLEANED_ATTRS]) for a in adapters]]
-    fixed = platform_fixes(header_meta(ready_pages(parsed_pages(pages, adapters), adapters), adapters), adapters)
+    fixed = platform_fixes(heads(ready_pages(parsed_pages(pages, adapters), adapters), adapters), adapters)
     twice = fixed.withColumn("adapter_id", F.explode_outer(F.array("adapter_id", F.concat("adapter_id", F.lit(SECOND)))))
     clean = with_snapshot(sanitize(twice, rules), rules)
     typed = with_family(with_facts(explode_candidates(mark_nodes(clean, rules))))

@@ -19,7 +19,7 @@ from ..sources.adapters import CORPUS, EXAMPLE_ARTICLE, SUBSTACK_ARTICLE, X_ARTI
 from ..sources.html import parse_nodes
 from .extract import blocks_of, extract, extract_merged, parsed_pages
 from .more_queries import query
-from .queries import table
+from .queries import EXTRACTED_AT, table
 
 
 def cases(of: str, *texts: str) -> str:
@@ -465,3 +465,13 @@ def b5_ranges_of_every_kind(spark, d):
     style = F.array_join(F.transform(F.map_entries("r.style"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return ranges.select("page_id", F.col("r.start").cast("bigint").alias("start"), F.col("r.end").cast("bigint").alias("end"), "r.bold", "r.href", "r.target",
                          style.alias("style"))
+
+
+@query(f"""with {SPELLED} select page_id, 'T' as title, x as author_name, '@' || y as author_handle, z as published_at_text, '12' as replies, '7' as likes,
+    'https://pbs.twimg.com/media/' || x as cover_src, 'https://x.com/a/photo/' || y as cover_href, 2::bigint as n_blocks from p""")
+def a1_articles_with_heads(spark, d):
+    """Article rows of posts with author, date, counts and cover, from the same parse as their blocks."""
+    pages = spelled(spark, d, joined(_HEAD % '<p data-block="true">{x} words</p><p data-block="true">{y}</p>')).withColumn("url", F.concat(F.lit("https://x.com/u/article/"), "page_id"))
+    articles = art.assemble_articles(extract(pages, POST_RULES), POST_RULES, EXTRACTED_AT)
+    return articles.select("page_id", "title", "author_name", "author_handle", "published_at_text", "metrics.replies", "metrics.likes", "cover_src", "cover_href",
+                           F.col("n_blocks").cast("bigint").alias("n_blocks"))
