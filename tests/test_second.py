@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pageloom.operators.locate import cover_image, locate_roots, post_metadata
 from pageloom.operators.media_links import lookup_media, media_inventory, media_keys, media_list
 from pageloom.operators.second import attach_captures
-from pageloom.plans.extract import extract_twice, parsed_pages
+from pageloom.plans.extract import extract_merged, extract_twice, parsed_pages
 from pageloom.schema import HLS, IMAGE
 from pageloom.sources.adapters import X_ARTICLE
 
@@ -49,6 +49,14 @@ def test_second_extraction_and_captures(spark):
     assert "video" not in [b.block.type for b in missing]
 
 
+def test_both_extractions_from_one_parse(spark):
+    page = '<div data-testid="twitterArticleReadView"><div data-testid="twitter-article-title">T</div><div data-testid="longformRichTextComponent"><div data-block="true">iv) a</div><div data-block="true"><span data-text="true">b</span></div></div></div>'
+    m = extract_merged(spark.createDataFrame([(1, "https://x.com/ann/article/1", page)], "page_id long, url string, html string"), RULES)
+    assert [r.block.type for r in m.second.orderBy("block_pos").collect()] == ["list", "paragraph"]
+    counts = m.stats.first()
+    assert (counts.adapter_id, counts.replaced, counts.fallback, counts.high_risk, counts.primary_only) == ("x.article", 1, 1, 0, 0)
+
+
 def test_cover_and_metadata(spark):
     located = locate_roots(parsed_pages(pages(spark), RULES), RULES)
     cover = cover_image(located).first()
