@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions.text import ASCII_MARKS, CJK_MARKS, WS
+from ..functions.text import ASCII_MARKS, CJK_MARKS, SPACE, WS
 from ..functions.udtf import register_table_functions
 from ..operators import units as un
 from .more_queries import query
@@ -169,7 +169,7 @@ def f4_parse_pages(spark, d):
 def f4_split_texts(spark, d):
     sql_tables(spark, d, "documents")
     return spark.sql(f"""
-        select id as doc_id, sum(length(regexp_replace(text, '[{WS}]+', ''))) as n_solid, cast(max(end) as bigint) as last_end
+        select id as doc_id, sum(length(regexp_replace(text, '{SPACE}+', ''))) as n_solid, cast(max(end) as bigint) as last_end
         from split_texts(table(select doc_id as id, text from given_documents) partition by id) group by id""")
 
 
@@ -180,5 +180,5 @@ def f4_split_turns(spark, d):
     """The function of one value, joined laterally to each turn."""
     sql_tables(spark, d, "conversations")
     return spark.sql(f"""
-        select c.conv_id, c.turn, sum(length(regexp_replace(u.text, '[{WS}]+', ''))) as n_solid, cast(max(u.end) as bigint) as last_end
+        select c.conv_id, c.turn, sum(length(regexp_replace(u.text, '{SPACE}+', ''))) as n_solid, cast(max(u.end) as bigint) as last_end
         from given_conversations c, lateral split_units(c.text) u group by c.conv_id, c.turn""")
