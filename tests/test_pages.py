@@ -40,6 +40,11 @@ def test_parser_rules():
     assert max(n["depth"] for n in deep) == 511
 
 
+def test_references_without_semicolon():
+    _, texts, _ = parse_page("<title>a &amp;&amp</title><h1>b&amp</h1><p>c&am</p>")
+    assert texts == ["a &&", "b&", "c&am"]
+
+
 def shape(source):
     """Elements with their own texts, nested as brackets."""
     nodes, texts, owners = parse_page(source)
