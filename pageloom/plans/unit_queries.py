@@ -167,10 +167,11 @@ def f4_parse_pages(spark, d):
 @query(f"""
     select doc_id, length({SOLID.format('text')})::bigint as n_solid, length({norm('text')})::bigint as last_end from documents where {norm('text')} <> ''""")
 def f4_split_texts(spark, d):
+    """The function of a table. It is called once per group, so 64 neighbouring documents share one."""
     sql_tables(spark, d, "documents")
     return spark.sql(f"""
         select id as doc_id, sum(length(regexp_replace(text, '{SPACE}+', ''))) as n_solid, cast(max(end) as bigint) as last_end
-        from split_texts(table(select doc_id as id, text from given_documents) partition by id) group by id""")
+        from split_texts(table(select doc_id as id, text from given_documents) partition by (id div 64)) group by id""")
 
 
 @query(f"""

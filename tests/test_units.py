@@ -125,3 +125,12 @@ def test_text_without_ranges_is_one_plain_run(spark):
     df = spark.createDataFrame([("abc",), ("",)], "text string")
     none = F.lit(None).cast("array<struct<start:int,end:int,href:string,bold:boolean>>")
     assert [[(r.text, r.annotated) for r in row.runs] for row in df.select(un.text_runs(F.col("text"), none).alias("runs")).collect()] == [[("abc", False)], []]
+
+
+def test_split_texts_is_called_per_group_of_documents(spark, tmp_path):
+    from pageloom.plans.unit_queries import f4_split_texts
+
+    spark.createDataFrame([(i, f"a b{i}" if i % 3 else None) for i in range(130)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = f4_split_texts(spark, str(tmp_path))
+    assert "div 64" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.n_solid) for r in found.collect()} == {(i, 2 + len(str(i))) for i in range(130) if i % 3}
