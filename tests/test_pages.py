@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,7 @@ from pageloom.operators.routing import best_route, route, route_pages
 from pageloom.operators.tree import parse_selector, select
 from pageloom.plans.extract import blocks_of, extract, pages_of
 from pageloom.sources.adapters import BUILT_IN, CORPUS, EXAMPLE_ARTICLE, SUBSTACK_ARTICLE, X_ARTICLE, adapters_df
-from pageloom.sources.html import parse_nodes, parse_page
+from pageloom.sources.html import _parse_batches, parse_nodes, parse_page
 
 TAGS = st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<div>", "</div>", "<ul>", "<li>", "</ul>", "<br>", "text", "<table>", "<tr>", "<td>", "</table>", "<!-- c -->", "<img src=x>"])
 
@@ -45,6 +46,13 @@ def test_references_without_semicolon():
     assert texts == ["a &&", "b&", "c&am"]
 
 
+def test_few_pages_are_held_at_a_time():
+    batch = pa.record_batch({"page_id": list(range(150)), "html": [f"<p>{i}" for i in range(150)]})
+    parts = list(_parse_batches(iter([batch, batch.slice(0, 0)]), []))
+    assert [p.num_rows for p in parts] == [64, 64, 22]
+    assert [(r["page_id"], r["texts"]) for p in parts for r in p.to_pylist()] == [(i, [str(i)]) for i in range(150)]
+
+
 def shape(source):
     """Elements with their own texts, nested as brackets."""
     nodes, texts, owners = parse_page(source)
