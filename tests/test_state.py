@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pageloom.sources.articles import delete_articles, get_articles, read_articles, upsert_articles
@@ -109,6 +110,71 @@ def test_stream_equals_batch_whatever_the_order_of_arrival(spark, tmp_path, seed
     assert rows(streamed) == rows(batch) and rows(batch)
 
 
+class CountedState(dict):
+    """A map or value state that counts calls, as each is a round trip to the JVM."""
+
+    calls = 0
+
+    def __getattribute__(self, name):
+        if not name.startswith("_") and name != "calls":
+            CountedState.calls += 1
+        return super().__getattribute__(name)
+
+    def exists(self):
+        return len(self) > 0
+
+    def containsKey(self, name):
+        return dict.__contains__(self, name)
+
+    def getValue(self, name):
+        return self[name]
+
+    def updateValue(self, name, held):
+        self[name] = held
+
+    def get(self):
+        return self[()]
+
+    def update(self, value):
+        self[()] = value
+
+
+def test_a_new_tab_costs_one_call_per_entry():
+    class Handle:
+        timers = []
+
+        def getMapState(self, *_):
+            return CountedState()
+
+        getValueState = getMapState
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    seen = Row("tab_id", "at", "seq", "video_id", "slot", "label", "url")
+    tab = cap.TabCaptures(1_000)
+    tab.init(Handle())
+    CountedState.calls = 0
+    first = list(tab.handleInputRows((1,), iter([seen(1, i, 0, str(i % 100), "master", "", f"u{i}") for i in range(300)]), Times()))
+    assert CountedState.calls <= 100 + 4  # the entries and the number of changes
+    assert [(r.video_id, r.url, r.at, r.version) for r in first] == [(str(i), f"u{i + 200}", i + 200, i + 1) for i in range(100)]
+    rows = [seen(1, 250, 0, None, None, None, None), seen(1, 240, 0, "9", "master", "", "late"), seen(1, 500, 0, "9", "master", "", "new")]
+    tab.entries.iterator = lambda: iter(list(tab.entries.items()))
+    tab.entries.removeKey = tab.entries.pop
+    second = {(r.video_id, r.url): r.version for r in tab.handleInputRows((1,), iter(rows), Times())}
+    assert len(second) == 52 and second["9", "new"] == 152 and ("9", "late") not in second  # 51 entries up to the navigation, and one that is new
+
+
 def test_idle_tabs_expire(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00", 1, V.format(7, "playlist.m3u8")), (2, "2024-01-01 03:00:00", 1, V.format(8, "playlist.m3u8")),
             (2, "2024-01-01 03:00:01", 2, V.format(9, "playlist.m3u8"))]
