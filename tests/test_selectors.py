@@ -1,15 +1,23 @@
 """The compiled matcher against a plain reading of each selector, and the nodes it names."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from pageloom.operators.marks import marks_of
 from pageloom.operators.selectors import Matcher, Nodes, alternatives_of, hit_places, needs_scope
 from pageloom.operators.tree import Tree, known_hits
+from pageloom.operators.units import split_text
 from pageloom.sources.html import ARROW_NODE, parse_nodes, parse_page
+from pageloom.streaming.captures import TabCaptures
 
 SELECTORS = [
     "p", "*", ".a", "#i", "div p", "div > p", "p + p", "div .a > b", ".a .b, p.b", "[href]", '[href="x"]', '[href*="x"]', '[href^="x"]', '[href$="y"]', '[href*=""]',
@@ -87,3 +95,10 @@ def test_bits_on_nodes(spark, asked):
     for row in parsed.select(*counts).collect():
         assert list(row)[::2] == list(row)[1::2]
     assert len({f for f, _ in hit_places(asked).values()}) == -(-len(asked) // 62)
+
+
+def test_kernels_load_where_the_package_is_missing(tmp_path):
+    kernels = [Matcher(["ul > .a"]), marks_of, parse_page, split_text, TabCaptures(1)]
+    (tmp_path / "kernels").write_bytes(cloudpickle.dumps(kernels))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", "import pickle; pickle.load(open('kernels', 'rb'))"], cwd=tmp_path, env=env, check=True)
