@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pageloom.operators.locate import cover_image, locate_roots, post_metadata
 from pageloom.operators.media_links import lookup_media, media_inventory, media_keys, media_list
 from pageloom.operators.second import attach_captures
+from pageloom.plans import extract
 from pageloom.plans.extract import extract_merged, extract_twice, parsed_pages
 from pageloom.schema import HLS, IMAGE
 from pageloom.sources.adapters import X_ARTICLE
@@ -57,6 +58,17 @@ def test_both_extractions_from_one_parse(spark):
     assert (counts.adapter_id, counts.replaced, counts.fallback, counts.high_risk, counts.primary_only) == ("x.article", 1, 1, 0, 0)
 
 
+def test_a_candidate_is_converted_for_its_own_side(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(extract, "written", lambda df, label: tables.append(df) or df)
+    extract.extract_merged(pages(spark), RULES)
+    rows = tables[0].select("adapter_id", "block.type", "second").collect()
+    first, second = [[r for r in rows if r.adapter_id.endswith(extract.SECOND) == side] for side in (False, True)]
+    assert all(r.second is None for r in first) and {"heading", "list", "paragraph"} <= {r.type for r in first}
+    assert [r.second.block.type for r in second] == ["heading", "link", "list", "list", "list", "paragraph", "video", "gif"]
+    assert all(r.second.marked for r in second) and not {"heading", "list", "paragraph"} & {r.type for r in second}
+
+
 def test_cover_and_metadata(spark):
     located = locate_roots(parsed_pages(pages(spark), RULES), RULES)
     cover = cover_image(located).first()
