@@ -4,6 +4,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from pageloom.operators.blocks import special_blocks
+from pageloom.operators.handlers import HANDLERS
 from pageloom.operators.locate import cover_image, locate_roots, post_metadata
 from pageloom.operators.media_links import lookup_media, media_inventory, media_keys, media_list
 from pageloom.operators.second import attach_captures
@@ -97,3 +99,15 @@ def test_media_links(spark):
     ], "page_id long, link_id string, href string, base_url string, image_src string, image_alt string")
     found = {r.link_id: r.src for r in lookup_media(links, media_keys(inventory, articles)).collect()}
     assert found == {"l1": "g.png", "l2": "inline.png", "l3": None}
+
+
+def test_a_handler_stands_in_the_plan_once(spark):
+    """Both sides of a merge have the same component rules; the plan holds each handler's columns once."""
+    calls = []
+
+    def counted(name):
+        return lambda *a: (calls.append(name), HANDLERS[name](*a))[1]
+
+    rules = [RULES[0], replace(RULES[0], id="x.article#second")]
+    special_blocks(F.col("n"), F.col("sub"), {name: counted(name) for name in HANDLERS}, rules)
+    assert calls == ["x.simple-tweet"]
